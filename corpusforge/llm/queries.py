@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from corpusforge.llm.quality_rules import op1_quality_rules
 from corpusforge.llm.sharding import op4_sharding
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_sharding": op4_sharding,
 }
 
