@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusforge.llm.licenses import op2_license_scan
 from corpusforge.llm.packing import op8_packing
 from corpusforge.llm.quality_rules import op1_quality_rules
 from corpusforge.llm.sharding import op4_sharding
@@ -9,6 +10,7 @@ from corpusforge.llm.token_files import op7_token_files
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op4_sharding": op4_sharding,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
