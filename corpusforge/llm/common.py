@@ -110,13 +110,14 @@ class Words:
         #: words of document i: first[i] to first[i + 1]
         self.first = np.searchsorted(self.start, self.offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same in every process and batch."""
+    def hashes(self, stop: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes (up to stop, if given), the same in every process and batch."""
+        stop = self.end if stop is None else stop
         out = np.empty(len(self.start), np.uint64)
         step = 1 << 22
         for lo in range(0, len(self.start), 1 << 18):  # pieces keep the intermediate arrays in cache
-            s, e = self.start[lo : lo + (1 << 18)], self.end[lo : lo + (1 << 18)]
-            a, b = int(s[0]), int(e[-1])
+            s, e = self.start[lo : lo + (1 << 18)], stop[lo : lo + (1 << 18)]
+            a, b = int(s[0]), int(e.max())
             n = b - a
             table_, inverse = _power_tables(max(n, step))
             sums = np.zeros(n + 1, np.uint64)
@@ -125,6 +126,22 @@ class Words:
         return out
 
 
+def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values[offsets[i]:offsets[i + 1]], also where that is empty."""
+    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=total[1:])
+    return np.diff(total[offsets])
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int = 11) -> DataFrame:
+    """Documents with a label, without held-out ones: about max_rows at most, chosen by a hash of the id (a documented bound)."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
+    n = rows.count()
+    if n > max_rows:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) < int(max_rows / n * (1 << 24)))
+    return docs.join(small(rows, 40 * min(n, 2 * max_rows)), "doc_id")
+
+
 _TABLES: list[np.ndarray] = []
 
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from corpusforge.llm.licenses import op2_license_scan
 from corpusforge.llm.packing import op8_packing
+from corpusforge.llm.quality_classifier import op5_quality_classifier
 from corpusforge.llm.quality_rules import op1_quality_rules
 from corpusforge.llm.sharding import op4_sharding
 from corpusforge.llm.token_files import op7_token_files
+from corpusforge.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
     "op4_sharding": op4_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
 }
