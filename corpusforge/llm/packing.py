@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import Words, partitions, table
-from corpusforge.llm.tokens import ChunkTokenizer, slices
+from corpusforge.llm.tokens import coder, slices
 
 DIMS, BITS, BUCKETS = 4, 12, 1024
 
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
     schema = PIECES + ", ids array<bigint>" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkTokenizer(tokenizer, chunking)
+        tokens = coder(tokenizer, chunking)
         part = 0
         first_sequence = 0
         held: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, start, ids in all, ids: the open sequence
@@ -138,11 +138,11 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
             return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             if doc_ids:
                 part = batch.column("part")[0].as_py()
             for lo, hi in slices(texts):
-                ids, counts = coder.encode(texts[lo:hi])
+                ids, counts = tokens.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype("<u4")
                 ends = np.cumsum(counts + 1)

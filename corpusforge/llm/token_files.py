@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import partitions, scratch, small, table
-from corpusforge.llm.tokens import ChunkTokenizer, slices
+from corpusforge.llm.tokens import coder, slices
 
 #: (ids in a word, bits of each) by selector; selector 14 isn't used, 15 is the escape.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -56,13 +56,13 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     for s in range(len(PACKINGS) - 1, -1, -1):  # a later, wider window wins
         c, bits = PACKINGS[s]
         k = 1 << (c.bit_length() - 1)
-        widest = np.maximum(spans[k][:n], spans[k][c - k : c - k + n])
-        selector[widest <= bits] = s
-    step = (np.arange(n) + _COUNTS[selector]).tolist()
+        widest = spans[k][:n] if c == k else np.maximum(spans[k][:n], spans[k][c - k : c - k + n])
+        np.putmask(selector, widest <= bits, s)
+    step = _COUNTS.astype(np.uint8)[selector].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = step[i]
+        i += step[i]
     at = np.array(starts)
     chosen = selector[at]
     place = np.cumsum(1 + (chosen == ESCAPE)) - 1 - (chosen == ESCAPE)
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str
     """
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkTokenizer(tokenizer, chunking)
+        tokens = coder(tokenizer, chunking)
         held_docs: list[int | None] = []
         held: list[np.ndarray] = []
         counts: list[int] = []
@@ -162,11 +162,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str
 
         size = 0
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             if doc_ids:
                 part = batch.column("part")[0].as_py()
             for lo, hi in slices(texts):
-                ids, n = coder.encode(texts[lo:hi])
+                ids, n = tokens.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(n)
                 held.append(np.insert(ids, ends, end_id))
                 held_docs += doc_ids[lo:hi]

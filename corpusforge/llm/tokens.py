@@ -2,21 +2,23 @@
 
 A byte-pair tokenizer never merges across the pieces that its pre-tokenizer cuts, and those pieces end at white space. Where
 that is so, equal chunks always have equal ids, so each chunk is encoded once and looked up afterwards. A text for which the
-rule below can't be shown to hold is encoded whole, by the same tokenizer.
+rule can't be shown to hold is encoded whole, by the same tokenizer.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from corpusforge.llm.common import spread
 
-#: Characters that Python counts as white space and the tokenizers' patterns don't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_DOUBLE = re.compile(r"\s\s")
+#: Unicode white space, as the tokenizers' patterns have it.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that stand in a piece of their own after letters; no apostrophe, which opens contractions.
+_MARKS = ".,;:!?#*$%&|"
 
 
 class _Index(dict):
@@ -31,81 +33,164 @@ class _Index(dict):
 
 
 class ChunkTokenizer:
-    """chunking "word": the pre-tokenizer drops white space, chunks are str.split(). "space": a single space opens a piece
-    with what follows it, chunks are cut before each lone space. None: every text whole."""
+    """chunking "word": the pre-tokenizer drops white space and lower-cases; chunks are cut at ASCII white space. "space": a
+    lone space opens a piece with what follows it; chunks are cut before each, if no white space stands beside any space.
+    None: every text whole.
 
-    def __init__(self, path: str, chunking: str | None, max_chunks: int = 400_000, max_ids: int = 4_000_000):
+    Keys: a chunk (in "space" mode, the space before it is left out), "\\n" and a chunk without that space, or "\\r" and a
+    whole text. Letters followed by marks are looked up as letters and marks.
+    """
+
+    def __init__(self, path: str, chunking: str | None, max_chunks: int = 700_000, max_ids: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.chunking, self.max_chunks, self.max_ids = chunking, max_chunks, max_ids
+        # ids that open a piece ("space") or end one ("word"): many chunks of letters can be encoded as one text and told apart
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.edge[i] = piece.endswith("</w>") if chunking == "word" else piece.startswith("\u0120")
         self.reset()
 
     def reset(self) -> None:
         self.index = _Index()
         self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
-        self.first, self.count, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
-
-    def _chunks(self, text: str) -> list[str]:
-        if self.chunking == "word" and not _SEPARATORS.search(text):
-            return text.split()
-        # a space between two characters that aren't white space always opens a piece
-        if self.chunking == "space" and not _DOUBLE.search(text) and not _SEPARATORS.search(text):
-            chunks = text.split(" ")
-            chunks[0] = "\n" + chunks[0]  # no other chunk begins with white space
-            return chunks
-        return ["\r" + text]
+        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.uint8)
+
+    def shrink(self) -> None:
+        """Keep the chunks that came back in a later batch, or none if those are too many as well."""
+        keys = list(self.index)
+        kept = np.flatnonzero(self.uses[: len(keys)] > 1)
+        counts, first, ids = self.count[kept], self.first[kept], self.ids
+        self.reset()
+        if len(kept) > self.max_chunks // 2 or int(counts.sum()) > self.max_ids // 2:
+            return
+        for k in kept.tolist():
+            self.index[keys[k]]  # numbers it anew
+        self.index.new = []
+        self._grow()
+        self._append(np.arange(len(kept)), counts, ids[spread(counts, first)])
+
+    def _grow(self) -> None:
+        while len(self.index) + 1 > len(self.first):
+            n = 2 * len(self.first)
+            self.first, self.count = np.resize(self.first, n), np.resize(self.count, n)
+            self.uses = np.concatenate([self.uses, np.zeros(n - len(self.uses), np.uint8)])
 
     def _text(self, key: str) -> str:
         if key[:1] == "\r" or key[:1] == "\n":
             return key[1:]
         return key if self.chunking == "word" else " " + key
 
+    def _parts(self, key: str) -> tuple[str, str] | None:
+        """Keys whose ids together are those of key, if it can be taken apart."""
+        if self.chunking == "word":
+            low = key.lower() if key.isascii() else key
+            stem = low.rstrip(_MARKS)
+            tail = low[len(stem) :]
+        else:
+            low, stem = key, key.rstrip(_MARKS)
+            tail = "\n" + key[len(stem) :] if len(stem) < len(key) else ""
+        return (stem, tail) if (tail or low != key) and stem.isalpha() else None
+
+    def _append(self, at: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        while self.n_ids + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.count[at] = counts
+        self.first[at] = self.n_ids + np.cumsum(counts) - counts
+        self.n_ids += len(flat)
+
     def _fill(self) -> None:
-        new, self.index.new = self.index.new, []
-        for lo in range(0, len(new), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([self._text(k) for k in new[lo : lo + 4096]], add_special_tokens=False)]
+        new, index = self.index.new, self.index
+        letters_at, letters, plain_at, plain, joined = [], [], [], [], []
+        for key in new:  # grows while parts of keys are met
+            at = index[key]
+            if (parts := self._parts(key)) is not None:
+                joined.append((at, index[parts[0]], index[parts[1]] if parts[1] else -1))
+            elif key.isalpha() and self.chunking is not None:
+                letters_at.append(at)
+                letters.append(key)
+            else:
+                plain_at.append(at)
+                plain.append(self._text(key))
+        self.index.new = []
+        self._grow()
+        lead = "" if self.chunking == "word" else " "
+        for lo in range(0, len(letters), 4096):
+            some = letters[lo : lo + 4096]
+            flat = np.array(self.tokenizer.encode_batch_fast([lead + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            edges = np.flatnonzero(self.edge[flat])
+            if len(edges) != len(some):  # letters that don't make one piece each
+                plain_at += letters_at[lo : lo + 4096]
+                plain += map(self._text, some)
+                continue
+            counts = np.diff(np.append(-1, edges)) if self.chunking == "word" else np.diff(np.append(edges, len(flat)))
+            self._append(np.array(letters_at[lo : lo + 4096]), counts, flat)
+        for lo in range(0, len(plain), 8192):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(plain[lo : lo + 8192], add_special_tokens=False)]
             counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum()))
-            while self.n_ids + len(flat) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            while self.n + len(counts) > len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
-            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-            self.count[self.n : self.n + len(counts)] = counts
-            self.first[self.n : self.n + len(counts)] = self.n_ids + np.cumsum(counts) - counts
-            self.n_ids, self.n = self.n_ids + len(flat), self.n + len(counts)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each has."""
+            self._append(np.array(plain_at[lo : lo + 8192]), counts, np.array([i for f in found for i in f], np.uint32))
+        if joined:
+            at, a, b = np.array(joined).T
+            parts = np.column_stack([a, b]).ravel()
+            counts = np.where(parts < 0, 0, self.count[parts])
+            flat = self.ids[spread(counts, self.first[parts])]
+            self._append(at, counts.reshape(-1, 2).sum(1), flat)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (without nulls), and how many each has."""
         if len(self.index) > self.max_chunks or self.n_ids > self.max_ids:
-            self.reset()
-        parts, sizes = [], np.empty(len(texts), np.int64)
-        get = self.index.__getitem__
-        for i, text in enumerate(texts):
-            chunks = self._chunks(text)
-            parts.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
-            sizes[i] = len(chunks)
+            self.shrink()
+        index = self.index
+        if self.chunking == "word":
+            lists = pc.ascii_split_whitespace(texts)
+        else:
+            whole = np.ones(len(texts), bool) if self.chunking is None else pc.match_substring_regex(texts, f" {_WHITE}|{_WHITE} ").to_numpy(zero_copy_only=False)
+            if whole.any():
+                originals = texts.filter(pa.array(whole)).to_pylist()
+                texts = pc.if_else(pa.array(whole), "", texts)
+            lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy()
+        chunks = lists.flatten().dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        numbers = np.fromiter(map(index.__getitem__, names), np.int64, len(names))
+        at = numbers[chunks.indices.to_numpy()] if len(chunks) else np.zeros(0, np.int64)
+        offsets = offsets - offsets[0]
+        if self.chunking != "word" and len(texts):
+            heads = ["\n" + names[i] for i in chunks.indices.to_numpy()[offsets[:-1]].tolist()]
+            if whole.any():
+                for i, text in zip(np.flatnonzero(whole).tolist(), originals):
+                    heads[i] = "\r" + text
+            at[offsets[:-1]] = [index[h] for h in heads]
         self._fill()
-        if not parts:
-            return np.empty(0, np.uint32), np.zeros(0, np.int64)
-        at = np.concatenate(parts)
+        self.uses[numbers] = np.minimum(self.uses[numbers], 200) + 1
         counts = self.count[at]
-        ids = self.ids[spread(counts, self.first[at])]
         before = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.cumsum(sizes)
-        return ids, before[ends] - before[ends - sizes]
-
-
-def slices(texts: list[str], max_chars: int = 1 << 20):
-    """Runs of texts of about max_chars characters together, as (from, to)."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= max_chars:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+        return self.ids[spread(counts, self.first[at])], np.diff(before[offsets])
+
+
+_CODERS: dict[tuple[str, str | None], ChunkTokenizer] = {}
+
+
+def coder(path: str, chunking: str | None) -> ChunkTokenizer:
+    """One for each process: the cache serves all its tasks."""
+    if (key := (path, chunking)) not in _CODERS:
+        _CODERS[key] = ChunkTokenizer(path, chunking)
+    return _CODERS[key]
+
+
+def slices(texts: pa.Array, max_bytes: int = 8 << 20):
+    """Runs of texts of about max_bytes together, as (from, to)."""
+    if not len(texts):
+        return
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + max_bytes, side="right")))
+        yield lo, hi
+        lo = hi
