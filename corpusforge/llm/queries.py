@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusforge.llm.licenses import op2_license_scan
+from corpusforge.llm.ngram_join import op3_ngram_join
 from corpusforge.llm.packing import op8_packing
 from corpusforge.llm.quality_classifier import op5_quality_classifier
 from corpusforge.llm.quality_rules import op1_quality_rules
@@ -13,6 +14,7 @@ from corpusforge.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op3_ngram_join": op3_ngram_join,
     "op4_sharding": op4_sharding,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
