@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusforge.llm.embedding_dedup import op10_embedding_dedup
 from corpusforge.llm.licenses import op2_license_scan
 from corpusforge.llm.ngram_join import op3_ngram_join
 from corpusforge.llm.packing import op8_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
