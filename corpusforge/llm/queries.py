@@ -8,6 +8,7 @@ from corpusforge.llm.ngram_join import op3_ngram_join
 from corpusforge.llm.packing import op8_packing
 from corpusforge.llm.quality_classifier import op5_quality_classifier
 from corpusforge.llm.quality_rules import op1_quality_rules
+from corpusforge.llm.sentencepiece_codec import op9_sentencepiece
 from corpusforge.llm.sharding import op4_sharding
 from corpusforge.llm.token_files import op7_token_files
 from corpusforge.llm.toxicity import op6_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
