@@ -53,6 +53,21 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4))
 
 
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of doc_id and text, never null, under a name that docs doesn't have."""
+    name = "row_key"
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs less the rows whose key (of with_key) stands in rejected (one column); the columns stay as they are."""
+    rejected = saved(rejected.distinct(), "rejected")
+    keyed, name = with_key(docs)
+    return keyed.join(small(rejected.toDF(name), 16 * rejected.count()), name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 _IS_ASCII_NON_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])

@@ -206,12 +206,12 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, label: str, max_fit
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit_rows: int = 200_000) -> DataFrame:
-    """doc_id with the base counts, base_failed and kept; docs needs doc_id and text.
+    """doc_id with the base counts, base_failed, kept and row_key (a hash of doc_id and text); docs needs doc_id and text.
 
     Null or empty texts have no words and fail the base. Repeated rows are judged one by one and alike. Labels whose doc_id
     is null or unknown are not used. A document with several label rows is fitted once for each.
     """
-    stats = text_statistics(docs.select("doc_id", "text")).withColumn("base_failed", base_failed())
+    stats = text_statistics(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))).withColumn("base_failed", base_failed())
     stats = saved(stats, "statistics")
     rules = learn_decision_list(labelled_statistics(stats, labels, label, max_fit_rows), label)
     return stats.withColumn("rule", rules.fired()).withColumn("kept", ~F.col("base_failed") & rules.kept())

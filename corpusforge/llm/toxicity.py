@@ -232,6 +232,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     """docs with a column toxicity (0 to 1; replaced if there is one). Null texts count as empty, repeated rows score alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("toxicity")
+    docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,6 +244,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     return docs.mapInArrow(score, schema)
 
 
+def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """row_key (a hash of doc_id and text) of the rows of docs that score at least threshold."""
+    texts = docs.select("doc_id", "text")
+    model = fit_toxicity(texts, labels)
+    return score_toxicity(docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")), model).filter(F.col("toxicity") >= threshold).select("row_key")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
