@@ -62,10 +62,10 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
     bits = int(np.clip(math.ceil(math.log2(max(2, n_rows))) - 4, 4, min(22, dims)))
     n_tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, agree**bits))))
     rng = np.random.default_rng(seed)
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
+    _, axes = np.linalg.eigh(centred.T @ centred)
     rotations = []
     for _ in range(math.ceil(n_tables / (dims // bits))):
-        start = axes.T @ np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+        start = axes @ np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         rotations.append(learn_rotation(centred, start))
     return Tables(mean, rotations, bits, n_tables)
 
