@@ -68,6 +68,17 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return keyed.join(small(rejected.toDF(name), 16 * rejected.count()), name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
+#: Caches that a Python worker keeps between tasks of one kind.
+CACHES: list[dict] = []
+
+
+def release() -> None:
+    """Give up the caches of other work; called first by tasks that don't use them, as a worker serves one task after another."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 _IS_ASCII_NON_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import spread, table
+from corpusforge.llm.common import CACHES, spread, table
 from corpusforge.llm.tokens import ChunkTokenizer, slices
 
 MARK = "▁"
@@ -152,6 +152,7 @@ class PieceCoder(ChunkTokenizer):
 
 
 _CODERS: dict[str, PieceCoder] = {}
+CACHES.append(_CODERS)
 
 
 def _coder(path: str) -> PieceCoder:

@@ -8,12 +8,13 @@ rule can't be shown to hold is encoded whole, by the same tokenizer.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpusforge.llm.common import spread
+from corpusforge.llm.common import CACHES, spread
 
 #: Unicode white space, as the tokenizers' patterns have it.
 _WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -95,7 +96,12 @@ class ChunkTokenizer:
         else:
             low, stem = key, key.rstrip(_MARKS)
             tail = "\n" + key[len(stem) :] if len(stem) < len(key) else ""
-        return (stem, tail) if (tail or low != key) and stem.isalpha() else None
+        if not (tail or low != key) or not stem.isalpha():
+            return None
+        # a letter may lose its mark when composed or lower-cased; the mark would then stand with what follows
+        if self.chunking == "word" and not stem.isascii() and not unicodedata.normalize("NFC", stem).lower().isalpha():
+            return None
+        return stem, tail
 
     def _append(self, at: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
         while self.n_ids + len(flat) > len(self.ids):
@@ -175,6 +181,7 @@ class ChunkTokenizer:
 
 
 _CODERS: dict[tuple[str, str | None], ChunkTokenizer] = {}
+CACHES.append(_CODERS)
 
 
 def coder(path: str, chunking: str | None) -> ChunkTokenizer:
@@ -184,7 +191,7 @@ def coder(path: str, chunking: str | None) -> ChunkTokenizer:
     return _CODERS[key]
 
 
-def slices(texts: pa.Array, max_bytes: int = 8 << 20):
+def slices(texts: pa.Array, max_bytes: int = 4 << 20):
     """Runs of texts of about max_bytes together, as (from, to)."""
     if not len(texts):
         return

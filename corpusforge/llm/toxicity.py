@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, fit_sample, fold, mix, sums_between, table
+from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, fit_sample, fold, mix, release, table
 
 #: General insults in four languages, one voter together.
 SEEDS = [
@@ -142,6 +142,7 @@ class ToxicityModel:
 
 
 def _batches(batch: pa.RecordBatch, size: int = 1024):
+    release()
     for lo in range(0, len(batch), size):
         yield batch.slice(lo, size)
 
