@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import partitions, saved, table
+from corpusforge.llm.common import arrow_task, partitions, saved, table
 from corpusforge.llm.components import Union, components
 
 
@@ -110,8 +110,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: in
             keys = shared.value.keys(x / np.linalg.norm(x, axis=1)[:, None])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), batch.column("v"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))], ["id", "copies", "v", "keys"])
 
-    cells = classes.select("id", "copies", "v").mapInArrow(keyed, "id bigint, copies bigint, v array<double>, keys array<bigint>").select("id", "copies", "v", F.posexplode("keys").alias("table", "key"))
-    crowded = saved(classes.select("id", "copies", "v").mapInArrow(keyed, "id bigint, copies bigint, v array<double>, keys array<bigint>").select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"), "crowded")
+    cells = classes.select("id", "copies", "v").mapInArrow(arrow_task(keyed), "id bigint, copies bigint, v array<double>, keys array<bigint>").select("id", "copies", "v", F.posexplode("keys").alias("table", "key"))
+    crowded = saved(classes.select("id", "copies", "v").mapInArrow(arrow_task(keyed), "id bigint, copies bigint, v array<double>, keys array<bigint>").select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"), "crowded")
     dealt = cells.join(crowded, ["table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     tiled = dealt.select("table", "key", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> least(mine, j) * blocks + greatest(mine, j))")).alias("tile"), "mine", "blocks", "id", "copies", "v")
     tiled = tiled.repartition(partitions(spark), "table", "key", "tile").sortWithinPartitions("table", "key", "tile", "mine", "id")
@@ -172,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: in
         if carry is not None and len(carry) and (out := several(carry)) is not None:
             yield out
 
-    links = saved(tiled.mapInArrow(rerank, "id bigint, links bigint, root bigint"), "links")
+    links = saved(tiled.mapInArrow(arrow_task(rerank), "id bigint, links bigint, root bigint"), "links")
     grouped = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.select("h", "id", "copies").join(counts, "id", "left").join(grouped, "id", "left")

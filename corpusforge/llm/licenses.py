@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, table
+from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, table
 
 #: Phrases whose every place counts (fixed values), with their labels.
 PHRASES = [
@@ -191,7 +191,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                     ["doc_id", "n_words", "found"],
                 )
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_task(scan), schema)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

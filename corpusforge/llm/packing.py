@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Words, partitions, table
+from corpusforge.llm.common import Words, arrow_task, partitions, table
 from corpusforge.llm.tokens import coder, slices
 
 DIMS, BITS, BUCKETS = 4, 12, 1024
@@ -77,7 +77,7 @@ def with_curve_key(docs: DataFrame) -> DataFrame:
                 texts = part.column("text")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, pa.array(hilbert_key(document_points(texts), BITS), pa.int64())], ["doc_id", "text", "curve_key"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(keyed, "doc_id bigint, text string, curve_key bigint")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_task(keyed), "doc_id bigint, text string, curve_key bigint")
 
 
 def cut_stream(total: int, length: int) -> np.ndarray:
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
 
     spark = docs.sparkSession
     ranged = with_curve_key(docs).withColumn("h", F.xxhash64("doc_id")).repartitionByRange(partitions(spark), "curve_key", "h").sortWithinPartitions("curve_key", "h", "doc_id")
-    return ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(pieces, schema)
+    return ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(arrow_task(pieces, keeps_caches=True), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

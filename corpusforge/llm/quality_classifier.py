@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Words, fit_sample, fold, sums_between, table
+from corpusforge.llm.common import Words, arrow_task, fit_sample, fold, sums_between, table
 
 WORD_DIMS, STEPS = 1 << 15, 24
 _CLASSES = ["#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!", "|", ".,;:?", "\n"]
@@ -129,7 +129,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.float32()))], ["doc_id", "label", "ids", "values"])
 
     sample = fit_sample(docs.select("doc_id", "text"), labels, label, max_fit_rows).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
-    rows = sample.mapInArrow(extract, "doc_id bigint, label int, ids array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    rows = sample.mapInArrow(arrow_task(extract), "doc_id bigint, label int, ids array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
     if not len(rows):
         return train(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0))
     ids, values = rows.column("ids").combine_chunks(), rows.column("values").combine_chunks()
@@ -147,7 +147,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
                 part = batch.slice(lo, 1024)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(machine.score(*features(part.column("text"))), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score, "doc_id bigint, score double")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_task(score), "doc_id bigint, score double")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

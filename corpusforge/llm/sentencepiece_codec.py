@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import CACHES, spread, table
+from corpusforge.llm.common import CACHES, arrow_task, spread, table
 from corpusforge.llm.tokens import ChunkTokenizer, slices
 
 MARK = "▁"
@@ -172,7 +172,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
                 ids, counts = coder.encode(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_task(encode, keeps_caches=True), "doc_id bigint, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
@@ -189,7 +189,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
                 rows = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array([zlib.crc32(r) for r in rows], pa.int64()), pa.array([coder.decode(r) for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_crc32", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(arrow_task(decode, keeps_caches=True), "doc_id bigint, n_tokens bigint, ids_crc32 bigint, text string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import partitions, scratch, small, table
+from corpusforge.llm.common import arrow_task, partitions, scratch, small, table
 from corpusforge.llm.tokens import coder, slices
 
 #: (ids in a word, bits of each) by selector; selector 14 isn't used, 15 is the escape.
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     ranged = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    rows = ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(images, IMAGE_SCHEMA)
+    rows = ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(arrow_task(images, keeps_caches=True), IMAGE_SCHEMA)
     rows.write.option("compression", "uncompressed").parquet(path)
 
 
@@ -213,7 +213,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("part_base"))
     inside = sizes.select("part", "image", before(Window.partitionBy("part").orderBy("image")).alias("base"))
     n_images = sizes.count()
-    out = files.join(small(inside, 32 * n_images, 64 << 20), ["part", "image"]).select("part", "base", "content").mapInArrow(documents, schema)
+    out = files.join(small(inside, 32 * n_images, 64 << 20), ["part", "image"]).select("part", "base", "content").mapInArrow(arrow_task(documents), schema)
     return out.join(small(parts, 32 * n_images, 64 << 20), "part").withColumn("start", F.col("start") + F.col("part_base")).drop("part", "part_base")
 
 

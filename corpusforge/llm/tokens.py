@@ -42,7 +42,7 @@ class ChunkTokenizer:
     whole text. Letters followed by marks are looked up as letters and marks.
     """
 
-    def __init__(self, path: str, chunking: str | None, max_chunks: int = 700_000, max_ids: int = 8_000_000):
+    def __init__(self, path: str, chunking: str | None, max_chunks: int = 600_000, max_ids: int = 6_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

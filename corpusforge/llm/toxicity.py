@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, fit_sample, fold, mix, release, table
+from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, fit_sample, fold, mix, table
 
 #: General insults in four languages, one voter together.
 SEEDS = [
@@ -142,7 +142,6 @@ class ToxicityModel:
 
 
 def _batches(batch: pa.RecordBatch, size: int = 1024):
-    release()
     for lo in range(0, len(batch), size):
         yield batch.slice(lo, size)
 
@@ -171,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
                     p = np.diff(np.concatenate([[0], np.cumsum(toxic[d])])[np.append(first, len(h))])
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p, pa.int64()), pa.array(n, pa.int64())], ["entry", "p", "n"])
 
-    counted = sample.mapInArrow(count, "entry bigint, p bigint, n bigint").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counted = sample.mapInArrow(arrow_task(count), "entry bigint, p bigint, n bigint").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     top = counted.filter((F.col("p") >= min_rows) & (F.col("p") >= min_share * F.col("n"))).orderBy(F.desc("p"), "entry").limit(max_entries).collect()
     seeds = _seed_hashes()
     entries = np.array(sorted({int(np.int64(r["entry"]).view(np.uint64)) for r in top}), np.uint64)
@@ -185,7 +184,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
                 found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32()), pa.array(voter, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(n_words, pa.int64()), found], ["doc_id", "label", "n_words", "found"])
 
-    rows = sample.mapInArrow(collect_hits, "doc_id bigint, label int, n_words bigint, found array<int>").toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.mapInArrow(arrow_task(collect_hits), "doc_id bigint, label int, n_words bigint, found array<int>").toPandas().sort_values("doc_id", kind="stable")
     present = np.zeros((len(rows), len(entries)), bool)
     for i, found in enumerate(rows["found"]):
         present[i, np.asarray(found, int)] = True
@@ -218,7 +217,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
                 offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(hits[row, at], pa.int32()))], ["doc_id", "n_words", "at", "hits"])
 
-    voted = sample.mapInArrow(collect_votes, "doc_id bigint, n_words bigint, at array<int>, hits array<int>").toPandas().sort_values("doc_id", kind="stable")
+    voted = sample.mapInArrow(arrow_task(collect_votes), "doc_id bigint, n_words bigint, at array<int>, hits array<int>").toPandas().sort_values("doc_id", kind="stable")
     hits = np.zeros((len(voted), lexicon.n_voters), np.int32)
     for i, (at, n) in enumerate(zip(voted["at"], voted["hits"])):
         hits[i, np.asarray(at, int)] = np.asarray(n, int)
@@ -242,7 +241,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
     schema = docs.schema
     schema = type(schema)([*schema.fields]).add("toxicity", "double")
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(arrow_task(score), schema)
 
 
 def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
