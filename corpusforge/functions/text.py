@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no signal when entries are ranked.
 STOP_WORDS = [
@@ -68,7 +69,7 @@ def norm_key(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded, r"[.:;]+$", ""), r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed_and_folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()).casefold().rstrip(".:;").strip())
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corpusforge.functions import rules as R
 from corpusforge.functions.text import explode_lines
@@ -126,7 +127,7 @@ def domain_findings(lines: DataFrame, domains: list[str] | None = None) -> DataF
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _printable(texts: pd.Series) -> pd.Series:
     """Whether four fifths of a text's characters can be printed or are white space."""
     return texts.map(lambda t: bool(t) and sum(c.isprintable() or c.isspace() for c in t) / len(t) >= 0.8)

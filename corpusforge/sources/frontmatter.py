@@ -9,6 +9,7 @@ import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 TOOL = r"([A-Za-z_]\w*(?:\([^)]*\))?)"
 
@@ -47,7 +48,7 @@ def parse(text: str) -> tuple[dict, str]:
     return fields, body
 
 
-@F.pandas_udf("frontmatter string, body string")
+@F.pandas_udf(StructType().add("frontmatter", StringType()).add("body", StringType()))
 def _split(texts: pd.Series) -> pd.DataFrame:
     rows = [parse(t or "") for t in texts]
     return pd.DataFrame({"frontmatter": [json.dumps(f, sort_keys=True, default=str) for f, _ in rows], "body": [b for _, b in rows]})
