@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import relevance_tokens, slug, subject_words
+from corpusforge.sources.tables import saved
 
 POSITIVE = r"(?iuU)\b(always|must|use|do|enable|require|prefer|ensure)\b"
 NEGATIVE = r"(?iuU)\b(never|don'?t|do not|avoid|disable|forbid|must not|should not)\b"
@@ -151,18 +152,15 @@ def build_edges(atoms: DataFrame) -> DataFrame:
     return refs.select(F.col("id").alias("src_atom_id"), F.explode(F.regexp_extract_all("text", F.lit(REFERENCE), 1)).alias("target_ref")).filter("target_ref != ''").withColumn("kind", F.lit("resource"))
 
 
-def reachable(start: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids that lead on from start (id) over edges (src, dst), start included; ends on cycles.
 
-    The frontier alone is joined at each step. Lineage is cut by checkpoint(), which all executors can read again.
+    The frontier alone is joined at each step. Frontiers are written tables, so that a step's plan doesn't hold those before.
     """
-    seen = start.select("id").distinct()
-    frontier, step = seen, 0
+    frontier = seen = saved(start.select("id").distinct(), "frontier")
+    edges = saved(edges.select("src", "dst").distinct(), "edges")
     while True:
-        frontier = frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        step += 1
-        if step % checkpoint_every == 0:
-            seen, frontier = seen.checkpoint(), frontier.checkpoint()
+        frontier = saved(frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)

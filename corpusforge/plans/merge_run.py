@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators import dedupe, merge
 from corpusforge.sources.markdown import parse_atoms
+from corpusforge.sources.tables import saved
 
 
 @dataclass
@@ -26,18 +27,18 @@ class MergeRun:
 def run_merge(docs: DataFrame, needles: list[str], grouping: DataFrame | None = None, rulings: DataFrame | None = None, limit: int = 3) -> MergeRun:
     """docs: skill, body. Parse, collapse, group, find and settle conflicts, prune, partition, assemble, verify."""
     spark = docs.sparkSession
-    parsed = parse_atoms(docs).checkpoint()
+    parsed = saved(parse_atoms(docs), "atoms")
     atoms = dedupe.survivors(dedupe.collapse(parsed)).drop("survivor").withColumn("max_severity", F.lit(None).cast("string")).withColumn("kind", F.lit(None).cast("string"))
     assigned = merge.validate_grouping(atoms, merge.default_grouping(atoms) if grouping is None else grouping)
     conflicts = merge.detect_structural(atoms, assigned)
     empty = spark.createDataFrame([], "position int, atom_a string, atom_b string, type string, severity string, winner string")
-    settled = merge.reconcile_conflicts(merge.adjudicate(conflicts, empty if rulings is None else rulings), atoms).checkpoint()
+    settled = saved(merge.reconcile_conflicts(merge.adjudicate(conflicts, empty if rulings is None else rulings), atoms), "settled")
     losers = settled.filter("loser is not null").select(F.col("loser").alias("id"))
     edges = merge.build_edges(atoms).withColumn("resolved_atom_id", F.lit(None).cast("string"))
-    pruned = merge.prune_and_close(atoms, needles, edges, losers).checkpoint()
+    pruned = saved(merge.prune_and_close(atoms, needles, edges, losers), "pruned")
     kept = pruned.filter("status = 'kept'").select("id")
     clusters, warnings = merge.partition(kept, assigned, settled.filter("outcome = 'unresolved'"), limit)
-    layout = merge.layout(clusters, atoms).checkpoint()
+    layout = saved(merge.layout(clusters, atoms), "layout")
     outputs = merge.assemble(layout)
     dropped = pruned.filter("status = 'dropped'").select("id", "reason")
     problems = merge.verify(outputs, layout.select("cluster", "position", "atom_id"), parsed, dropped)

@@ -473,7 +473,7 @@ def prune_relevance(spark, sf_dir):
 def closure(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
     edges = turns.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).union(turns.filter("turn = 2").select("id", F.col("conv_id") * 1000))
-    return merge.reachable(turns.filter("turn = 1 and conv_id % 3 = 0").select("id"), edges, checkpoint_every=1 << 30)
+    return merge.reachable(turns.filter("turn = 1 and conv_id % 3 = 0").select("id"), edges)
 
 
 @query(f"SELECT * FROM {_sql_values([('g0 + g1', 'a0'), ('g0 + g1', 'a1'), ('g2 + g3', 'a2'), ('g2 + g3', 'a3'), ('g4', 'a4'), ('g4', 'a5')], 'cluster, atom_id')}")
