@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, table
+from corpusforge.llm.tokens import slices
 
 #: Phrases whose every place counts (fixed values), with their labels.
 PHRASES = [
@@ -172,8 +173,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         known = hashes[order]
         openings = np.array(sorted(a * len(vocabulary) + b for a, b in automaton.openings))
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                part = batch.slice(lo, 2048)
+            for lo, hi in slices(batch.column("text"), 2 << 20):
+                part = batch.slice(lo, hi - lo)
                 words = Words(part.column("text"), separators=_IS_ASCII_NON_ALNUM)
                 h = words.hashes()
                 near = np.minimum(np.searchsorted(known, h), len(known) - 1)

@@ -72,8 +72,8 @@ def with_curve_key(docs: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                part = batch.slice(lo, 2048)
+            for lo, hi in slices(batch.column("text"), 2 << 20):
+                part = batch.slice(lo, hi - lo)
                 texts = part.column("text")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, pa.array(hilbert_key(document_points(texts), BITS), pa.int64())], ["doc_id", "text", "curve_key"])
 
@@ -96,7 +96,7 @@ def cut_stream(total: int, length: int) -> np.ndarray:
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, length: int = 2048, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, length: int = 2048, with_ids: bool = True, max_chunks: int = 250_000) -> DataFrame:
     """Pieces of documents in sequences of at most `length` ids; docs needs doc_id and text, with or without others.
 
     A null or empty text has its end id alone. Rows of one doc_id are packed one by one. A document longer than a sequence
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
     schema = PIECES + ", ids array<bigint>" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = coder(tokenizer, chunking)
+        tokens = coder(tokenizer, chunking, max_chunks)
         part = 0
         first_sequence = 0
         held: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, start, ids in all, ids: the open sequence
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             if doc_ids:
                 part = batch.column("part")[0].as_py()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 2 << 20):
                 ids, counts = tokens.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype("<u4")

@@ -180,14 +180,14 @@ class ChunkTokenizer:
         return self.ids[spread(counts, self.first[at])], np.diff(before[offsets])
 
 
-_CODERS: dict[tuple[str, str | None], ChunkTokenizer] = {}
+_CODERS: dict[tuple, ChunkTokenizer] = {}
 CACHES.append(_CODERS)
 
 
-def coder(path: str, chunking: str | None) -> ChunkTokenizer:
+def coder(path: str, chunking: str | None, max_chunks: int = 600_000) -> ChunkTokenizer:
     """One for each process: the cache serves all its tasks."""
-    if (key := (path, chunking)) not in _CODERS:
-        _CODERS[key] = ChunkTokenizer(path, chunking)
+    if (key := (path, chunking, max_chunks)) not in _CODERS:
+        _CODERS[key] = ChunkTokenizer(path, chunking, max_chunks)
     return _CODERS[key]
 
 
