@@ -136,7 +136,8 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(doc_ids, known)], counts.astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-IMAGE_SCHEMA = "part int, image int, n_docs bigint, n_ids bigint, content binary"
+#: base: ids of the part before the image.
+IMAGE_SCHEMA = "part int, image int, base bigint, n_docs bigint, n_ids bigint, content binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str | None, end_id: int, image_ids: int = 1_000_000) -> None:
@@ -151,13 +152,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str
         held_docs: list[int | None] = []
         held: list[np.ndarray] = []
         counts: list[int] = []
-        part, n_image = 0, 0
+        part, n_image, base = 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held_docs, held, counts, n_image
+            nonlocal held_docs, held, counts, n_image, base
             ids = np.concatenate(held)
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "image": pa.array([n_image], pa.int32()), "n_docs": [len(held_docs)], "n_ids": [len(ids)], "content": pa.array([write_image(held_docs, np.array(counts), ids)], pa.binary())})
-            held_docs, held, counts, n_image = [], [], [], n_image + 1
+            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "image": pa.array([n_image], pa.int32()), "base": [base], "n_docs": [len(held_docs)], "n_ids": [len(ids)], "content": pa.array([write_image(held_docs, np.array(counts), ids)], pa.binary())})
+            held_docs, held, counts, n_image, base = [], [], [], n_image + 1, base + len(ids)
             return out
 
         size = 0
@@ -207,14 +208,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_pydict(columns)
 
     files = spark.read.schema(IMAGE_SCHEMA).parquet(path)
-    # one row for each image: the places of images in a part, and of parts among all, from the counts alone
-    sizes = files.select("part", "image", "n_ids")
-    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("part_base"))
-    inside = sizes.select("part", "image", before(Window.partitionBy("part").orderBy("image")).alias("base"))
-    n_images = sizes.count()
-    out = files.join(small(inside, 32 * n_images, 64 << 20), ["part", "image"]).select("part", "base", "content").mapInArrow(arrow_task(documents), schema)
-    return out.join(small(parts, 32 * n_images, 64 << 20), "part").withColumn("start", F.col("start") + F.col("part_base")).drop("part", "part_base")
+    # the places of parts among all, from the counts alone: one row for each part that was written
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("part_base"))
+    n_parts = files.select("part").distinct().count()
+    out = files.select("part", "base", "content").mapInArrow(arrow_task(documents), schema)
+    return out.join(small(parts, 32 * n_parts, 64 << 20), "part").withColumn("start", F.col("start") + F.col("part_base")).drop("part", "part_base")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
