@@ -91,10 +91,6 @@ def atom_id(owner: str | Column, path: str | Column, text: str | Column) -> Colu
     return F.concat_ws(":", _col(owner), _col(path), short_hash(text))
 
 
-def any_of(hits: list[str]) -> Column:
-    return F.array(*map(F.lit, hits))
-
-
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row for each line, numbered from 1; an empty last line doesn't count. Other columns are kept."""
     others = [c for c in df.columns if c != text]

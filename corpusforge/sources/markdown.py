@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusforge.functions.text import norm_key_full
 from corpusforge.operators.merge import detected_kind
