@@ -39,6 +39,7 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    tidy()  # between steps, for the driver
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

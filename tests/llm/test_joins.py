@@ -85,8 +85,9 @@ def test_ngram_join_odd_rows(odd_docs, no_docs):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+    for few in (0, 5, 50_000):
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), few).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
