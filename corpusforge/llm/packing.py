@@ -96,7 +96,7 @@ def cut_stream(total: int, length: int) -> np.ndarray:
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, length: int = 2048, with_ids: bool = True, max_chunks: int = 250_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, length: int = 2048, with_ids: bool = True, max_chunks: int = 600_000) -> DataFrame:
     """Pieces of documents in sequences of at most `length` ids; docs needs doc_id and text, with or without others.
 
     A null or empty text has its end id alone. Rows of one doc_id are packed one by one. A document longer than a sequence
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             if doc_ids:
                 part = batch.column("part")[0].as_py()
-            for lo, hi in slices(texts, 2 << 20):
+            for lo, hi in slices(texts):
                 ids, counts = tokens.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype("<u4")
