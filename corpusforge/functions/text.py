@@ -59,21 +59,24 @@ def clean(value: str | Column) -> Column:
     return F.lower(F.regexp_replace(_col(value), r"(?U)^\s+|\s+$", ""))
 
 
-def norm_key(text: str | Column) -> Column:
-    """Key of exact duplicates: trimmed, white space collapsed, case folded, marks .:; at the end dropped.
-
-    Stays in the JVM: folds case by lower-casing and by taking sharp s apart, and takes texts as composed (NFC) already.
-    `norm_key_full` composes and folds any text.
-    """
-    folded = F.replace(F.lower(F.regexp_replace(F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(F.regexp_replace(folded, r"[.:;]+$", ""), r"(?U)^\s+|\s+$", "")
-
-
 @F.pandas_udf(StringType())
 def _composed_and_folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()).casefold().rstrip(".:;").strip())
 
 
+def norm_key(text: str | Column) -> Column:
+    """Key of exact duplicates: composed (NFC), trimmed, white space collapsed, case folded, marks .:; at the end dropped.
+
+    Equals `norm_key_full`. Plain ASCII stays in the JVM, where lower-casing folds it and no composing is needed; Python gets
+    the other texts, and those with the separators U+001C to U+001F, which only Python takes for white space.
+    """
+    text = _col(text)
+    other = text.rlike(r"[^\x00-\x7F]|[\x1C-\x1F]")
+    folded = F.lower(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " "))
+    plain = F.regexp_replace(F.regexp_replace(folded, r"[.:;]+$", ""), r"^\s+|\s+$", "")
+    return F.when(other, _composed_and_folded(F.when(other, text))).otherwise(plain)
+
+
 def norm_key_full(text: str | Column) -> Column:
     return _composed_and_folded(_col(text))
 

@@ -3,9 +3,10 @@ import unicodedata
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusforge.functions import text as T
-from corpusforge.operators import ranking
+from corpusforge.operators import dedupe, evaluate, ranking
 
 
 def test_tokens(spark):
@@ -22,6 +23,22 @@ def test_full_key_is_composed_and_folded(spark, texts):
     assert [r[0] for r in df.orderBy("i").select(T.norm_key_full("t")).collect()] == want
 
 
+def test_key_is_the_full_key(spark):
+    texts = ["cafe\u0301 Noir.", "CAF\u00c9  noir", "\u017ft \ufb01n", "ST FIN", "\u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03bf\u03c2", "a\x1cb", "A b ..", " \x0b x;\n", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    keys = [r[0] for r in df.select(T.norm_key("t")).collect()]
+    assert keys == [r[0] for r in df.select(T.norm_key_full("t")).collect()]
+    assert all(keys[i] == keys[i + 1] for i in (0, 2, 4, 6))
+
+
+def test_copies_and_leaks_in_other_forms(spark):
+    docs = spark.createDataFrame([(1, "Une page du cafe\u0301 noir ici"), (2, "une page du CAF\u00c9 noir ici."), (3, "e\ufb03cient")], "doc int, text string")
+    collapsed = dedupe.collapse(docs.select(F.col("doc").alias("id"), F.lit("s").alias("skill"), F.col("doc").alias("source_order"), T.norm_key("text").alias("norm_key")))
+    assert {r.id: r.survivor for r in collapsed.collect()} == {1: 1, 2: 1, 3: 3}
+    items = spark.createDataFrame([(1, "page du caf\u00e9 noir"), (2, "efficient"), (3, "not in any text")], "item_id int, text string")
+    assert sorted(r.item_id for r in evaluate.leaks(items, docs).collect()) == [1, 2]
+
+
 def test_native_key(spark):
     df = spark.createDataFrame([(0, " Use   TLS. "), (1, "use tls"), (2, "Straße :"), (3, "STRASSE")], "i int, t string")
     keys = [r[0] for r in df.orderBy("i").select(T.norm_key("t")).collect()]
