@@ -83,6 +83,18 @@ def test_ngram_join_odd_rows(odd_docs, no_docs):
     assert one_of_each_group(no_docs).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark, odd_docs):
+    t1, t2, t3 = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(3, t1), (5, t1), (5, t2), (7, t2 + " end"), (7, t2 + " end"), (9, t3), (9, "other words of the same id"), (11, None), (11, None), (None, t1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = ngram_join(docs, 5, 80).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(3, 3), (5, 3), (7, 3), (9, 9), (11, 11), (None, None)}
+    kept = [tuple(r) for r in one_of_each_group(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, t1), (5, t2), (9, t3), rows[6], (11, None), (None, t1)], key=str)
+    assert [r["text"] for r in one_of_each_group(odd_docs).filter("doc_id = 12").collect()] == ["another text of the same id " * 5]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     for few in (0, 5, 50_000):
