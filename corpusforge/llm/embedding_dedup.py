@@ -52,15 +52,27 @@ def learn_rotation(x: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.nda
 
 def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float = 0.97, seed: int = 9) -> Tables:
     """Tables from a bounded sample of unit vectors. Substrings grow with the logarithm of the rows, so that tables' cells stay
-    small; tables are added until the chance to miss a pair at the threshold is below 1 - recall."""
+    small; tables are added until the chance to miss a pair at the threshold is below 1 - recall.
+
+    Centring balances the codes, but two vectors near the mean then agree on fewer bits. So the tables are counted for the
+    sample's vectors nearest to the mean, which are those of a dense group; where that takes more than twice the tables that
+    vectors as they are take, which doesn't depend on how they lie, nothing is centred.
+    """
     dims = sample.shape[1]
+    bits = int(np.clip(math.ceil(math.log2(max(2, n_rows))) - 4, 4, min(22, dims)))
+
+    def needed(cosine: float) -> float:
+        agree = 1 - math.acos(max(-1.0, cosine)) / math.pi
+        return math.log(1 - recall) / math.log1p(-min(0.999, agree**bits)) if agree > 0 else math.inf
+
     mean = sample.mean(0)
+    # two centred vectors, neither shorter than the shortest, have at least this cosine where the threshold is met
+    shortest = max(1e-12, float(((sample - mean) ** 2).sum(1).min()))
+    tables = needed(1 - (1 - threshold) / shortest)
+    if tables > 2 * needed(threshold):
+        mean, tables = np.zeros(dims), needed(threshold)
     centred = sample - mean
-    spread = max(1e-6, float((centred**2).sum(1).mean()))
-    cosine = max(-1.0, 1 - (2 - 2 * threshold) / (2 * spread))  # of two centred vectors at the threshold
-    agree = 1 - math.acos(cosine) / math.pi
-    bits = int(np.clip(math.ceil(math.log2(max(2, n_rows))) - 4, 4, min(22, dims)))
-    n_tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, agree**bits))))
+    n_tables = max(1, math.ceil(tables))
     rng = np.random.default_rng(seed)
     _, axes = np.linalg.eigh(centred.T @ centred)
     rotations = []

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from corpusforge.llm.components import components
-from corpusforge.llm.embedding_dedup import near_duplicates, op10_embedding_dedup
+from corpusforge.llm.embedding_dedup import fit_tables, near_duplicates, op10_embedding_dedup
 from corpusforge.llm.ngram_join import linked_sets, ngram_join, one_of_each_group
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,6 +128,28 @@ def test_embedding_rows_that_repeat(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_one_class(spark):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(4)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(i, 3, 0, i == 0) for i in range(4)]
+
+
+def test_tables_for_dense_rows():
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    centre = unit(rng.standard_normal((1, 64)))
+    around = rng.standard_normal((500, 64))
+    cone = 0.9 * centre + 0.19**0.5 * unit(around - (around @ centre.T) * centre)
+    base = np.concatenate([cone, unit(rng.standard_normal((1000, 64)))])
+    aside = rng.standard_normal(base.shape)
+    copies = 0.902 * base + (1 - 0.902**2) ** 0.5 * unit(aside - (aside * base).sum(1)[:, None] * base)
+    tables = fit_tables(base, 1_000_000, 0.9)
+    met = (tables.keys(base) == tables.keys(copies)).any(1)
+    assert met[:500].mean() >= 0.97 and met[500:].mean() >= 0.97
+    for close in (unit(base[:1] + 1e-3 * aside[:200]), unit(base[:1] + 0.03 * aside[:200]), base[:1]):
+        assert fit_tables(close, 1_000_000, 0.9).n_tables < 100
+
+
 def test_embedding_query(spark):
     rows = op10_embedding_dedup(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
