@@ -336,6 +336,37 @@ def scan_verdicts(spark, sf_dir):
     return scan.verdicts(scan.scan(_scan_files(spark)), _scan_files(spark))
 
 
+# the three queries with names in _documents do over all documents what those above do over a few constant files
+
+
+def _doc_files(docs):
+    """Each document as a bundle of one file."""
+    return docs.select(F.col("doc_id").cast("string").alias("bundle_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+_LINES_BY_DOC = _sql_lines("(SELECT doc_id::VARCHAR AS bundle_id, doc_id::VARCHAR AS path, text FROM documents)", "bundle_id, path")
+
+
+@query(
+    f"""WITH lines AS {_LINES_BY_DOC}, hits AS ({_ALL_HITS}), worst AS (SELECT bundle_id, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS r FROM hits GROUP BY bundle_id)
+    SELECT doc_id::VARCHAR AS bundle_id, CASE WHEN coalesce(r, 0) >= 4 THEN 'block' WHEN coalesce(r, 0) >= 2 THEN 'review' ELSE 'pass' END AS verdict FROM documents LEFT JOIN worst ON bundle_id = doc_id::VARCHAR"""
+)
+def verdict_rollup_documents(spark, sf_dir):
+    lines = _doc_lines(spark, sf_dir).withColumn("bundle_id", F.col("path"))
+    return scan.verdicts(scan.line_findings(lines), _doc_files(read(spark, sf_dir, "documents")))
+
+
+def document_verdicts(docs):
+    files = _doc_files(docs)
+    return scan.verdicts(scan.scan(files), files)
+
+
+@query()
+def scan_verdicts_documents(spark, sf_dir):
+    """The whole scan, which decodes blobs, has no SQL."""
+    return document_verdicts(read(spark, sf_dir, "documents"))
+
+
 @query(
     """SELECT l.doc_id AS bundle_id, CASE WHEN l.doc_id % 5 <> 0 AND toxic = 1 THEN 'block' WHEN l.doc_id % 3 = 0 THEN 'review' ELSE 'pass' END AS verdict, CASE WHEN l.doc_id % 5 <> 0 THEN CASE WHEN toxic = 1 THEN 'block' ELSE 'pass' END END AS hosted_verdict, l.doc_id % 5 = 0 AS stale FROM labels l
     UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'review' ELSE 'pass' END, NULL, false FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
@@ -484,6 +515,17 @@ def partition_clusters(spark, sf_dir):
     return merge.partition(kept, groups, conflicts)[0]
 
 
+@query(
+    """WITH RECURSIVE s AS (SELECT list_sort(list({'n': n, 'label': source, 'sources': [source]})) AS c FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)
+    UNION ALL SELECT list_sort(list_append(c[3:], {'n': c[1].n + c[2].n, 'label': least(c[1].label, c[2].label) || ' + ' || greatest(c[1].label, c[2].label), 'sources': list_concat(c[1].sources, c[2].sources)})) FROM s WHERE len(c) > 3),
+    named AS (SELECT k.label AS cluster, unnest(k.sources) AS source FROM (SELECT unnest(c) AS k FROM s WHERE len(c) <= 3))
+    SELECT cluster, doc_id::VARCHAR AS atom_id FROM documents JOIN named USING (source)"""
+)
+def partition_clusters_documents(spark, sf_dir):
+    groups = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("atom_id"), F.col("source").alias("group"))
+    return merge.partition(groups.select(F.col("atom_id").alias("id")), groups, _values(spark, [], "atom_a string, atom_b string"))[0]
+
+
 @query("SELECT conv_id AS cluster, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
 def assemble_body(spark, sf_dir):
     placed = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("cluster"), F.col("turn").alias("position"), "text")
