@@ -72,10 +72,6 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return keyed.join(small(rejected.toDF(name), 16 * rejected.count()), name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
-#: Caches that a Python worker keeps between tasks of one kind.
-CACHES: list[dict] = []
-
-
 def tidy() -> None:
     """Return freed memory to the system; a worker serves one task after another, and what it holds counts for its executor."""
     gc.collect()
@@ -84,13 +80,10 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def arrow_task(function, keeps_caches: bool = False):
-    """function for mapInArrow, without the caches of other work while it runs and with memory returned when it ends."""
+def arrow_task(function):
+    """function for mapInArrow, with memory returned when it ends."""
 
     def run(batches):
-        if not keeps_caches:
-            for cache in CACHES:
-                cache.clear()
         tidy()
         try:
             yield from function(batches)

@@ -1,9 +1,9 @@
 """Packing along a space-filling curve.
 
 Each document's words are hashed to a vector of counts, projected to a few dimensions, and the point's Hilbert key orders
-the documents: neighbours along the curve have like words. Ranges of the curve are packed apart: the ids of a range form one
-stream, cut every `length` ids, so that only the end of a range could need padding; that end is cut into lengths that are
-powers of two, which need none.
+the documents: neighbours along the curve have like words. Ranges of the curve, of about equal bytes, are packed apart: the
+ids of a range form one stream, cut every `length` ids, so that only the end of a range could need padding; that end is cut
+into lengths that are powers of two, which need none.
 """
 
 from __future__ import annotations
@@ -67,17 +67,38 @@ def document_points(texts: pa.Array, dims: int = DIMS, bits: int = BITS) -> np.n
     return np.clip(((np.tanh(unit / 2) + 1) / 2 * steps).astype(np.int64), 0, steps - 1)
 
 
-def with_curve_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and the document's Hilbert key."""
+def with_range(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """doc_id, text (null: empty), place (on the curve, then by a hash of doc_id) and part, the range of the place."""
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column("text"), 2 << 20):
+            for lo, hi in slices(batch.column("text"), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 texts = part.column("text")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, pa.array(hilbert_key(document_points(texts), BITS), pa.int64())], ["doc_id", "text", "curve_key"])
+                place = hilbert_key(document_points(texts), BITS) << 15 | part.column("h").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, pa.array(place, pa.int64()), pa.array(np.searchsorted(shared.value, place, side="right"), pa.int32())], ["doc_id", "text", "place", "part"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(arrow_task(keyed), "doc_id bigint, text string, curve_key bigint")
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 49)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h")).mapInArrow(arrow_task(keyed), "doc_id bigint, text string, place bigint, part int")
+
+
+def range_bounds(docs: DataFrame, parts: int, rows_a_part: int = 100, most: int = 1_000_000) -> np.ndarray:
+    """Ascending places that cut docs into ranges of about equal bytes, from about rows_a_part rows a range (most in all).
+
+    The rows are chosen by a hash of doc_id and text; they decide only where ranges end.
+    """
+    n = docs.count()
+    share = min(1.0, min(most, rows_a_part * parts) / max(1, n))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1 << 24)) < int(share * (1 << 24)))
+    rows = with_range(some, np.zeros(0, np.int64)).select("place", (F.octet_length("text") + 1).alias("size")).toArrow()
+    place, size = rows.column("place").to_numpy(), rows.column("size").to_numpy().astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    sums = np.cumsum(size[order])
+    if not len(sums):
+        return np.zeros(0, np.int64)
+    cuts = np.searchsorted(sums, sums[-1] * np.arange(1, parts) / parts)
+    return np.unique(place[order][np.minimum(cuts, len(place) - 1)])
 
 
 def cut_stream(total: int, length: int) -> np.ndarray:
@@ -96,7 +117,7 @@ def cut_stream(total: int, length: int) -> np.ndarray:
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, length: int = 2048, with_ids: bool = True, max_chunks: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, with_ids: bool = True) -> DataFrame:
     """Pieces of documents in sequences of at most `length` ids; docs needs doc_id and text, with or without others.
 
     A null or empty text has its end id alone. Rows of one doc_id are packed one by one. A document longer than a sequence
@@ -106,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
     schema = PIECES + ", ids array<bigint>" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = coder(tokenizer, chunking, max_chunks)
+        tokens = coder(tokenizer)
         part = 0
         first_sequence = 0
         held: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, start, ids in all, ids: the open sequence
@@ -141,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             if doc_ids:
                 part = batch.column("part")[0].as_py()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1 << 18):
                 ids, counts = tokens.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype("<u4")
@@ -164,12 +185,14 @@ def pack(docs: DataFrame, tokenizer: str, chunking: str | None, end_id: int, len
         if held:
             yield emit(held, cut_stream(sum(len(r[3]) for r in held), length))
 
-    spark = docs.sparkSession
-    ranged = with_curve_key(docs).withColumn("h", F.xxhash64("doc_id")).repartitionByRange(partitions(spark), "curve_key", "h").sortWithinPartitions("curve_key", "h", "doc_id")
-    return ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(arrow_task(pieces, keeps_caches=True), schema)
+    parts = partitions(docs.sparkSession)
+    texts = docs.select("doc_id", "text")
+    ranged = with_range(texts, range_bounds(texts, parts)).repartitionById(parts, "part").sortWithinPartitions("place", "doc_id")
+    return ranged.select("doc_id", "text", "part").mapInArrow(arrow_task(pieces), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, null and empty texts (their end id alone) included; an empty table gives none."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "space", end_id=1, with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, with_ids=False)

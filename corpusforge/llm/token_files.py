@@ -140,7 +140,7 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 IMAGE_SCHEMA = "part int, image int, base bigint, n_docs bigint, n_ids bigint, content binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str | None, end_id: int, image_ids: int = 1_000_000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, image_ids: int = 1_000_000) -> None:
     """Encode docs (doc_id, text) and write their ids, each document's followed by end_id, in ascending doc_id order.
 
     A null text is empty: it has its end id alone. A null doc_id comes first. Rows of one doc_id follow in the order of a
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str
     """
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = coder(tokenizer, chunking)
+        tokens = coder(tokenizer)
         held_docs: list[int | None] = []
         held: list[np.ndarray] = []
         counts: list[int] = []
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             if doc_ids:
                 part = batch.column("part")[0].as_py()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1 << 18):
                 ids, n = tokens.encode(texts.slice(lo, hi - lo))
                 ends = np.cumsum(n)
                 held.append(np.insert(ids, ends, end_id))
@@ -182,7 +182,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, chunking: str
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     ranged = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    rows = ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(arrow_task(images, keeps_caches=True), IMAGE_SCHEMA)
+    rows = ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(arrow_task(images), IMAGE_SCHEMA)
     rows.write.option("compression", "uncompressed").parquet(path)
 
 
@@ -218,8 +218,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from the files: null and empty texts have the end id alone, an empty table no rows."""
     import public_tokenizers
 
     path = scratch(spark, "token_files")
-    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=2)
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, path, with_ids=False)

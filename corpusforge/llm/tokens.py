@@ -1,12 +1,14 @@
-"""Tokenisation with a cache of chunks: the ids of a text put together from the ids of its white-space-free parts.
+"""Ids of whole texts by a byte-pair tokenizer file of the tokenizers library, in batches and without a cache.
 
-A byte-pair tokenizer never merges across the pieces that its pre-tokenizer cuts, and those pieces end at white space. Where
-that is so, equal chunks always have equal ids, so each chunk is encoded once and looked up afterwards. A text for which the
-rule can't be shown to hold is encoded whole, by the same tokenizer.
+The ids are those of the library. Texts of known characters (Latin letters, ASCII, common punctuation) are merged
+by tiktoken's loop over the merges of the same file, which builds no offsets or strings for each token; all others go through
+the library itself. That loop takes a merge by what it makes, not by its two parts: when a file is loaded its merges must
+stand in the order of their ids, and every piece of the vocabulary must give the same ids both ways, or the library does all.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -14,181 +16,167 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpusforge.llm.common import CACHES, spread
+#: Patterns and normalisers that the fast way knows (fixed values, as the files have them).
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters whose classes are known: Latin with marks (lower case of U+0130 has two characters), dashes, quotes, dots, the euro sign.
+KNOWN = [(0, 0x84), (0x86, 0x9F), (0xA1, 0x12F), (0x131, 0x17F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC)]
+_UNKNOWN = "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in KNOWN) + "]"
+_SPACES = [*range(9, 14), 32]
+_SPACE, _LETTER, _DIGIT, _OTHER = range(1, 5)
+#: Ends of pieces have characters of their own, U+0200 + byte; bytes beyond ASCII have U+0100 + byte.
+_SYMBOLS = np.array([b if b < 128 else 0x100 + b for b in range(256)] + [0x200 + b for b in range(256)], np.uint32)
 
-#: Unicode white space, as the tokenizers' patterns have it.
-_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Marks that stand in a piece of their own after letters; no apostrophe, which opens contractions.
-_MARKS = ".,;:!?#*$%&|"
 
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each code point up to U+20AC."""
+    kind, lower = np.zeros(0x20AD, np.uint8), np.arange(0x20AD, dtype=np.uint32)
+    for a, b in KNOWN:
+        for c in range(a, b + 1):
+            first = unicodedata.category(chr(c))[0]
+            kind[c] = _SPACE if c in _SPACES else _LETTER if first == "L" else _DIGIT if first == "N" else _OTHER
+            lower[c] = ord(chr(c).lower())
+    return kind, lower
 
-class _Index(dict):
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+_KIND, _LOWER = _classes()
 
 
-class ChunkTokenizer:
-    """chunking "word": the pre-tokenizer drops white space and lower-cases; chunks are cut at ASCII white space. "space": a
-    lone space opens a piece with what follows it; chunks are cut before each, if no white space stands beside any space.
-    None: every text whole.
+def _letters_of_bytes() -> dict[str, int]:
+    """The character that stands for each byte in vocabularies of bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    Keys: a chunk (in "space" mode, the space before it is left out), "\\n" and a chunk without that space, or "\\r" and a
-    whole text. Letters followed by marks are looked up as letters and marks.
-    """
 
-    def __init__(self, path: str, chunking: str | None, max_chunks: int = 600_000, max_ids: int = 6_000_000):
+class Coder:
+    """ids of texts by the tokenizer file at path; special strings in a text are ordinary text."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        self.chunking, self.max_chunks, self.max_ids = chunking, max_chunks, max_ids
-        # ids that open a piece ("space") or end one ("word"): many chunks of letters can be encoded as one text and told apart
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        for piece, i in vocabulary.items():
-            self.edge[i] = piece.endswith("</w>") if chunking == "word" else piece.startswith("\u0120")
-        self.reset()
-
-    def reset(self) -> None:
-        self.index = _Index()
-        self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.uses = np.zeros(1 << 14, np.uint8)
-
-    def shrink(self) -> None:
-        """Keep the chunks that came back in a later batch, or none if those are too many as well."""
-        keys = list(self.index)
-        kept = np.flatnonzero(self.uses[: len(keys)] > 1)
-        counts, first, ids = self.count[kept], self.first[kept], self.ids
-        self.reset()
-        if len(kept) > self.max_chunks // 2 or int(counts.sum()) > self.max_ids // 2:
-            return
-        for k in kept.tolist():
-            self.index[keys[k]]  # numbers it anew
-        self.index.new = []
-        self._grow()
-        self._append(np.arange(len(kept)), counts, ids[spread(counts, first)])
-
-    def _grow(self) -> None:
-        while len(self.index) + 1 > len(self.first):
-            n = 2 * len(self.first)
-            self.first, self.count = np.resize(self.first, n), np.resize(self.count, n)
-            self.uses = np.concatenate([self.uses, np.zeros(n - len(self.uses), np.uint8)])
-
-    def _text(self, key: str) -> str:
-        if key[:1] == "\r" or key[:1] == "\n":
-            return key[1:]
-        return key if self.chunking == "word" else " " + key
-
-    def _parts(self, key: str) -> tuple[str, str] | None:
-        """Keys whose ids together are those of key, if it can be taken apart."""
-        if self.chunking == "word":
-            low = key.lower() if key.isascii() else key
-            stem = low.rstrip(_MARKS)
-            tail = low[len(stem) :]
-        else:
-            low, stem = key, key.rstrip(_MARKS)
-            tail = "\n" + key[len(stem) :] if len(stem) < len(key) else ""
-        if not (tail or low != key) or not stem.isalpha():
+        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = (spec["model"].get("end_of_word_suffix") or "") != ""
+        self.fast = self._merges(spec)
+
+    def _merges(self, spec: dict):
+        """The fast coder, if the file is of a kind that it serves."""
+        import tiktoken
+
+        model, cut = spec["model"], json.dumps(spec.get("pre_tokenizer"), sort_keys=True)
+        known = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")) and not spec.get("truncation")
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        wordwise = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, bytewise | {"use_regex": False}]}
+        folding = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+        want = (wordwise, folding) if self.words else (bytewise, None)
+        suffix = model.get("end_of_word_suffix") or ""
+        if not known or (cut, spec.get("normalizer")) != (json.dumps(want[0], sort_keys=True), want[1]) or suffix not in ("", "</w>"):
             return None
-        # a letter may lose its mark when composed or lower-cased; the mark would then stand with what follows
-        if self.chunking == "word" and not stem.isascii() and not unicodedata.normalize("NFC", stem).lower().isalpha():
+        byte = _letters_of_bytes()
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in pairs]
+        if made != sorted(set(made)) or len(made) + (512 if self.words else 256) != len(model["vocab"]) or (made and made[0] != len(model["vocab"]) - len(made)):
             return None
-        return stem, tail
-
-    def _append(self, at: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.count[at] = counts
-        self.first[at] = self.n_ids + np.cumsum(counts) - counts
-        self.n_ids += len(flat)
-
-    def _fill(self) -> None:
-        new, index = self.index.new, self.index
-        letters_at, letters, plain_at, plain, joined = [], [], [], [], []
-        for key in new:  # grows while parts of keys are met
-            at = index[key]
-            if (parts := self._parts(key)) is not None:
-                joined.append((at, index[parts[0]], index[parts[1]] if parts[1] else -1))
-            elif key.isalpha() and self.chunking is not None:
-                letters_at.append(at)
-                letters.append(key)
+        ranks = {}
+        for piece, i in model["vocab"].items():
+            if self.words:
+                end = piece.endswith(suffix)
+                raw = [byte[c] for c in (piece[: -len(suffix)] if end else piece)]
+                marked = np.array(raw) + 256 * (np.arange(len(raw)) == len(raw) - 1) * end
+                ranks["".join(map(chr, _SYMBOLS[marked].tolist())).encode()] = i
             else:
-                plain_at.append(at)
-                plain.append(self._text(key))
-        self.index.new = []
-        self._grow()
-        lead = "" if self.chunking == "word" else " "
-        for lo in range(0, len(letters), 4096):
-            some = letters[lo : lo + 4096]
-            flat = np.array(self.tokenizer.encode_batch_fast([lead + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            edges = np.flatnonzero(self.edge[flat])
-            if len(edges) != len(some):  # letters that don't make one piece each
-                plain_at += letters_at[lo : lo + 4096]
-                plain += map(self._text, some)
-                continue
-            counts = np.diff(np.append(-1, edges)) if self.chunking == "word" else np.diff(np.append(edges, len(flat)))
-            self._append(np.array(letters_at[lo : lo + 4096]), counts, flat)
-        for lo in range(0, len(plain), 8192):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(plain[lo : lo + 8192], add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            self._append(np.array(plain_at[lo : lo + 8192]), counts, np.array([i for f in found for i in f], np.uint32))
-        if joined:
-            at, a, b = np.array(joined).T
-            parts = np.column_stack([a, b]).ravel()
-            counts = np.where(parts < 0, 0, self.count[parts])
-            flat = self.ids[spread(counts, self.first[parts])]
-            self._append(at, counts.reshape(-1, 2).sum(1), flat)
+                ranks[bytes(byte[c] for c in piece)] = i
+        pattern = "[^Ȁ-˿]*[Ȁ-˿]" if self.words else BYTE_PATTERN
+        fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return fast if self._agrees(fast, model["vocab"], suffix, byte) else None
+
+    def _agrees(self, fast, vocab: dict[str, int], suffix: str, byte: dict[str, int]) -> bool:
+        pieces = [p for p in vocab if p.endswith(suffix)]
+        raw = [bytes(byte[c] for c in p[: len(p) - len(suffix)]) for p in pieces]
+        texts = pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
+        texts = texts.filter(pc.invert(pc.match_substring_regex(texts, _UNKNOWN)))
+        own = self._library(texts.to_pylist())
+        self.fast = fast
+        plain = self._fast(texts)
+        return plain is not None and np.array_equal(plain[1], own[1]) and np.array_equal(plain[0], own[0])
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum())), counts
+
+    def _marked(self, texts: list[str]) -> tuple[str, np.ndarray]:
+        """All texts, lower-cased and without white space, the last byte of each piece marked, and where each text ends."""
+        points = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le"), np.uint32)
+        low, kind = _LOWER[points], _KIND[points]
+        first = kind == _DIGIT
+        first[0] |= kind[0] != _SPACE
+        first[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != _SPACE)
+        for i in np.flatnonzero(first & (low == 39)).tolist():  # contractions: an apostrophe that opens a piece
+            tail = low[i + 1 : i + 3].tobytes().decode("utf-32-le")
+            n = 1 if tail[:1] in ("s", "t", "m", "d") else 2 if tail in ("re", "ve", "ll") else 0
+            if n:
+                first[i + 1] = False
+                first[i + n + 1] = kind[i + n + 1] != _SPACE
+        inside = kind != _SPACE
+        last = inside.copy()  # a space stands at the end, so that every piece ends before another place
+        last[:-1] &= first[1:] | ~inside[1:]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        low, last = low[inside], last[inside]
+        before = np.concatenate([[0], np.cumsum(inside)])
+        ends = before[ends]
+        if len(low) and low.max() >= 128:
+            width = 1 + (low >= 0x80).astype(np.int64) + (low >= 0x800)
+            place = np.cumsum(width)
+            symbols = np.frombuffer(low.tobytes().decode("utf-32-le").encode(), np.uint8).astype(np.int64)
+            symbols[place[last] - 1] += 256
+            ends = np.concatenate([[0], place])[ends]
+        else:
+            symbols = low + np.uint32(256) * last
+        return _SYMBOLS[symbols].tobytes().decode("utf-32-le"), ends
+
+    def _fast(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids and counts, or None if some text is too much for the pattern's stack."""
+        encode, rows = self.fast._core_bpe.encode_to_tiktoken_buffer, texts.to_pylist()
+        if self.words:
+            text, ends = self._marked(rows)
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            rows = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        try:
+            found = [np.frombuffer(encode(row, set()), np.uint32) for row in rows]
+        except ValueError:
+            return None
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (without nulls), and how many each has."""
-        if len(self.index) > self.max_chunks or self.n_ids > self.max_ids:
-            self.shrink()
-        index = self.index
-        if self.chunking == "word":
-            lists = pc.ascii_split_whitespace(texts)
-        else:
-            whole = np.ones(len(texts), bool) if self.chunking is None else pc.match_substring_regex(texts, f" {_WHITE}|{_WHITE} ").to_numpy(zero_copy_only=False)
-            if whole.any():
-                originals = texts.filter(pa.array(whole)).to_pylist()
-                texts = pc.if_else(pa.array(whole), "", texts)
-            lists = pc.split_pattern(texts, " ")
-        offsets = lists.offsets.to_numpy()
-        chunks = lists.flatten().dictionary_encode()
-        names = chunks.dictionary.to_pylist()
-        numbers = np.fromiter(map(index.__getitem__, names), np.int64, len(names))
-        at = numbers[chunks.indices.to_numpy()] if len(chunks) else np.zeros(0, np.int64)
-        offsets = offsets - offsets[0]
-        if self.chunking != "word" and len(texts):
-            heads = ["\n" + names[i] for i in chunks.indices.to_numpy()[offsets[:-1]].tolist()]
-            if whole.any():
-                for i, text in zip(np.flatnonzero(whole).tolist(), originals):
-                    heads[i] = "\r" + text
-            at[offsets[:-1]] = [index[h] for h in heads]
-        self._fill()
-        self.uses[numbers] = np.minimum(self.uses[numbers], 200) + 1
-        counts = self.count[at]
-        before = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[spread(counts, self.first[at])], np.diff(before[offsets])
-
-
-_CODERS: dict[tuple, ChunkTokenizer] = {}
-CACHES.append(_CODERS)
-
-
-def coder(path: str, chunking: str | None, max_chunks: int = 600_000) -> ChunkTokenizer:
-    """One for each process: the cache serves all its tasks."""
-    if (key := (path, chunking, max_chunks)) not in _CODERS:
-        _CODERS[key] = ChunkTokenizer(path, chunking, max_chunks)
-    return _CODERS[key]
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.fast is None:
+            return self._library(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, _UNKNOWN).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            if (found := self._fast(texts)) is not None:
+                return found
+            if len(texts) == 1:
+                return self._library(texts.to_pylist())
+        # one text after another, each in its own way
+        parts = [self._library([texts[i].as_py()]) if odd[i] else self.encode(texts.slice(i, 1)) for i in range(len(texts))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+_CODERS: dict[str, Coder] = {}
+
+
+def coder(path: str) -> Coder:
+    """One for each process; its size doesn't grow with the texts."""
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
+    return _CODERS[path]
 
 
 def slices(texts: pa.Array, max_bytes: int = 4 << 20):

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -7,30 +8,47 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusforge.llm.packing import cut_stream, hilbert_key, op8_packing, pack
+from corpusforge.llm.packing import cut_stream, hilbert_key, op8_packing, pack, range_bounds, with_range
 from corpusforge.llm.token_files import decode_block, encode_block, op7_token_files, read_image, read_token_files, write_image, write_token_files
-from corpusforge.llm.tokens import ChunkTokenizer
+from corpusforge.llm.tokens import KNOWN, Coder
 from tests.conftest import SMALL
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 PARTS = [" ", "  ", "\n", " \n", "\n\n", "\t", "\x1c", " ", "the", "The", "FOO!!", "naïve", "É", "é", "don't", "'s", "12", "☃", "日本", ".", "...", "<|endoftext|>", "Σ", "İ", "x$$", "a.b"]
 
 
-@pytest.mark.parametrize(("path", "chunking"), [(WORD, "word"), (BYTE, "space"), (BYTE, None)])
-def test_chunks_give_the_tokenizers_ids(path, chunking):
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_coder_gives_the_librarys_ids(path):
     rng = random.Random(4)
-    texts = ["", " ", "a", " a", "a "] + ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
-    coder = ChunkTokenizer(path, chunking, max_chunks=500)
+    known = [chr(c) for a, b in KNOWN for c in range(a, b + 1)]
+    texts = ["", " ", "a", " a", "a ", " \n" * 400_000 + "x", "ab" * 50_000] + ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts += [frame.replace("X", c) for c in known for frame in ("X", "aXb", " X ", "X X", "1X1", "!X!", "'X", " Xs", "X\n")]
+    pool = known + [" ", "'s", "'re", "'LL", "''", "don't"] * 20
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 20))) for _ in range(5000)]
+    coder = Coder(path)
+    assert coder.fast is not None
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
     for lo in range(0, len(texts), 500):
         some = texts[lo : lo + 500]
         ids, counts = coder.encode(pa.array(some, pa.string()))
         ends = np.cumsum(counts)
-        for t, e, n in zip(some, ends, counts):
-            assert ids[e - n : e].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        for t, e, n, own in zip(some, ends, counts, plain.encode_batch_fast(some, add_special_tokens=False)):
+            assert ids[e - n : e].tolist() == own.ids, repr(t[:50])
+
+
+def test_files_of_other_kinds_go_through_the_library(tmp_path):
+    with open(BYTE, encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    (tmp_path / "a.json").write_text(json.dumps(spec), encoding="utf-8")
+    coder = Coder(str(tmp_path / "a.json"))
+    assert coder.fast is None
+    assert coder.encode(pa.array(["so it is"]))[0].tolist() == coder.tokenizer.encode("so it is").ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -59,12 +77,12 @@ def test_token_files_against_the_tokenizer(spark):
 
 
 def test_odd_rows_in_files(spark, odd_docs, no_docs, tmp_path):
-    write_token_files(odd_docs, f"file://{tmp_path}/a", WORD, "word", 2, image_ids=50)
+    write_token_files(odd_docs, f"file://{tmp_path}/a", WORD, 2, image_ids=50)
     rows = sorted(read_token_files(spark, f"file://{tmp_path}/a").collect(), key=lambda r: r["start"])
     assert len(rows) == 15 and rows[0]["doc_id"] is None and [r["doc_id"] for r in rows[1:]] == sorted(r["doc_id"] for r in rows[1:])
     assert all(r["ids"][-1] == 2 and len(r["ids"]) == r["n_tokens"] for r in rows)
     assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(15)]
-    write_token_files(no_docs, f"file://{tmp_path}/b", WORD, "word", 2)
+    write_token_files(no_docs, f"file://{tmp_path}/b", WORD, 2)
     assert read_token_files(spark, f"file://{tmp_path}/b").count() == 0
 
 
@@ -107,8 +125,15 @@ def test_packing_against_the_tokenizer(spark):
 
 
 def test_packing_odd_rows(odd_docs, no_docs):
-    rows = pack(odd_docs, BYTE, "space", 1).collect()
+    rows = pack(odd_docs, BYTE, 1).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in odd_docs.collect()}
     assert all(len(r["ids"]) == r["length"] for r in rows)
     assert [r["length"] for r in rows if r["doc_id"] in (3, 4)] == [1, 1]
-    assert pack(no_docs, BYTE, "space", 1).count() == 0
+    assert pack(no_docs, BYTE, 1).count() == 0
+
+
+def test_ranges_have_like_bytes(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat(concat('word', id % 7, ' '), cast(if(id % 7 = 3, 300, 3) as int)) as text")
+    bounds = range_bounds(docs, 8)
+    sizes = [r["s"] for r in with_range(docs, bounds).groupBy("part").agg(F.sum(F.octet_length("text")).alias("s")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * np.median(sizes)
