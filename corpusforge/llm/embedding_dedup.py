@@ -1,9 +1,11 @@
 """Embedding near-duplicates by iterative quantisation.
 
-A rotation is learned that makes the signs of rotated, centred vectors good balanced binary codes. Codes are cut into
-substrings, each the key of one Hamming table; several rotations give as many tables as it takes for two vectors at the
-threshold to meet in at least one of them with the wanted probability. Vectors that meet are reranked with the original
-vectors in double precision, so no link is below the threshold.
+A rotation is learned that makes the signs of rotated vectors good balanced binary codes; several rotations give codes as long
+as wanted. Codes are cut into substrings, each the key of one Hamming table. A vector is stored under its key and under the
+keys that differ in one of its least certain bits, so that two vectors meet up to a Hamming distance of two. Vectors that meet
+are compared by 96 bits of code, as no more than ids and codes are moved (more bits where the sample shows that so few would
+leave too many false candidates); what stays close makes candidate clusters, whose original vectors are then compared in double
+precision, every one with every other. So no link is below the threshold.
 """
 
 from __future__ import annotations
@@ -17,27 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import arrow_task, partitions, saved, table
-from corpusforge.llm.components import Union, components
+from corpusforge.llm.common import arrow_task, mix, partitions, release, saved, small, spread, table
+from corpusforge.llm.components import components
 
+#: Bits that those who meet are compared by, the fewest that the sample allows.
+FILTERS = [96, 160, 256, 512]
 
-@dataclass
-class Tables:
-    """keys(x): for each table, the substring of the code of every row of x."""
 
-    mean: np.ndarray
-    rotations: list[np.ndarray]
-    bits: int
-    n_tables: int
+def entry_type(bits: int) -> np.dtype:
+    """What is stored for each key: 24 bytes with the fewest bits."""
+    return np.dtype([("cell", "<u4"), ("node", "<i8"), ("code", "<u4", (bits // 32,))])
+
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        out = []
-        weights = 1 << np.arange(self.bits, dtype=np.int64)
-        for rotation in self.rotations:
-            code = ((x - self.mean) @ rotation > 0).astype(np.int64)
-            for k in range(code.shape[1] // self.bits):
-                out.append(code[:, k * self.bits : (k + 1) * self.bits] @ weights)
-        return np.column_stack(out[: self.n_tables])
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 def learn_rotation(x: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -50,148 +45,386 @@ def learn_rotation(x: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.nda
     return rotation
 
 
-def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float = 0.97, seed: int = 9) -> Tables:
-    """Tables from a bounded sample of unit vectors. Substrings grow with the logarithm of the rows, so that tables' cells stay
-    small; tables are added until the chance to miss a pair at the threshold is below 1 - recall.
+@dataclass
+class Tables:
+    """Rotations (side by side) about a mean. Table t has the bits from t * bits on, the filter the first `filter` ones; those
+    within `distance` of them stay candidates."""
+
+    mean: np.ndarray
+    rotation: np.ndarray
+    bits: int
+    n_tables: int
+    probes: int
+    filter: int = FILTERS[0]
+    distance: int = FILTERS[-1]
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ self.rotation
+
+    def keys(self, y: np.ndarray, t: int) -> np.ndarray:
+        """The key of each row of y (as projected) in table t, then the keys with one of its least certain bits flipped."""
+        mine = y[:, t * self.bits : (t + 1) * self.bits]
+        key = (mine > 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+        if not self.probes:
+            return key[:, None]
+        weak = np.argpartition(np.abs(mine), self.probes - 1, axis=1)[:, : self.probes] if self.probes < self.bits else np.tile(np.arange(self.bits), (len(y), 1))
+        return np.column_stack([key, key[:, None] ^ (np.int64(1) << weak)])
 
-    Centring balances the codes, but two vectors near the mean then agree on fewer bits. So the tables are counted for the
-    sample's vectors nearest to the mean, which are those of a dense group; where that takes more than twice the tables that
-    vectors as they are take, which doesn't depend on how they lie, nothing is centred.
+    def codes(self, y: np.ndarray) -> np.ndarray:
+        return np.packbits(y[:, : self.filter] > 0, axis=1, bitorder="little").view("<u4")
+
+    def entries(self, x: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of unit vectors and a hash of each one's cell."""
+        y = self.project(x)
+        codes = self.codes(y)
+        keys = [mix(self.keys(y, t).astype(np.uint64) + (np.uint64(t + 1) << np.uint64(40)) + (np.uint64(x.shape[1]) << np.uint64(48))) for t in range(self.n_tables)]
+        cell = np.concatenate([k.ravel() for k in keys])
+        row = np.concatenate([np.repeat(np.arange(len(x)), k.shape[1]) for k in keys])
+        out = np.empty(len(cell), entry_type(self.filter))
+        out["cell"], out["node"], out["code"] = cell & np.uint64(0xFFFFFFFF), nodes[row], codes[row]
+        return out, cell >> np.uint64(32)
+
+
+def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float = 0.95, probes: int = 3, seed: int = 9, most: int = 40) -> Tables:
+    """Tables from a bounded sample of unit vectors. Keys grow with the logarithm of the rows, so that cells stay small.
+
+    Tables are added until, of pairs at the threshold made from vectors of the sample, `recall` meet, and nearly as many in
+    each quarter by distance from the mean (a dense group lies near it). Centring balances the codes; where it would take more
+    than twice as many tables, or more than `most`, vectors are coded as they are, where only the angle counts.
     """
     dims = sample.shape[1]
-    bits = int(np.clip(math.ceil(math.log2(max(2, n_rows))) - 4, 4, min(22, dims)))
-
-    def needed(cosine: float) -> float:
-        agree = 1 - math.acos(max(-1.0, cosine)) / math.pi
-        return math.log(1 - recall) / math.log1p(-min(0.999, agree**bits)) if agree > 0 else math.inf
-
-    mean = sample.mean(0)
-    # two centred vectors, neither shorter than the shortest, have at least this cosine where the threshold is met
-    shortest = max(1e-12, float(((sample - mean) ** 2).sum(1).min()))
-    tables = needed(1 - (1 - threshold) / shortest)
-    if tables > 2 * needed(threshold):
-        mean, tables = np.zeros(dims), needed(threshold)
-    centred = sample - mean
-    n_tables = max(1, math.ceil(tables))
     rng = np.random.default_rng(seed)
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    rotations = []
-    for _ in range(math.ceil(n_tables / (dims // bits))):
-        start = axes @ np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-        rotations.append(learn_rotation(centred, start))
-    return Tables(mean, rotations, bits, n_tables)
+    sample = sample[rng.permutation(len(sample))]
+    bits = int(np.clip(math.ceil(math.log2(max(2, n_rows))) - 3, min(4, dims), min(24, dims)))
+    x = sample[:2000]
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1)[:, None] * x
+    noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-300)[:, None]
+    y = threshold * x + math.sqrt(1 - threshold**2) * noise
+
+    def filtered(tables: Tables, learned: np.ndarray, axes: np.ndarray) -> Tables:
+        """With the fewest bits that leave a vector less than 0.2 false candidates, as far as the sample tells."""
+        some = sample[:4000]
+        met_a, met_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        projected = tables.project(some)
+        for t in range(tables.n_tables):
+            keys = tables.keys(projected, t)
+            order = np.argsort(keys.ravel(), kind="stable")
+            flat, row = keys.ravel()[order], order // keys.shape[1]
+            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            for i, j in _pairs_in_runs(first, np.diff(np.append(first, len(flat)))):
+                false = np.einsum("ij,ij->i", some[row[i]], some[row[j]]) < threshold
+                met_a.append(row[i[false]])
+                met_b.append(row[j[false]])
+        a, b = np.concatenate(met_a), np.concatenate(met_b)
+        for tables.filter in FILTERS:
+            while tables.rotation.shape[1] < tables.filter:  # the filter wants more bits than the tables
+                tables.rotation = np.hstack([tables.rotation, learn_rotation(learned, axes @ np.linalg.qr(rng.standard_normal((dims, dims)))[0])])
+            cx, cy, codes = (tables.codes(tables.project(v)) for v in (x, y, some))
+            tables.distance = int(np.quantile(apart(cx, cy), 0.99)) + 1
+            close = apart(codes[a], codes[b]) <= tables.distance
+            if 2 * len(np.unique(a[close] * len(some) + b[close])) / len(some) * n_rows / len(some) < 0.2:
+                break
+        return tables
+
+    def fitted(mean: np.ndarray, bound: int) -> Tables | None:
+        centred = sample - mean
+        _, axes = np.linalg.eigh(centred.T @ centred)
+        group = np.argsort(np.argsort(((x - mean) ** 2).sum(1))) * 4 // max(1, len(x))
+        met = np.zeros(len(x), bool)
+        learned = centred[:8000]  # a sample has no order
+        rotations, n_tables = [], 0
+        while n_tables < bound:
+            start = axes @ np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+            rotations.append(learn_rotation(learned, start))
+            tables = Tables(mean, np.hstack(rotations), bits, len(rotations) * dims // bits, min(probes, bits))
+            px, py = tables.project(x), tables.project(y)
+            for t in range(n_tables, tables.n_tables):
+                kx, ky = tables.keys(px, t), tables.keys(py, t)
+                met |= (kx[:, :, None] == ky[:, None, :]).any((1, 2))
+                if met.mean() >= recall and all(met[group == g].mean() >= recall - 0.04 for g in np.unique(group)):
+                    tables.n_tables = t + 1
+                    return filtered(tables, learned, axes)
+            n_tables = tables.n_tables
+        return None
+
+    plain = fitted(np.zeros(dims), 4096)
+    centred = fitted(sample.mean(0), min(most, 2 * plain.n_tables))
+    return centred or plain
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
+    """Unit vectors in double precision."""
     lengths = np.asarray(column.value_lengths())
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), int(lengths[0]) if len(lengths) else 0)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), int(lengths[0]) if len(lengths) else 0)
+    with np.errstate(all="ignore"):
+        x = x / np.abs(x).max(1, initial=0)[:, None]  # so that no square overflows or vanishes
+        return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: int = 20_000, block: int = 512) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding); other columns aren't read.
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches over links between places a and b."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+def _pairs_in_runs(first: np.ndarray, size: np.ndarray, budget: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in runs (first, size), some runs at a time; a run of more than the budget's root is cut by rows."""
+    pairs = np.cumsum(size * (size - 1) // 2)
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + budget, side="right")))
+        rows = spread(size[lo:hi], first[lo:hi])
+        left = np.repeat(first[lo:hi] + size[lo:hi], size[lo:hi]) - rows - 1  # places after each one in its run
+        ends = np.cumsum(left)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + budget, side="right")))
+            yield np.repeat(rows[at:to], left[at:to]), spread(left[at:to], rows[at:to] + 1)
+            at = to
+        lo = hi
 
-    Null, empty and zero vectors, and those that hold a null or a non-finite component, link with nothing, as do vectors of
-    another length than most. Rows with equal vectors are one class and linked with each other. n_links counts rows; rows
-    of one vec_id are rows of their own and share a component. An empty table gives an empty result. The tables are fitted
-    on at most about max_fit_rows rows and hold all rows. A cell with more than `block` classes is cut into blocks, and all
-    pairs of blocks are compared, each in a task of its own.
-    """
-    spark = vectors.sparkSession
-    embedding = F.col("embedding").cast("array<double>")
-    finite = F.coalesce(F.forall(embedding, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(embedding, lambda x: x != 0), F.lit(False))
-    rows = vectors.select("vec_id", F.when(finite, embedding).alias("v"))
-    rows = saved(rows.select("vec_id", "v", F.when(F.col("v").isNotNull(), F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)).alias("h")), "vectors")
-    length = rows.filter("v is not null").groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").first()
-    lone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    finish = lambda df: df.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    if length is None:
-        return finish(lone)
-    dims = length["s"]
-    usable = (F.size("v") == dims) & F.col("vec_id").isNotNull()
-    classes = saved(rows.filter(usable).groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
-    n_rows = classes.count()
-    pick = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 24)) < int(min(1.0, max_fit_rows / max(1, n_rows)) * (1 << 24))
-    sample = classes.filter(pick).orderBy("id").select("v").toArrow().column("v").combine_chunks()
-    x = _vectors(sample) if len(sample) else np.eye(dims)
-    tables = fit_tables(x / np.linalg.norm(x, axis=1)[:, None], n_rows, threshold)
-    shared = spark.sparkContext.broadcast(tables)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def candidate_links(entries: DataFrame, tables: dict[int, Tables], crowded: int = 4096, most: int = 3_000_000) -> DataFrame:
+    """Links a, b between nodes that meet in a cell and whose codes are within the distance that their length's tables allow, from rows
+    (sub, dims, content), sorted by (sub, dims) in each partition. A cell of more than `crowded` entries is joined whole and not
+    held (once there are `most` in a sub); all vectors of a cluster are compared later, so nothing is lost."""
+
+    limits = {d: (t.filter, t.distance) for d, t in tables.items()}
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def near(some: np.ndarray, dims: int) -> pa.RecordBatch:
+        some = some[np.argsort(some["cell"], kind="stable")]
+        first = np.flatnonzero(np.append(True, some["cell"][1:] != some["cell"][:-1]))
+        size = np.diff(np.append(first, len(some)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        wide = size > 1
+        for i, j in _pairs_in_runs(first[wide], size[wide]):
+            close = apart(some["code"][i], some["code"][j]) <= limits[dims][1]
+            i, j = i[close], j[close]
+            if len(i):
+                used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+                root = used[least_labels(len(used), place[: len(i)], place[len(i) :])]
+                a.append(some["node"][used])
+                b.append(some["node"][root])
+        return links(np.concatenate(a), np.concatenate(b))
+
+    def thinned(held: list[np.ndarray], heads: dict[int, int], out: list[pa.RecordBatch]) -> np.ndarray:
+        """What is left to compare once crowded cells are stars about their first node, and are from now on."""
+        some = np.concatenate(held)
+        cells, first, n = np.unique(some["cell"], return_index=True, return_counts=True)
+        for c, k in zip(cells[n > crowded].tolist(), first[n > crowded].tolist()):
+            heads.setdefault(c, int(some["node"][k]))
+        if not heads:
+            return some
+        names, nodes = np.array(sorted(heads), np.uint32), np.array([heads[c] for c in sorted(heads)], np.int64)
+        at = np.minimum(np.searchsorted(names, some["cell"]), len(names) - 1)
+        mine = names[at] == some["cell"]
+        out.append(links(some["node"][mine], nodes[at[mine]]))
+        return some[~mine]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size, bound, heads = None, [], 0, most, {}
+        out: list[pa.RecordBatch] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held and len(rest := thinned(held, heads, out)):
+                out.append(near(rest, key[1]))
+            yield from out
+            out.clear()
+
         for batch in batches:
-            x = _vectors(batch.column("v")) if len(batch) else np.zeros((0, dims))
-            keys = shared.value.keys(x / np.linalg.norm(x, axis=1)[:, None])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), batch.column("v"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))], ["id", "copies", "v", "keys"])
+            for sub, dims, content in zip(batch.column("sub").to_pylist(), batch.column("dims").to_pylist(), batch.column("content")):
+                if (sub, dims) != key:
+                    yield from close()
+                    key, held, size, bound, heads = (sub, dims), [], 0, most, {}
+                held.append(np.frombuffer(content.as_py(), entry_type(limits[dims][0])))
+                size += len(held[-1])
+                if size > bound:
+                    held = [thinned(held, heads, out)]
+                    size = len(held[0])
+                    bound = max(most, 2 * size)
+                    yield from out
+                    out.clear()
+        yield from close()
 
-    cells = classes.select("id", "copies", "v").mapInArrow(arrow_task(keyed), "id bigint, copies bigint, v array<double>, keys array<bigint>").select("id", "copies", "v", F.posexplode("keys").alias("table", "key"))
-    crowded = saved(classes.select("id", "copies", "v").mapInArrow(arrow_task(keyed), "id bigint, copies bigint, v array<double>, keys array<bigint>").select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"), "crowded")
-    dealt = cells.join(crowded, ["table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    tiled = dealt.select("table", "key", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> least(mine, j) * blocks + greatest(mine, j))")).alias("tile"), "mine", "blocks", "id", "copies", "v")
-    tiled = tiled.repartition(partitions(spark), "table", "key", "tile").sortWithinPartitions("table", "key", "tile", "mine", "id")
+    found = entries.mapInArrow(arrow_task(join), "a bigint, b bigint")
+    return found.filter("a != b")
 
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
 
-        def several(rows: pa.Table) -> pa.RecordBatch | None:
-            """Links of the pairs of each tile of rows: ids, links by id, roots."""
-            c = {name: rows.column(name).to_numpy() for name in ("table", "key", "tile", "mine", "blocks", "id", "copies")}
-            change = np.flatnonzero((c["table"][1:] != c["table"][:-1]) | (c["key"][1:] != c["key"][:-1]) | (c["tile"][1:] != c["tile"][:-1])) + 1
-            starts, ends = np.append(0, change), np.append(change, len(rows))
-            wide = np.flatnonzero(ends - starts > 1)
-            if not len(wide):
-                return None
-            x_all = _vectors(rows.column("v").combine_chunks())
-            x_all = x_all / np.linalg.norm(x_all, axis=1)[:, None]
-            keys_all = shared.value.keys(x_all)
-            found = []
-            for lo, hi in zip(starts[wide].tolist(), ends[wide].tolist()):
-                x, mine = x_all[lo:hi], c["mine"][lo:hi]
-                if mine[0] == mine[-1]:
-                    if c["tile"][lo] != mine[0] * (c["blocks"][lo] + 1):
-                        continue  # half a tile: the other block has no row; its pairs belong to the block's own tile
-                    close = x @ x.T >= threshold
-                    i, j = np.nonzero(close)
-                    i, j = i[i < j], j[i < j]
-                else:
-                    cut = int(np.searchsorted(mine, mine[-1]))
-                    i, j = np.nonzero(x[:cut] @ x[cut:].T >= threshold)
-                    j = j + cut
-                if not len(i):
-                    continue
-                ids, copies, keys = c["id"][lo:hi], c["copies"][lo:hi], keys_all[lo:hi]
-                first = np.ones(len(i), bool)  # a pair counts in the first table where it meets
-                for t in range(int(c["table"][lo])):
-                    first &= keys[i, t] != keys[j, t]
-                links = np.bincount(i[first], copies[j[first]], len(ids)) + np.bincount(j[first], copies[i[first]], len(ids))
-                union = Union()
-                for a, b in zip(ids[i].tolist(), ids[j].tolist()):
-                    union.join(a, b)
-                linked = np.unique(np.concatenate([i, j]))
-                found.append((ids[linked], links[linked].astype(np.int64), np.array([union.find(a) for a in ids[linked].tolist()])))
-            if not found:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["id", "links", "root"])
+def exact_links(tiles: DataFrame, threshold: float) -> DataFrame:
+    """node, links (copies of linked classes) and root (a linked node that stands for all it reaches in the tile) from rows
+    (cluster, tile, mine, half, node, copies, v), sorted by (cluster, tile, mine) in each partition. Of a tile of two blocks
+    only pairs across are compared, of one half only nothing."""
+
+    def several(rows: pa.Table) -> pa.RecordBatch:
+        cluster, tile, mine, half, node, copies = (rows.column(c).to_numpy() for c in ("cluster", "tile", "mine", "half", "node", "copies"))
+        x = _vectors(rows.column("v").combine_chunks())
+        first = np.flatnonzero(np.append(True, (cluster[1:] != cluster[:-1]) | (tile[1:] != tile[:-1])))
+        size = np.diff(np.append(first, len(node)))
+        total, a, b = np.zeros(len(node), np.int64), [], []
 
+        def count(i: np.ndarray, j: np.ndarray) -> None:
+            np.add.at(total, i, copies[j])
+            np.add.at(total, j, copies[i])
+            used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            if len(used):
+                a.append(used)
+                b.append(used[least_labels(len(used), place[: len(i)], place[len(i) :])])
+
+        few = (size > 1) & (size <= 64) & ~half[first]
+        for i, j in _pairs_in_runs(first[few], size[few], max(1, 4_000_000 // max(1, x.shape[1]))):
+            close = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            count(i[close], j[close])
+        for lo, n in zip(first[(size > 1) & ~few].tolist(), size[(size > 1) & ~few].tolist()):
+            hi, cut = lo + n, lo + int(np.searchsorted(mine[lo : lo + n], mine[lo + n - 1]))
+            if half[lo] and cut == lo:
+                continue
+            end = cut if half[lo] else hi
+            step = max(1, 2_000_000 // n)
+            for at in range(lo, end, step):
+                to = min(end, at + step)
+                start = cut if half[lo] else at
+                i, j = np.nonzero(x[at:to] @ x[start:hi].T >= threshold)
+                i, j = i + at, j + start
+                count(i[i < j], j[i < j])
+        place = np.concatenate(a) if a else np.zeros(0, np.int64)
+        root = np.concatenate(b) if b else place
+        # a node's links are given once, with its first root
+        once = np.zeros(len(place), np.int64)
+        known, at = np.unique(place, return_index=True)
+        once[at] = total[known]
+        return pa.RecordBatch.from_arrays([pa.array(node[place]), pa.array(once), pa.array(node[root])], ["node", "links", "root"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
             if not len(rows):
                 continue
-            last = [rows.column(c)[len(rows) - 1].as_py() for c in ("table", "key", "tile")]
-            same = np.all([rows.column(c).to_numpy() == v for c, v in zip(("table", "key", "tile"), last)], axis=0)
+            last = [rows.column(c)[len(rows) - 1].as_py() for c in ("cluster", "tile")]
+            same = np.all([rows.column(c).to_numpy() == v for c, v in zip(("cluster", "tile"), last)], axis=0)
             cut = len(rows) - int(same.sum())
             carry = rows.slice(cut)
-            if cut and (out := several(rows.slice(0, cut))) is not None:
-                yield out
-        if carry is not None and len(carry) and (out := several(carry)) is not None:
-            yield out
+            if cut:
+                yield from by_length(rows.slice(0, cut))
+        if carry is not None and len(carry):
+            yield from by_length(carry)
+
+    def by_length(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lengths = np.concatenate([np.asarray(c.value_lengths()) for c in rows.column("v").chunks])
+        for n in np.unique(lengths).tolist():  # a cluster's vectors are of one length
+            yield several(rows.filter(pa.array(lengths == n)))
+
+    return tiles.mapInArrow(arrow_task(join), "node bigint, links bigint, root bigint")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: int = 20_000, few: int = 64, block_bytes: int = 8 << 20, crowded: int = 4096) -> DataFrame:
+    """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding); other columns aren't read.
+
+    Null, empty and zero vectors, those that hold a null or a non-finite component, and rows without a vec_id link with nothing.
+    Vectors of different lengths aren't compared. Rows with equal vectors are one class and linked with each other. n_links
+    counts rows; rows of one vec_id are rows of their own and share a component. An empty table gives an empty result.
+
+    A length that up to `few` classes have is compared whole. For each other one tables are fitted on at most about
+    max_fit_rows rows and hold all rows. A cluster of vectors of more than block_bytes is cut into blocks, and all pairs of
+    blocks are compared, each in a task of its own.
+    """
+    spark = vectors.sparkSession
+    e = F.col("embedding")
+    nan = F.lit(float("nan")).cast(vectors.schema["embedding"].dataType.elementType)
+    # array_contains is null where there is a null and no NaN
+    finite = F.coalesce(~F.array_contains(e, nan) & (F.array_max(e) < float("inf")) & (F.array_min(e) > -float("inf")) & ((F.array_max(e) != 0) | (F.array_min(e) != 0)) & F.col("vec_id").isNotNull(), F.lit(False))
+    hashes = [F.when(finite, F.xxhash64(F.lit(k), e, F.size(e))).alias(f"h{k}") for k in (1, 2)]
+    rows = saved(vectors.select("vec_id", *hashes), "rows")
+    classes = vectors.select("vec_id", "embedding", *hashes).filter("h1 is not null").groupBy("h1", "h2")
+    classes = classes.agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("v"))
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "id", "copies", F.size("v").alias("dims"), "v"), "classes")
+    release(spark)
+    lengths = {r["dims"]: r["count"] for r in classes.groupBy("dims").count().collect()}
+    tables = {}
+    for dims, n in sorted(lengths.items()):
+        if n > few:
+            pick = F.pmod(F.xxhash64("node", F.lit(8)), F.lit(1 << 24)) < int(min(1.0, max_fit_rows / n) * (1 << 24))
+            x = _vectors(classes.filter((F.col("dims") == dims) & pick).orderBy("id", "h1").select("v").toArrow().column("v").combine_chunks())
+            tables[dims] = fit_tables(x, n, threshold)
+    whole = [d for d, n in lengths.items() if n <= few]
+    shared = spark.sparkContext.broadcast(tables)
+    n_entries = sum(lengths[d] * t.n_tables * (t.probes + 1) for d, t in tables.items())
+    n_subs = max(1, n_entries // 250_000)
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for dims, parts in held.items():
+                some, sub = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                order = np.argsort(sub, kind="stable")
+                some, sub = some[order], sub[order]
+                first = np.flatnonzero(np.append(True, sub[1:] != sub[:-1]))
+                contents = [some[i:j].tobytes() for i, j in zip(first.tolist(), np.append(first[1:], len(sub)).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(sub[first], pa.int64()), pa.array([dims] * len(first), pa.int32()), pa.array(contents, pa.binary())], ["sub", "dims", "content"])
+            held.clear()
+
+        for batch in batches:
+            sizes = batch.column("dims").to_numpy()
+            for dims in np.unique(sizes).tolist():
+                mine = batch.filter(pa.array(sizes == dims))
+                for lo in range(0, len(mine), 4096):
+                    part = mine.slice(lo, 4096)
+                    some, cell = shared.value[dims].entries(_vectors(part.column("v")), part.column("node").to_numpy())
+                    held.setdefault(dims, []).append((some, (cell % np.uint64(n_subs)).astype(np.int64)))
+                    size += len(some)
+                    if size > 1_000_000:
+                        yield from flush()
+                        size = 0
+        yield from flush()
 
-    links = saved(tiled.mapInArrow(arrow_task(rerank), "id bigint, links bigint, root bigint"), "links")
-    grouped = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = links.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.select("h", "id", "copies").join(counts, "id", "left").join(grouped, "id", "left")
-    named = named.select("h", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("class_links"), F.coalesce("component", "id").alias("class_component"))
-    out = rows.select("vec_id", F.when(usable, F.col("h")).alias("h")).join(named, "h", "left")
-    return finish(out.select("vec_id", F.coalesce("class_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("class_component", "vec_id").alias("component_id")))
+    indexed = classes.filter(F.col("dims").isin(list(tables))).select("node", "dims", "v").mapInArrow(arrow_task(stored), "sub bigint, dims int, content binary")
+    dealt = indexed.repartition(partitions(spark), "sub", "dims").sortWithinPartitions("sub", "dims")
+    candidates = saved(candidate_links(dealt, tables, crowded), "candidates")
+    release(spark)
+    clusters = saved(components(candidates), "clusters").select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    n_clustered = clusters.count()
+    # a length that few classes have is one cluster, numbered below the nodes
+    small_lengths = classes.filter(F.col("dims").isin(whole)).withColumn("cluster", -F.col("dims").cast("bigint"))
+    columns = ["cluster", "node", "copies", "dims", "v"]
+    members = classes.join(small(clusters, 16 * n_clustered, 16 << 20), "node").select(*columns).unionByName(small_lengths.select(*columns))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
+    sizes = sizes.unionByName(small_lengths.groupBy("cluster").agg(F.count("*").alias("members")))
+    large = saved(sizes.filter(F.col("members") > 256), "large")
+    block = F.greatest(F.lit(256), F.floor(F.lit(block_bytes) / (8 * F.col("dims"))))
+    tiled = members.join(small(large, 16 * large.count()), "cluster", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
+    tiled = tiled.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    tiled = tiled.select("cluster", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> cast(least(mine, j) as bigint) * blocks + greatest(mine, j))")).alias("tile"), "mine", "blocks", "node", "copies", "v")
+    tiled = tiled.withColumn("half", F.col("tile") % (F.col("blocks") + 1) != 0)  # tiles on the diagonal are whole
+    tiled = tiled.repartition(partitions(spark), "cluster", "tile").sortWithinPartitions("cluster", "tile", "mine", "node")
+    links = saved(exact_links(tiled.select("cluster", "tile", "mine", "half", "node", "copies", "v"), threshold), "links")
+    release(spark)
+    # classes that share a vec_id share a component, whatever their vectors
+    named = rows.filter("h1 is not null").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
+    several = saved(named.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("vec_id", "a"), "several")
+    same = named.join(small(several, 16 * several.count()), "vec_id").select("a", F.col("node").alias("b"))
+    grouped = saved(components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(same)), "grouped")
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = classes.select("node", "h1", "h2", "id", "copies").join(counts, "node", "left").join(grouped.select(F.col("id").alias("node"), "component"), "node", "left")
+    joined = saved(joined.withColumn("component", F.coalesce("component", "node")), "joined")
+    least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
+    found = joined.join(least, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("class_links"), "component_id")
+    out = rows.join(found, ["h1", "h2"], "left").select("vec_id", F.coalesce("class_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings; vectors that can't be compared, and empty tables, as near_duplicates has them."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
