@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (whole words, or beginnings of words, which catch inflected forms) and patterns over them. An
-entry is taken up when, among labelled texts that aren't held out, it stands almost only in toxic ones. A generative label
-model estimates each voter's accuracy and the correlations of voters from their votes alone (expectation maximisation, with
-the votes of correlated voters discounted), and its posterior labels train a linear classifier, which scores whole texts.
+Voters are noisy: groups of lexicon entries (whole words, or beginnings of words, which catch inflected forms) that stand more
+in toxic than in other labelled texts that aren't held out, right in most cases; each group votes where it stands at all
+and again where it stands often, and patterns vote over all of them. A generative label model estimates each voter's rates and
+the correlations of voters from the votes alone (expectation maximisation, with the votes of correlated voters discounted), and
+its posterior labels train a linear classifier, which scores whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, fit_sample, fold, mix, table
+from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, fit_sample, fold, mix, saved, table
 
 #: General insults in four languages, one voter together.
 SEEDS = [
@@ -65,55 +66,73 @@ class Lexicon:
 
 
 def votes(hits: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """0/1 votes for toxic: one for each voter of the lexicon, then patterns: two voters, three, one hit in 100 words, in 20."""
-    any_ = (hits > 0).astype(float)
+    """0/1 votes for toxic: each voter of the lexicon where it stands, and where it stands often (twice, in 200 words once); then
+    patterns: two voters, three, one hit in 100 words, in 20."""
+    any_ = hits > 0
+    often = (hits > 1) & (hits >= 0.005 * np.maximum(n_words, 1)[:, None])
     kinds, most = any_.sum(1), hits.max(1) if hits.shape[1] else np.zeros(len(hits))
     rate = most / np.maximum(n_words, 1)
-    return np.column_stack([any_, kinds >= 2, kinds >= 3, rate >= 0.01, rate >= 0.05]).astype(float)
+    return np.column_stack([any_, often, kinds >= 2, kinds >= 3, (rate >= 0.01) & (most > 1), (rate >= 0.05) & (most > 1)]).astype(float)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 @dataclass
 class LabelModel:
-    """y is toxic or not. Voter j votes toxic with probability hit[j] if y, false_hit[j] if not, and else abstains; weight
-    discounts correlated voters. none: the probabilities that no voter votes, if y and if not."""
+    """y is toxic or not. Voter j votes toxic with probability hit[j] if y, false_hit[j] if not; where it doesn't, it abstains and
+    says nothing, unless all do: none has the probabilities of that, if not y and if y. weight discounts voters by what they
+    share with others beside y; bias holds the prior."""
 
-    prior: float = 0.1
+    bias: float = 0.0
     hit: np.ndarray = field(default_factory=lambda: np.zeros(0))
     false_hit: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    none: tuple[float, float] = (0.1, 0.9)
+    none: tuple[float, float] = (0.9, 0.1)
+
+    def margin(self, v: np.ndarray) -> np.ndarray:
+        silent = np.where(v.any(1), 0, np.log(self.none[1] / self.none[0]))
+        return v @ (np.log(self.hit / self.false_hit) * self.weight) + silent
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        margin = np.log(self.prior / (1 - self.prior)) + v @ (np.log(self.hit / self.false_hit) * self.weight)
-        margin += np.where(v.sum(1) == 0, np.log(self.none[0] / self.none[1]), 0)
-        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        return _sigmoid(self.margin(v) + self.bias)
 
     @classmethod
-    def fit(cls, v: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
-        """Votes only; the prior is the share of toxic texts. Starts from any vote at all."""
-        n, _ = v.shape
-        silent = v.sum(1) == 0
-        q = np.where(silent, 0.02, 0.9)
-        model = cls(prior)
+    def fit(cls, v: np.ndarray, prior: float, known: np.ndarray | None = None, anchor: float = 0.5, rounds: int = 25) -> LabelModel:
+        """From votes; the prior is the share of toxic texts, which the posteriors keep to. Where labels are known they have the
+        part `anchor` in what rates are estimated from, so that classes can't drift to what else makes voters agree, such as a
+        language. Starts from a precision of 0.8 of every voter."""
+        n = len(v)
+        model = cls()
+        silent = ~v.any(1)
+        q = np.where(silent, 0.01, 0.8)
         for _ in range(rounds):
+            if known is not None:
+                q = (1 - anchor) * q + anchor * known
             pos, neg = q.sum() + 1e-9, (1 - q).sum() + 1e-9
-            model.hit = np.clip((q @ v + 0.1) / (pos + 1), 1e-4, 0.999)
-            model.false_hit = np.clip(((1 - q) @ v + 0.01) / (neg + 1), 1e-5, 0.99)
-            model.none = (float((q @ silent + 0.1) / (pos + 1)), float(((1 - q) @ silent + 0.1) / (neg + 1)))
-            expected = q[:, None] * model.hit + (1 - q)[:, None] * model.false_hit
-            rest = v - expected  # what y doesn't explain
+            model.hit = np.clip((q @ v + 0.1) / (pos + 1), 1e-5, 0.999)
+            model.false_hit = np.clip(((1 - q) @ v + 0.1) / (neg + 1), 1e-5, 0.99)
+            model.none = (float(((1 - q) @ silent + 0.1) / (neg + 1)), float((q @ silent + 0.1) / (pos + 1)))
+            rest = v - q[:, None] * model.hit - (1 - q)[:, None] * model.false_hit  # what y doesn't explain
             scale = np.sqrt((rest * rest).mean(0)) + 1e-6
             correlation = np.abs((rest / scale).T @ (rest / scale) / max(n, 1))
             np.fill_diagonal(correlation, 0)
-            model.weight = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(1))
-            q = model.posterior(v)
+            model.weight = 1 / (1 + np.where(correlation > 0.5, correlation, 0).sum(1))
+            margin = model.margin(v)
+            low, high = -60.0, 60.0
+            for _ in range(50):  # the bias at which posteriors have the prior's mean
+                model.bias = (low + high) / 2
+                low, high = (model.bias, high) if _sigmoid(margin + model.bias).mean() < prior else (low, model.bias)
+            q = _sigmoid(margin + model.bias)
         return model
 
 
 def linear_inputs(hits: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     v = votes(hits, n_words)
     total = hits.max(1) if hits.shape[1] else np.zeros(len(hits))
-    return np.column_stack([v, np.log1p(total), np.ones(len(v))])
+    rate = hits.sum(1) / np.maximum(n_words, 1)
+    return np.column_stack([v, np.log1p(total), np.minimum(rate, 0.1) * 10, np.ones(len(v))])
 
 
 def fit_linear(x: np.ndarray, q: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -122,7 +141,7 @@ def fit_linear(x: np.ndarray, q: np.ndarray, penalty: float = 1.0, rounds: int =
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = _sigmoid(x @ w)
         gradient = x.T @ (p - q) + ridge * w
         hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
         step = np.linalg.solve(hessian, gradient)
@@ -138,7 +157,7 @@ class ToxicityModel:
     weights: np.ndarray
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(linear_inputs(*self.lexicon.hits(texts)) @ self.weights, -30, 30)))
+        return _sigmoid(linear_inputs(*self.lexicon.hits(texts)) @ self.weights)
 
 
 def _batches(batch: pa.RecordBatch, size: int = 1024):
@@ -146,12 +165,19 @@ def _batches(batch: pa.RecordBatch, size: int = 1024):
         yield batch.slice(lo, size)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, max_entries: int = 600, max_voters: int = 64, min_rows: int = 6, min_share: float = 0.97) -> ToxicityModel:
-    """Fitted from a bounded sample of labelled rows (max_fit_rows); held-out rows never enter.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, max_entries: int = 2000, max_voters: int = 64, min_precision: float = 0.85, min_evidence: float = 20.0) -> ToxicityModel:
+    """Fitted from a bounded sample of labelled rows (max_fit_rows, by a hash of the id); held-out rows never enter.
 
-    Where the sample has no toxic text, only the seeds vote.
+    An entry is taken up if at least two toxic texts have it, at least min_precision of the texts that have it are toxic, and
+    the log-likelihood ratio of its rates (up to five places a text) reaches min_evidence; the max_entries with the most
+    evidence stay, as a bound of the model. Entries that stand in much the same texts make one voter; all entries that would
+    need more than max_voters share one. Null texts count as empty; a doc_id with several labels stands once for
+    each; rows without a label, and labels without a text, don't enter. Where the sample has no toxic text, only the seeds vote.
     """
     sample = fit_sample(docs.select("doc_id", "text"), labels, label, max_fit_rows).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    sample = saved(sample, "labelled")
+    totals = {r["label"] == 1: (r["rows"], r["size"]) for r in sample.groupBy((F.col("label") == 1).cast("int").alias("label")).agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("size")).collect()}
+    (n_toxic, toxic_size), (n_clean, clean_size) = totals.get(True, (0, 0)), totals.get(False, (0, 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,52 +188,57 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
                     d = words.doc[mine]
                     order = np.lexsort((d, h))
                     h, d = h[order], d[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                    h, d = h[new], d[new]
+                    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
+                    places = np.minimum(np.diff(np.append(first, len(h))), 5)
+                    h, d = h[first], d[first]
                     keys, first = np.unique(h, return_index=True)
-                    n = np.diff(np.append(first, len(h)))
-                    p = np.diff(np.concatenate([[0], np.cumsum(toxic[d])])[np.append(first, len(h))])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p, pa.int64()), pa.array(n, pa.int64())], ["entry", "p", "n"])
-
-    counted = sample.mapInArrow(arrow_task(count), "entry bigint, p bigint, n bigint").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    top = counted.filter((F.col("p") >= min_rows) & (F.col("p") >= min_share * F.col("n"))).orderBy(F.desc("p"), "entry").limit(max_entries).collect()
+                    sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[np.append(first, len(h))]) for x in (toxic[d], ~toxic[d], places * toxic[d], places * ~toxic[d])]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(x, pa.int64()) for x in sums]], ["entry", "p", "n", "cp", "cn"])
+
+    names = ["p", "n", "cp", "cn"]
+    counted = sample.mapInArrow(arrow_task(count), "entry bigint, p bigint, n bigint, cp bigint, cn bigint").groupBy("entry").agg(*[F.sum(c).alias(c) for c in names])
+    share = float(toxic_size) / max(1, toxic_size + clean_size)
+    both = F.col("cp") + F.col("cn")
+    part = lambda c, e: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(max(e, 1e-9))))).otherwise(0)
+    evidence = 2 * (part("cp", share) + part("cn", 1 - share))
+    fit = (F.col("p") >= 2) & (F.col("p") >= min_precision * (F.col("p") + F.col("n"))) & (F.col("cp") > both * share)
+    top = counted.filter(fit).select("entry", evidence.alias("evidence")).filter(F.col("evidence") >= min_evidence).orderBy(F.desc("evidence"), "entry").limit(max_entries).collect()
     seeds = _seed_hashes()
-    entries = np.array(sorted({int(np.int64(r["entry"]).view(np.uint64)) for r in top}), np.uint64)
+    strength = {int(np.int64(r["entry"]).view(np.uint64)): r["evidence"] for r in top}
+    entries = np.array(sorted(strength), np.uint64)
     candidate = Lexicon(entries, np.arange(len(entries)), len(entries))
 
     def collect_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch):
-                hits, n_words = candidate.hits(part.column("text"))
+            for part in _batches(batch, 256):
+                hits, _ = candidate.hits(part.column("text"))
                 row, voter = np.nonzero(hits)
                 found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32()), pa.array(voter, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(n_words, pa.int64()), found], ["doc_id", "label", "n_words", "found"])
-
-    rows = sample.mapInArrow(arrow_task(collect_hits), "doc_id bigint, label int, n_words bigint, found array<int>").toPandas().sort_values("doc_id", kind="stable")
-    present = np.zeros((len(rows), len(entries)), bool)
-    for i, found in enumerate(rows["found"]):
-        present[i, np.asarray(found, int)] = True
-    # entries that stand in much the same texts make one voter: the widest first, others join it or open their own
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), found], ["doc_id", "found"])
+
+    # which entries stand in which texts: bounded by max_fit_rows x max_entries bits
+    rows = sample.mapInArrow(arrow_task(collect_hits), "doc_id bigint, found array<int>").filter(F.size("found") > 0).toArrow().sort_by("doc_id").column("found").combine_chunks()
+    present = np.zeros((len(entries), len(rows)), bool)
+    present[rows.flatten().to_numpy(), np.repeat(np.arange(len(rows)), np.asarray(rows.value_lengths()))] = True
+    sizes = present.sum(1)
+    # entries that stand in much the same texts make one voter: that with most evidence first, others join it or open their own
     chosen: list[int] = []
-    voter = np.full(len(entries), -1)
-    toxic = (rows["label"] == 1).to_numpy()
-    covered = present[toxic].sum(0) if len(entries) else np.zeros(0)
-    for j in np.argsort(-covered, kind="stable").tolist():
-        for n, c in enumerate(chosen):
-            both = (present[:, j] & present[:, c]).sum()
-            if both >= 0.8 * max(1, present[:, j].sum()):
-                voter[j] = n
-                break
+    voter = np.zeros(len(entries), np.int64)
+    for j in np.argsort([-strength[int(e)] for e in entries], kind="stable").tolist():
+        shared = (present[chosen] & present[j]).sum(1) if chosen else np.zeros(0, np.int64)
+        if len(shared) and shared.max() >= 0.8 * max(1, sizes[j]):
+            voter[j] = int(shared.argmax())
+        elif len(chosen) < max_voters - 2:
+            voter[j] = len(chosen)
+            chosen.append(j)
         else:
-            if len(chosen) < max_voters - 1:
-                voter[j] = len(chosen)
-                chosen.append(j)
-    kept = voter >= 0
-    both_hashes = np.concatenate([entries[kept], np.setdiff1d(seeds, entries[kept])])
-    both_voters = np.concatenate([voter[kept], np.full(len(both_hashes) - int(kept.sum()), len(chosen))]).astype(np.int64)
-    order = np.argsort(both_hashes)
-    lexicon = Lexicon(both_hashes[order], both_voters[order], len(chosen) + 1)
+            voter[j] = -1
+    n_voters = len(chosen) + 2  # the entries beyond have one voter, the seeds another
+    voter[voter < 0] = n_voters - 2
+    new = np.setdiff1d(seeds, entries)
+    hashes, voters = np.concatenate([entries, new]), np.concatenate([voter, np.full(len(new), n_voters - 1)]).astype(np.int64)
+    order = np.argsort(hashes)
+    lexicon = Lexicon(hashes[order], voters[order], n_voters)
 
     def collect_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,16 +246,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
                 hits, n_words = lexicon.hits(part.column("text"))
                 row, at = np.nonzero(hits)
                 offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(hits[row, at], pa.int32()))], ["doc_id", "n_words", "at", "hits"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(hits[row, at], pa.int32()))], ["doc_id", "label", "n_words", "at", "hits"])
 
-    voted = sample.mapInArrow(arrow_task(collect_votes), "doc_id bigint, n_words bigint, at array<int>, hits array<int>").toPandas().sort_values("doc_id", kind="stable")
+    voted = sample.mapInArrow(arrow_task(collect_votes), "doc_id bigint, label int, n_words bigint, at array<int>, hits array<int>").toArrow().sort_by([("doc_id", "ascending"), ("n_words", "ascending")])
+    at, found = (voted.column(c).combine_chunks() for c in ("at", "hits"))
     hits = np.zeros((len(voted), lexicon.n_voters), np.int32)
-    for i, (at, n) in enumerate(zip(voted["at"], voted["hits"])):
-        hits[i, np.asarray(at, int)] = np.asarray(n, int)
-    n_words = voted["n_words"].to_numpy()
+    hits[np.repeat(np.arange(len(voted)), np.asarray(at.value_lengths())), at.flatten().to_numpy()] = found.flatten().to_numpy()
+    n_words = voted.column("n_words").to_numpy()
     v = votes(hits, n_words)
-    prior = float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.005, 0.5))
-    posterior = LabelModel.fit(v, prior).posterior(v) if len(v) else np.zeros(0)
+    prior = float(np.clip(n_toxic / max(1, n_toxic + n_clean) if n_toxic else 0.1, 0.005, 0.5))
+    known = (voted.column("label").to_numpy() == 1).astype(float)
+    posterior = LabelModel.fit(v, prior, known).posterior(v) if len(v) else np.zeros(0)
     return ToxicityModel(lexicon, fit_linear(linear_inputs(hits, n_words), posterior))
 
 
@@ -252,6 +284,7 @@ def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, null and empty texts included; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model).select("doc_id", F.col("toxicity").alias("score"))
