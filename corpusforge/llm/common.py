@@ -22,17 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local one, but only if all runs in one process: on a
+    cluster executors would write elsewhere than others read."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark.sparkContext, "_corpusforge_dir", None)
         if path is None:
             path = spark.sparkContext._corpusforge_dir = "file://" + tempfile.mkdtemp(prefix="corpusforge-")
     return path.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpusforge/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusforge/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; for when its results are written, as they may still read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -62,19 +75,24 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4))
 
 
-def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a hash of doc_id and text, never null, under a name that docs doesn't have."""
-    name = "row_key"
-    while name.lower() in [c.lower() for c in docs.columns]:
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores as it takes to be none of taken, whatever the case."""
+    while name.lower() in [c.lower() for c in taken]:
         name += "_"
-    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+    return name
+
+
+def row_key() -> Column:
+    """A digest of doc_id and text, never null; null and empty texts differ."""
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), "text"), F.lit("")), F.lit("")), 256)
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs less the rows whose key (of with_key) stands in rejected (one column); the columns stay as they are."""
+    """docs less the rows whose row_key stands in rejected (one column); the columns stay as they are."""
+    name = free_name("row_key", docs.columns)
     rejected = saved(rejected.distinct(), "rejected")
-    keyed, name = with_key(docs)
-    return keyed.join(small(rejected.toDF(name), 16 * rejected.count()), name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    left = docs.withColumn(name, row_key())
+    return left.join(small(rejected.toDF(name), 96 * rejected.count()), name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def tidy() -> None:

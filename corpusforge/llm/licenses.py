@@ -71,8 +71,10 @@ class Automaton:
         self.free: list[list[int]] = []  # states reached without a word
         self.accepts: dict[int, int] = {}
         starts = []
+        self.longest = 0  # words that a match can have
         for n, (_, text) in enumerate(templates):
             items = _ITEM.findall(text)
+            self.longest = max(self.longest, sum(int(x[2:-2]) if x[0] == "{" else x[0] not in "[]" for x in items))
             start, end, used = self._build(items, 0)
             if used != len(items):
                 raise ValueError(f"brackets don't match in template {n}")
@@ -184,8 +186,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 for i in np.flatnonzero(np.isin(pairs, openings)).tolist():
                     d = int(words.doc[i])
                     base, end = int(words.first[d]), int(words.first[d + 1])
-                    run = ids[i : min(end, i + 4096)].tolist()
-                    for n, stop in automaton.matches(run, 0, len(run)).items():
+                    run = ids[i : min(end, i + automaton.longest)].tolist()
+                    hits = automaton.matches(run, 0, len(run))
+                    if hits:  # words were found by hash: their bytes decide
+                        wrong = [k for k in range(max(hits.values())) if run[k] >= 0 and words.data[words.start[i + k] : words.end[i + k]].tobytes() != vocabulary[run[k]].encode()]
+                        if wrong:
+                            run = [-1 if k in wrong else w for k, w in enumerate(run)]
+                            hits = automaton.matches(run, 0, len(run))
+                    for n, stop in hits.items():
                         found[d].append({"kind": "phrase" if n < n_phrases else "template", "label": automaton.labels[n], "first": i - base, "end": i - base + stop})
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())])))],
@@ -196,7 +204,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the matches; score is the share of a text's words that matches cover, 0 without words."""
+    """Digest of the matches in every document, null and empty texts (no words) included; score is the share of a text's words that matches cover, 0 without words."""
     scanned = scan_licenses(table(spark, sf_dir, "documents"))
     covered = "aggregate(array_sort(transform(found, m -> struct(m.first as a, m.end as b))), named_struct('n', 0L, 'to', 0L), (s, m) -> named_struct('n', s.n + greatest(0L, m.b - greatest(m.a, s.to)), 'to', greatest(s.to, m.b)), s -> s.n)"
     base = "filter(found, m -> m.kind = 'phrase')"

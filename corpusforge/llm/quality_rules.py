@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import SPACES, fold, saved, table
+from corpusforge.llm.common import SPACES, fold, row_key, saved, table
 
 #: Statistics that conditions may test; each is a ratio or a count that `text_statistics` derives.
 STATISTICS = ["symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate", "pipe_rate", "digit_rate", "punct_rate", "mean_word", "distinct_rate", "line_words"]
@@ -197,8 +197,11 @@ def learn_decision_list(rows: DataFrame, label: str, statistics: list[str] = STA
 
 
 def labelled_statistics(stats: DataFrame, labels: DataFrame, label: str, max_fit_rows: int) -> DataFrame:
-    """Fit rows: labelled, not held out, at most about max_fit_rows of them by a hash of the id (a documented bound)."""
-    rows = stats.filter(~F.col("base_failed") & (fold(F.col("doc_id")) != 2)).join(labels.select("doc_id", label), "doc_id")
+    """Fit rows: labelled, not held out, at most about max_fit_rows of them by a hash of the id (a documented bound).
+
+    Null labels are left out, as are labels of unknown and null ids; a doc_id with several labels stands once for each.
+    """
+    rows = stats.filter(~F.col("base_failed") & (fold(F.col("doc_id")) != 2)).join(labels.select("doc_id", label).filter(F.col(label).isNotNull()), "doc_id")
     n = labels.count()
     share = min(1.0, max_fit_rows / max(1, n))
     key = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
@@ -206,17 +209,18 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, label: str, max_fit
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit_rows: int = 200_000) -> DataFrame:
-    """doc_id with the base counts, base_failed, kept and row_key (a hash of doc_id and text); docs needs doc_id and text.
+    """doc_id with the base counts, base_failed, kept and row_key (a digest of doc_id and text); docs needs doc_id and text.
 
     Null or empty texts have no words and fail the base. Repeated rows are judged one by one and alike. Labels whose doc_id
     is null or unknown are not used. A document with several label rows is fitted once for each.
     """
-    stats = text_statistics(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))).withColumn("base_failed", base_failed())
+    stats = text_statistics(docs.select("doc_id", "text", row_key().alias("row_key"))).withColumn("base_failed", base_failed())
     stats = saved(stats, "statistics")
     rules = learn_decision_list(labelled_statistics(stats, labels, label, max_fit_rows), label)
     return stats.withColumn("rule", rules.fired()).withColumn("kept", ~F.col("base_failed") & rules.kept())
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base counts and verdict; null and empty texts fail the base, an empty table gives no rows."""
     out = apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

@@ -1,20 +1,22 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows lie in source blocks. Where a uniformly shuffled table is cut into shards of given sizes, the number of rows that go from
-block b to shard s follows a multivariate hypergeometric law. The matrix of these counts is drawn first, from the block
-counts alone; then each block permutes its rows and deals them out by its row of the matrix, the rows are exchanged, and each
-shard permutes what it got. All row work is DataFrame windows over blocks of bounded size; only block counts reach the driver.
+Rows lie in the partitions that the table is read in. Where a uniformly shuffled table is cut into shards of given sizes, the
+number of rows that go from partition p to shard s follows a multivariate hypergeometric law. The matrix of these counts is
+drawn first, from the counts of partitions alone; then each partition permutes its rows and deals them out by its row of the
+matrix, the rows are exchanged, and each shard permutes what it got. Rows are numbered once, in a written table, and permuted by
+a hash of the number, so that equal rows go apart. All row work is DataFrame windows; only the counts reach the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import saved, small, table
+from corpusforge.llm.common import free_name, saved, small, table
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
@@ -56,41 +58,40 @@ def communication_matrix(counts: list[int], capacities: list[int], rng: random.R
     return out
 
 
-def shard_rows(df: DataFrame, n_shards: int, keys: list[str], seed: int = 17, rows_per_block: int = 20_000, max_blocks: int = 65_536) -> DataFrame:
+def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_a_part: int = 20_000) -> DataFrame:
     """df with `shard` (0 to n_shards - 1, counts at most one apart) and `slot` (gapless from 0 within the shard).
 
-    keys name the columns that tell rows apart; rows equal in all of them are interchangeable and are still dealt one by
-    one. Nulls in any column are ordinary values. An empty table gives an empty result. Columns of df that are named shard
-    or slot are replaced.
+    Nulls in any column are ordinary values and equal rows are dealt one by one. An empty table gives an empty result. Columns
+    of df that are named shard or slot are replaced. A shard is put in order in parts of about rows_a_part rows.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    hashed = lambda salt: F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed * 2 + salt))
-    order = [F.col(f"`{k}`") for k in keys]
-    n_rows = df.count()
-    n_blocks = min(max_blocks, max(1, math.ceil(n_rows / rows_per_block)))
-    block = F.pmod(hashed(0), F.lit(n_blocks)).cast("int")
-    counts = {r[0]: r[1] for r in df.groupBy(block.alias("b")).count().collect()}
-    sizes = [counts.get(b, 0) for b in range(n_blocks)]
+    row, source, rank, cuts, part, base = (free_name(n, df.columns) for n in ("__row", "__source", "__rank", "__cuts", "__part", "__base"))
+    rows = saved(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hashed = lambda salt: F.xxhash64(F.col(row), F.lit(seed * 2 + salt))
+    from_part = F.shiftright(F.col(row), 33).cast("int")  # the partition, as monotonically_increasing_id numbers rows
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(from_part.alias("p")).count().collect())
+    n_rows = sum(n for _, n in counts)
     capacities = [n_rows // n_shards + (s < n_rows % n_shards) for s in range(n_shards)]
-    matrix = communication_matrix(sizes, capacities, random.Random(seed))
-    cuts = spark.createDataFrame([(b, [sum(row[: s + 1]) for s in range(n_shards)]) for b, row in enumerate(matrix)], "__block int, __cuts array<bigint>")
-    matrix_bytes = n_blocks * (n_shards + 4) * 8
+    matrix = communication_matrix([n for _, n in counts], capacities, random.Random(seed))
+    ends = [(p, list(itertools.accumulate(m))) for (p, _), m in zip(counts, matrix)]
+    dealing = spark.createDataFrame(ends, f"{source} int, {cuts} array<bigint>")
     dealt = (
-        df.withColumn("__block", block)
-        .withColumn("__rank", F.row_number().over(Window.partitionBy("__block").orderBy(hashed(0), *order)) - 1)
-        .join(small(cuts, matrix_bytes), "__block")
-        .withColumn("shard", F.expr("size(filter(__cuts, c -> c <= __rank))"))
-        .drop("__block", "__rank", "__cuts")
+        rows.withColumn(source, from_part)
+        .withColumn(rank, F.row_number().over(Window.partitionBy(source).orderBy(hashed(0), row)) - 1)
+        .join(small(dealing, len(counts) * (n_shards + 4) * 8), source)
+        .withColumn("shard", F.expr(f"size(filter({cuts}, c -> c <= {rank}))"))
+        .drop(source, rank, cuts)
     )
-    dealt = saved(dealt.withColumn("__part", F.pmod(hashed(1), F.lit(max(1, n_blocks // n_shards))).cast("int")), "dealt")
-    ordered = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("shard", "__part").agg(F.count("*").alias("__n")).select("shard", "__part", F.coalesce(F.sum("__n").over(ordered), F.lit(0)).alias("__base"))
+    n_parts = max(1, n_rows // (n_shards * rows_a_part))
+    dealt = saved(dealt.withColumn(part, F.pmod(hashed(1), F.lit(n_parts)).cast("int")), "dealt")
+    ordered = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("shard", part).agg(F.count("*").alias("n")).select("shard", part, F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias(base))
     return (
-        dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__part").orderBy(hashed(1), *order)) - 1)
-        .join(small(bases, n_blocks * 24 + n_shards * 24), ["shard", "__part"])
-        .withColumn("slot", F.col("__base") + F.col("__rank"))
-        .drop("__part", "__rank", "__base")
+        dealt.withColumn(rank, F.row_number().over(Window.partitionBy("shard", part).orderBy(hashed(1), row)) - 1)
+        .join(small(bases, (n_parts + 1) * n_shards * 24), ["shard", part])
+        .withColumn("slot", F.col(base) + F.col(rank))
+        .drop(part, rank, base, row)
     )
 
 
@@ -101,5 +102,5 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
     )
-    rows = shard_rows(saved(docs, "digests"), 8, ["doc_id", "size", "text_crc32"])
+    rows = shard_rows(docs, 8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, fit_sample, fold, mix, saved, table
+from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, fit_sample, fold, mix, row_key, saved, table
 
 #: General insults in four languages, one voter together.
 SEEDS = [
@@ -277,10 +277,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
 
 def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """row_key (a hash of doc_id and text) of the rows of docs that score at least threshold."""
+    """row_key (a digest of doc_id and text) of the rows of docs that score at least threshold."""
     texts = docs.select("doc_id", "text")
     model = fit_toxicity(texts, labels)
-    return score_toxicity(docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")), model).filter(F.col("toxicity") >= threshold).select("row_key")
+    return score_toxicity(docs.select("text", row_key().alias("row_key")), model).filter(F.col("toxicity") >= threshold).select("row_key")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from corpusforge.llm.components import components
 from corpusforge.llm.embedding_dedup import fit_tables, near_duplicates, op10_embedding_dedup
-from corpusforge.llm.ngram_join import linked_sets, ngram_join, one_of_each_group
+from corpusforge.llm.ngram_join import linked_sets, ngram_join, one_of_each_group, op3_ngram_join
+from corpusforge.llm.queries import ORACLE_SQL
+from tests.conftest import SMALL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,6 +64,14 @@ def test_ngram_join_against_brute_force(spark, seed, block):
     assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(sorted(sets), linked)
 
 
+def test_query_against_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({ORACLE_SQL['op3_ngram_join']})").fetchall()
+    got = op3_ngram_join(spark, SMALL).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_trie_against_brute_force():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 40, 60)

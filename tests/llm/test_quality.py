@@ -1,7 +1,11 @@
 import re
+import zlib
 from collections import Counter
 
-from corpusforge.llm.quality_classifier import fit_quality, op5_quality_classifier, score_quality
+import numpy as np
+import pyarrow as pa
+
+from corpusforge.llm.quality_classifier import FactorisationMachine, features, fit_quality, op5_quality_classifier, score_quality
 from corpusforge.llm.quality_rules import apply_quality_rules, op1_quality_rules, text_statistics
 from tests.conftest import SMALL
 
@@ -58,3 +62,23 @@ def test_held_out_accuracy(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = [r for r in op5_quality_classifier(spark, folder).collect() if r["held_out"] and r["doc_id"] in labels]
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in rows) / len(rows) > 0.9
+
+
+def test_pair_term_against_all_pairs():
+    rng = np.random.default_rng(1)
+    ids, values, offsets = features(pa.array(["some words and some more | 12!", "", "A line\nand a line\nand a line"]))
+    machine = FactorisationMachine(0.3, rng.standard_normal(1 << 16), rng.standard_normal((1 << 16, 5)))
+    margin, _ = machine.margin(ids, values, offsets)
+    for k in range(3):
+        i, x = ids[offsets[k] : offsets[k + 1]], values[offsets[k] : offsets[k + 1]]
+        pairs = sum(machine.factors[i[a]] @ machine.factors[i[b]] * x[a] * x[b] for a in range(len(i)) for b in range(a))
+        assert np.isclose(margin[k], 0.3 + machine.linear[i] @ x + pairs)
+
+
+def test_rules_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = [r for r in op1_quality_rules(spark, folder).collect() if r["doc_id"] in labels and held(r["doc_id"]) and not r["base_failed"]]
+    low, good = ([r["kept"] for r in rows if labels[r["doc_id"]] == k] for k in (0, 1))
+    assert sum(low) / len(low) < 0.1 and sum(good) / len(good) > 0.98

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 from math import comb
 
@@ -26,12 +27,12 @@ def test_large_populations():
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    rows = shard_rows(odd_docs, 4, ["doc_id", "text"], rows_per_block=3).collect()
+    rows = shard_rows(odd_docs.withColumnsRenamed({"n_words": "__row", "row_key": "__part"}), 4, rows_a_part=2).collect()
     sizes = Counter(r["shard"] for r in rows)
     assert len(rows) == 15 and max(sizes.values()) - min(sizes.values()) <= 1
     for s, n in sizes.items():
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n))
-    assert shard_rows(no_docs, 4, ["doc_id"]).count() == 0
+    assert shard_rows(no_docs, 4).count() == 0
 
 
 def test_query_puts_every_document_in_a_place(spark):
@@ -40,3 +41,30 @@ def test_query_puts_every_document_in_a_place(spark):
     assert len(places) == len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
     again = {r["doc_id"]: (r["shard"], r["slot"]) for r in op4_sharding(spark, SMALL).collect()}
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in rows}
+
+
+def test_query_against_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in op4_sharding(spark, SMALL).collect():
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
+def test_shuffle_is_uniform(spark):
+    """Over many seeds each of some equal rows is in each shard, and in each place, about as often."""
+    docs = spark.range(12, numPartitions=3).selectExpr("id", "'same' as text")
+    n = 60
+    shards, first = Counter(), Counter()
+    for seed in range(n):
+        for r in shard_rows(docs, 4, seed=seed).collect():
+            shards[r["id"], r["shard"]] += 1
+            first[r["id"]] += r["slot"] == 0
+    chi = sum((shards[i, s] - n / 4) ** 2 / (n / 4) for i in range(12) for s in range(4))
+    assert chi < 70  # 36 - 3 degrees of freedom or so; one in a thousand lies above 64
+    assert sum((first[i] - n / 3) ** 2 / (n / 3) for i in range(12)) < 45
+
+
+def test_equal_rows_go_apart(spark):
+    docs = spark.range(4000, numPartitions=4).selectExpr("'one' as text")
+    slots = shard_rows(docs, 4).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in slots) == [1000] * 4
