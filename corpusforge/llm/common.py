@@ -82,19 +82,6 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def row_key() -> Column:
-    """A digest of doc_id and text, never null; null and empty texts differ."""
-    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), "text"), F.lit("")), F.lit("")), 256)
-
-
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs less the rows whose row_key stands in rejected (one column); the columns stay as they are."""
-    name = free_name("row_key", docs.columns)
-    rejected = saved(rejected.distinct(), "rejected")
-    left = docs.withColumn(name, row_key())
-    return left.join(small(rejected.toDF(name), 96 * rejected.count()), name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-
-
 def tidy() -> None:
     """Return freed memory to the system; a worker serves one task after another, and what it holds counts for its executor."""
     gc.collect()

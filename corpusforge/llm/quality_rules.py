@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import SPACES, fold, row_key, saved, table
+from corpusforge.llm.common import SPACES, fit_sample, fold, saved, table
 
 #: Statistics that conditions may test; each is a ratio or a count that `text_statistics` derives.
 STATISTICS = ["symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate", "pipe_rate", "digit_rate", "punct_rate", "mean_word", "distinct_rate", "line_words"]
@@ -209,17 +209,33 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, label: str, max_fit
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit_rows: int = 200_000) -> DataFrame:
-    """doc_id with the base counts, base_failed, kept and row_key (a digest of doc_id and text); docs needs doc_id and text.
+    """doc_id with the base counts, base_failed and kept; docs needs doc_id and text.
 
     Null or empty texts have no words and fail the base. Repeated rows are judged one by one and alike. Labels whose doc_id
     is null or unknown are not used. A document with several label rows is fitted once for each.
     """
-    stats = text_statistics(docs.select("doc_id", "text", row_key().alias("row_key"))).withColumn("base_failed", base_failed())
+    stats = text_statistics(docs.select("doc_id", "text")).withColumn("base_failed", base_failed())
     stats = saved(stats, "statistics")
     rules = learn_decision_list(labelled_statistics(stats, labels, label, max_fit_rows), label)
     return stats.withColumn("rule", rules.fired()).withColumn("kept", ~F.col("base_failed") & rules.kept())
 
 
+def keep_by_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit_rows: int = 200_000) -> DataFrame:
+    """docs less the rows that fail the base or that a learned rule rejects, with their columns as they are.
+
+    Rules are learned from the statistics of labelled rows alone (a bounded sample, without held-out ones); then all rows are
+    judged in one pass, without a shuffle of texts. Nulls, repeated rows and labels are treated as in apply_quality_rules.
+    """
+    sample = text_statistics(fit_sample(docs.select("doc_id", "text"), labels, label, max_fit_rows).select("doc_id", F.col("label").alias("__label"), "text"))
+    grow = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(3)) < 2
+    sample = saved(sample.filter(~base_failed()).withColumn("__grow", grow), "labelled")
+    rules = learn_decision_list(sample, "__label")
+    judged = text_statistics(docs.select(F.struct("*").alias("__row"), "text"))
+    # a condition that isn't deterministic stays above the statistics; pushed below, it would work them out over and over
+    judged = judged.withColumn("__place", F.monotonically_increasing_id())
+    return judged.filter((F.col("__place") >= 0) & ~base_failed() & rules.kept()).select("__row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its base counts and verdict; null and empty texts fail the base, an empty table gives no rows."""
     out = apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, fit_sample, fold, mix, row_key, saved, table
+from corpusforge.llm.common import _IS_ASCII_NON_ALNUM, Words, arrow_task, fit_sample, fold, free_name, mix, saved, table
 
 #: General insults in four languages, one voter together.
 SEEDS = [
@@ -172,7 +172,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
     the log-likelihood ratio of its rates (up to five places a text) reaches min_evidence; the max_entries with the most
     evidence stay, as a bound of the model. Entries that stand in much the same texts make one voter; all entries that would
     need more than max_voters share one. Null texts count as empty; a doc_id with several labels stands once for
-    each; rows without a label, and labels without a text, don't enter. Where the sample has no toxic text, only the seeds vote.
+    each; rows without a label, and labels without a text, don't enter. Where the sample has no toxic text, only the seeds vote; where it is
+    empty, a text with a seed is toxic.
     """
     sample = fit_sample(docs.select("doc_id", "text"), labels, label, max_fit_rows).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
     sample = saved(sample, "labelled")
@@ -256,31 +257,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
     v = votes(hits, n_words)
     prior = float(np.clip(n_toxic / max(1, n_toxic + n_clean) if n_toxic else 0.1, 0.005, 0.5))
     known = (voted.column("label").to_numpy() == 1).astype(float)
-    posterior = LabelModel.fit(v, prior, known).posterior(v) if len(v) else np.zeros(0)
+    if not len(v):  # nothing to learn from: a text is as toxic as the prior says, more so with a seed
+        weights = np.zeros(linear_inputs(np.zeros((1, lexicon.n_voters), np.int32), np.ones(1)).shape[1])
+        weights[-1], weights[lexicon.n_voters - 1] = np.log(prior / (1 - prior)), 2.5
+        return ToxicityModel(lexicon, weights)
+    posterior = LabelModel.fit(v, prior, known).posterior(v)
     return ToxicityModel(lexicon, fit_linear(linear_inputs(hits, n_words), posterior))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs with a column toxicity (0 to 1; replaced if there is one). Null texts count as empty, repeated rows score alike."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
+    """docs with a column of scores (0 to 1; replaced if there is one). Null texts score as empty ones, repeated rows alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("toxicity")
-    docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    docs = docs.drop(name)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _batches(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column(text)), pa.float64())], [*part.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")), pa.float64())], [*part.schema.names, name])
 
     schema = docs.schema
-    schema = type(schema)([*schema.fields]).add("toxicity", "double")
+    schema = type(schema)([*schema.fields]).add(name, "double")
     return docs.mapInArrow(arrow_task(score), schema)
 
 
-def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """row_key (a digest of doc_id and text) of the rows of docs that score at least threshold."""
-    texts = docs.select("doc_id", "text")
-    model = fit_toxicity(texts, labels)
-    return score_toxicity(docs.select("text", row_key().alias("row_key")), model).filter(F.col("toxicity") >= threshold).select("row_key")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """docs less the rows that score at least threshold, with their columns as they are, in one pass without a shuffle."""
+    name = free_name("toxicity", docs.columns)
+    scored = score_toxicity(docs, fit_toxicity(docs.select("doc_id", "text"), labels), name)
+    return scored.filter(F.col(name) < threshold).drop(name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from corpusforge.llm.quality_classifier import FactorisationMachine, features, fit_quality, op5_quality_classifier, score_quality
-from corpusforge.llm.quality_rules import apply_quality_rules, op1_quality_rules, text_statistics
+from corpusforge.llm.quality_rules import apply_quality_rules, keep_by_quality, op1_quality_rules, text_statistics
 from tests.conftest import SMALL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,6 +51,10 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs, labels):
     assert apply_quality_rules(odd_docs, labels).count() == 15
     assert apply_quality_rules(odd_docs, labels.limit(0)).filter("not base_failed and not kept").count() == 0
     assert apply_quality_rules(no_docs, labels).count() == 0
+    kept = keep_by_quality(odd_docs, labels.limit(0))
+    judged = Counter((r["doc_id"], r["kept"]) for r in apply_quality_rules(odd_docs, labels.limit(0)).collect())
+    assert kept.columns == odd_docs.columns and Counter((r["doc_id"], True) for r in kept.collect()) == Counter({k: n for k, n in judged.items() if k[1]})
+    assert keep_by_quality(no_docs, labels).count() == 0
     model = fit_quality(odd_docs, labels)
     scores = score_quality(odd_docs, model).collect()
     assert len(scores) == 15 and all(0 <= r["score"] <= 1 for r in scores)

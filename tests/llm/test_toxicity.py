@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from corpusforge.llm.toxicity import LabelModel, fit_toxicity, op6_toxicity, score_toxicity, toxic_rows
+from corpusforge.llm.toxicity import LabelModel, drop_toxic, fit_toxicity, op6_toxicity, score_toxicity
 
 
 def test_label_model_finds_the_class_without_labels():
@@ -62,4 +62,5 @@ def test_odd_rows(odd_docs, no_docs, labels):
     rows = score_toxicity(odd_docs, model).collect()
     assert len(rows) == 15 and all(0 <= r["toxicity"] <= 1 for r in rows)
     assert score_toxicity(no_docs, fit_toxicity(no_docs, labels)).count() == 0
-    assert toxic_rows(odd_docs, labels.limit(0)).columns == ["row_key"]
+    kept = drop_toxic(odd_docs, labels.limit(0))
+    assert kept.schema == odd_docs.schema and kept.count() == 15 and drop_toxic(no_docs, labels).count() == 0
