@@ -228,7 +228,7 @@ def keep_by_quality(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """
     sample = text_statistics(fit_sample(docs.select("doc_id", "text"), labels, label, max_fit_rows).select("doc_id", F.col("label").alias("__label"), "text"))
     grow = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(3)) < 2
-    sample = saved(sample.filter(~base_failed()).withColumn("__grow", grow), "labelled")
+    sample = saved(sample, "labelled").filter(~base_failed()).withColumn("__grow", grow)
     rules = learn_decision_list(sample, "__label")
     judged = text_statistics(docs.select(F.struct("*").alias("__row"), "text"))
     # a condition that isn't deterministic stays above the statistics; pushed below, it would work them out over and over
