@@ -94,10 +94,14 @@ def atom_id(owner: str | Column, path: str | Column, text: str | Column) -> Colu
     return F.concat_ws(":", _col(owner), _col(path), short_hash(text))
 
 
+#: Ends of lines: CR LF, LF, CR, VT, FF, FS, GS, RS, NEL, and the separators of lines and paragraphs.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row for each line, numbered from 1; an empty last line doesn't count. Other columns are kept."""
     others = [c for c in df.columns if c != text]
-    parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n")
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), LINE_END)
     rows = df.select(*others, F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts).alias("__lines"))
     return rows.select(*others, F.posexplode("__lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 

@@ -94,6 +94,8 @@ def disagreements(judgments: DataFrame, routed: DataFrame) -> DataFrame:
 def leaks(items: DataFrame, corpus: DataFrame, width: int = 3) -> DataFrame:
     """item_id of items (item_id, text) whose key of 8 characters or more stands in the key of some text of corpus (doc, text).
 
+    Each text is searched for itself: what runs across the end of one text into the next isn't a leak.
+
     Candidates come from an equi-join on one word of each item, the one that fewest texts hold among its inner words, which
     must stand in a text that holds the item; the key itself is then looked for. Items of few words have no inner word and
     are looked for in every text; those are broadcast, as they are short and counted first.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import clean, tokenize
+from corpusforge.sources.tables import saved
 
 # The weight of a needle by its label.
 WEIGHTS = {"language": 3.0, "framework": 2.0, "convention": 1.0, "task": 1.0, "term": 0.5}
@@ -27,20 +28,25 @@ def profile_needles(profile: DataFrame) -> DataFrame:
     return profile.select(F.explode(labelled).alias("x")).select("x.label", "x.weight", F.explode("x.needles").alias("needle")).distinct()
 
 
-def entry_tokens(catalog: DataFrame) -> DataFrame:
-    """id and token of each entry: its languages and tags as they are, and the tokens of its name and description."""
+def entry_tokens() -> Column:
+    """The tokens of an entry: its languages and tags as they are, and the tokens of its name and description."""
     both = F.filter(F.transform(F.concat("languages", "tags"), clean), lambda x: x != "")
-    return catalog.select("id", F.explode(F.array_union(both, tokenize(F.concat_ws(" ", "name", "description")))).alias("token"))
+    return F.array_union(both, tokenize(F.concat_ws(" ", "name", "description")))
 
 
 def hits(catalog: DataFrame, needles: DataFrame) -> DataFrame:
-    """id and needle where the needle, or every token of it, stands in the entry: two equi-joins on tokens, no cross join."""
-    tokens = entry_tokens(catalog)
-    distinct = needles.select("needle").distinct()
-    whole = tokens.join(F.broadcast(distinct), tokens.token == distinct.needle).select("id", "needle")
-    parts = distinct.withColumn("parts", tokenize("needle")).filter(F.size("parts") > 0).select("needle", F.size("parts").alias("n_parts"), F.explode("parts").alias("part"))
-    all_parts = tokens.join(F.broadcast(parts), tokens.token == parts.part).groupBy("id", "needle", "n_parts").agg(F.count_distinct("part").alias("n")).filter("n = n_parts").select("id", "needle")
-    return whole.union(all_parts).distinct()
+    """id and needle where the needle, or every token of it, stands in the entry.
+
+    The needles of one profile, a short list, become a constant; each entry is tokenised once and its tokens are met with that
+    list in place, so nothing is shuffled and no other token is kept.
+    """
+    rows = needles.select("needle", tokenize("needle").alias("parts")).distinct().collect()
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    wanted = texts(sorted({x for r in rows for x in (r["needle"], *r["parts"])}))
+    listed = F.array(*[F.struct(F.lit(r["needle"]).alias("needle"), texts(r["parts"]).alias("parts")) for r in rows]) if rows else F.array().cast("array<struct<needle: string, parts: array<string>>>")
+    found = catalog.select("id", F.array_intersect(entry_tokens(), wanted).alias("found")).filter(F.size("found") > 0)
+    met = F.filter(listed, lambda x: F.array_contains(F.col("found"), x.needle) | ((F.size(x.parts) > 0) & (F.size(F.array_except(x.parts, F.col("found"))) == 0)))
+    return found.select("id", F.explode(F.transform(met, lambda x: x.needle)).alias("needle")).distinct()
 
 
 def needle_idf(found: DataFrame, n_entries: int) -> DataFrame:
@@ -55,7 +61,7 @@ def discover(catalog: DataFrame, profile: DataFrame, blocked: DataFrame | None =
     show. Order: score, stars (null last), lower-cased name, id. The profile is one description, so its needles are broadcast.
     """
     needles = profile_needles(profile)
-    found = hits(catalog, needles)
+    found = saved(hits(catalog, needles), "hits")
     idf = needle_idf(found, catalog.count())
     open_ = catalog if blocked is None else catalog.join(blocked.select("bundle_hash").filter("bundle_hash != ''").distinct(), "bundle_hash", "left_anti")
     scored = found.join(F.broadcast(idf), "needle").join(F.broadcast(needles), "needle").groupBy("id").agg(

@@ -34,8 +34,7 @@ def file_kind(path: str | Column) -> Column:
 def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (bundle_id, path, content binary) as text, and notices for those too large; binary ones are left out silently."""
     large = F.length("content") > R.MAX_FILE_BYTES
-    # a NUL byte: two zero digits at an even place of the hexadecimal form
-    binary = F.hex(F.substring(F.col("content"), 1, 8192)).rlike("^(?:..)*?00")
+    binary = F.contains(F.substring(F.col("content"), 1, 8192), F.lit(b"\0"))
     text = files.filter(~large & ~binary).select(*FILE, file_kind("path").alias("kind"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return text, files.filter(large).select("bundle_id", *_notice(F.concat("path", F.lit(": larger than the limit, skipped"))))
 
@@ -58,20 +57,26 @@ def _java(pattern: str, any_case: bool) -> str:
 
 
 def rule_hits(lines: DataFrame) -> DataFrame:
-    """lines with rule_id: one row for each rule that a line meets. A line is read once, by one array of conditions."""
+    """lines with rule_id: one row for each rule that a line meets.
+
+    All rules together, as one alternation without regard to case, leave out the lines that meet none; only the others are
+    tried against each rule, in one array of conditions.
+    """
+    any_rule = _java("|".join(f"(?:{r.pattern})" for r in R.LINE_RULES), True)
     tried = F.array_compact(F.array(*[F.when(F.col("kind").isin(list(r.kinds)) & F.col("line").rlike(_java(r.pattern, r.any_case)), F.lit(i)) for i, r in enumerate(R.LINE_RULES)]))
     named = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")) for r in R.LINE_RULES])
-    return lines.withColumn("hit", F.explode(tried)).withColumn("rule", F.element_at(named, F.col("hit") + 1)).select(*FILE, "kind", "line_no", "rule.*")
+    hit = lines.withColumn("hit", F.explode(F.when(F.col("line").rlike(any_rule), tried)))
+    return hit.withColumn("rule", F.element_at(named, F.col("hit") + 1)).select(*FILE, "kind", "line_no", "rule.*")
 
 
 def line_findings(lines: DataFrame, most: int = R.MAX_FINDINGS) -> DataFrame:
-    """Up to `most` findings of each rule in a file, and a notice where there are more."""
-    hits = rule_hits(lines)
-    ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy(*FILE, "rule_id").orderBy("line_no")))
-    shown = ranked.filter(F.col("n") <= most).select("bundle_id", "rule_id", "category", "severity", F.concat_ws(":", "path", "line_no").alias("locus"), F.lit("a line meets this rule").alias("message"))
-    counts = hits.groupBy(*FILE, "rule_id").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    capped = counts.select("bundle_id", *_notice(F.format_string(f"%s: %s capped (%d matches, kept {most})", "path", "rule_id", "n")))
-    return shown.unionByName(capped)
+    """Up to `most` findings of each rule in a file, and a notice where there are more; hits are found once."""
+    of_rule = Window.partitionBy(*FILE, "rule_id")
+    ranked = rule_hits(lines).withColumn("n", F.row_number().over(of_rule.orderBy("line_no"))).withColumn("total", F.count("*").over(of_rule))
+    finding = F.struct("rule_id", "category", "severity", F.concat_ws(":", "path", "line_no").alias("locus"), F.lit("a line meets this rule").alias("message"))
+    capped = F.struct(*_notice(F.format_string(f"%s: %s capped (%d matches, kept {most})", "path", "rule_id", "total")))
+    both = F.array_compact(F.array(F.when(F.col("n") <= most, finding), F.when((F.col("n") == 1) & (F.col("total") > most), capped)))
+    return ranked.select("bundle_id", F.explode(both).alias("f")).select("bundle_id", "f.*")
 
 
 def credential_findings(lines: DataFrame, window: int = R.CREDENTIAL_WINDOW) -> DataFrame:

@@ -12,6 +12,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df below spark.checkpoint.dir (a local folder only where that is unset) and read it back: cuts the lineage."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or getattr(context, "_corpusforge_tables", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = context._corpusforge_tables = "file://" + tempfile.mkdtemp(prefix="corpusforge-")
     path = f"{folder.rstrip('/')}/corpusforge/{name}-{uuid.uuid4().hex}"

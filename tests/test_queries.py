@@ -54,3 +54,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_line_rule_is_met(spark):
+    from corpusforge.functions.rules import LINE_RULES
+
+    found = {r.rule_id for r in QUERIES["line_findings_documents"](spark, SMALL).select("rule_id").distinct().collect()}
+    assert {r.id for r in LINE_RULES} <= found
+
+
+def test_lines_end_as_python_has_them(spark):
+    from corpusforge.functions.text import explode_lines
+
+    texts = ["a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h i\r\nj\rk\n", "", "\n\n", "x"]
+    rows = explode_lines(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).collect()
+    assert {(r["n"], r["line_no"], r["line"]) for r in rows} == {(n, i, line) for n, t in enumerate(texts) for i, line in enumerate(t.splitlines(), 1)}
