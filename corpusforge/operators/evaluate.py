@@ -123,6 +123,29 @@ def accept_edit(before: dict, after: dict, issues_before: DataFrame, issues_afte
     return {"accepted": not reasons, "reasons": reasons}
 
 
+def edit_description(surfaces: DataFrame, name: str, description: str, queries: DataFrame, baseline: DataFrame, candidate: DataFrame, n_problems: int = 0, n_leaks: int = 0) -> tuple[DataFrame, dict]:
+    """surfaces (name, description) with the new description if the edit is taken, else as they were, and the decision.
+
+    queries: query_id, text, kind, expected_skill, origin. baseline and candidate: reported routings (query_id, routed_skill,
+    position) before and after. Held-out rates must not fall, neither by the reports nor by routing the queries to the
+    descriptions themselves; an unknown name is refused.
+    """
+    if surfaces.filter(F.col("name") == name).isEmpty():
+        return surfaces, {"accepted": False, "reasons": [f"no output is named {name}"]}
+    edited = surfaces.withColumn("description", F.when(F.col("name") == name, F.lit(description)).otherwise(F.col("description")))
+    split = split_queries(queries)
+
+    def rate(judgments: DataFrame) -> float:
+        return trigger_score(judged(split, judgments)).first()["held_out_pass_rate"]
+
+    own = lambda s: route(queries, s).withColumn("position", F.lit(0))
+    before = {"reported": rate(baseline), "independent": rate(own(surfaces))}
+    after = {"reported": rate(candidate), "independent": rate(own(edited))}
+    issue = lambda s: quality(s.select("name", "description", F.lit("").alias("body"), F.array().cast("array<string>").alias("keys"))).select(F.col("name").alias("skill"), F.explode("issues").alias("issue"))
+    decision = accept_edit(before, after, issue(surfaces), issue(edited), True, n_problems, n_leaks)
+    return (edited if decision["accepted"] else surfaces), decision | {"before": before["reported"], "after": after["reported"], "before_independent": before["independent"], "after_independent": after["independent"]}
+
+
 def evaluation_passed(reports: DataFrame, n_problems: int, n_leaks: int) -> bool:
     """Quality of all children, no verifier problem, no leak; trigger scores don't enter."""
     return n_problems == 0 and n_leaks == 0 and reports.filter("not passed").isEmpty()
@@ -148,4 +171,4 @@ def cases_to_queries(cases: DataFrame) -> DataFrame:
     return cases.filter(F.trim(F.coalesce("prompt", F.lit(""))) != "").select(F.format_string("src-%s-%d", "skill", "position").alias("query_id"), F.col("prompt").alias("text"), F.lit("trigger").alias("kind"), F.col("skill").alias("expected_skill"), F.lit("source").alias("origin"))
 
 
-__all__ = ["accept_edit", "cases_to_queries", "disagreements", "evaluation_passed", "history", "judged", "leaks", "quality", "route", "split_queries", "tokenize", "trigger_score"]
+__all__ = ["accept_edit", "cases_to_queries", "disagreements", "edit_description", "evaluation_passed", "history", "judged", "leaks", "quality", "route", "split_queries", "tokenize", "trigger_score"]

@@ -217,6 +217,17 @@ def layout(clusters: DataFrame, atoms: DataFrame) -> DataFrame:
     return order_in(joined, ["cluster"], ["skill", "source_order", "atom_id"])
 
 
+def contributors(placed: DataFrame) -> DataFrame:
+    """cluster and the sources, by name, that its atoms (atom_id: source:path:hash) come from."""
+    source = F.split_part("atom_id", F.lit(":"), F.lit(1))
+    return placed.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_set(source)), ", ").alias("contributors"))
+
+
+def drop_summary(dropped: DataFrame) -> DataFrame:
+    """reason and n of dropped atoms (id, reason)."""
+    return dropped.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def assemble(placed: DataFrame) -> DataFrame:
     """cluster, name and body of each output: its atoms' texts in order, a line end between them."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "text")))

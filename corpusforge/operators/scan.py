@@ -212,6 +212,12 @@ def verdicts(findings: DataFrame, bundles: DataFrame) -> DataFrame:
     return bundles.select("bundle_id").distinct().join(worst, "bundle_id", "left").select("bundle_id", verdict_of(F.coalesce("rank", F.lit(0))).alias("verdict"))
 
 
+def verdict_counts(judged: DataFrame) -> DataFrame:
+    """verdict and n of each possible verdict, also of those that no bundle has."""
+    all_ = judged.sparkSession.createDataFrame([(v,) for v in R.VERDICTS], "verdict string")
+    return F.broadcast(judged.groupBy("verdict").agg(F.count("*").alias("found"))).join(all_, "verdict", "right").select("verdict", F.coalesce("found", F.lit(0)).alias("n"))
+
+
 def reconcile(local: DataFrame, hosted: DataFrame, scanner_version: str, ruleset_version: str) -> DataFrame:
     """local (bundle_id, bundle_hash, verdict) with verdict, hosted_verdict and stale after hosted records (bundle_hash,
     scanner_version, ruleset_version, verdict, position): the first record of a hash; another version changes nothing."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions import rules as R
 from corpusforge.functions import text as T
 from corpusforge.operators import dedupe, evaluate, license_ids, merge, ranking, scan
+from corpusforge.sources import emit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -672,16 +673,34 @@ def queries_from_cases(spark, sf_dir):
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN toxic = 1 THEN 'conflict-loser' ELSE 'out-of-scope' END AS reason FROM labels WHERE quality = 0 OR toxic = 1) GROUP BY reason")
 def drop_summary(spark, sf_dir):
-    return read(spark, sf_dir, "labels").filter("quality = 0 or toxic = 1").groupBy(F.when(F.col("toxic") == 1, "conflict-loser").otherwise("out-of-scope").alias("reason")).agg(F.count("*").alias("n"))
+    dropped = read(spark, sf_dir, "labels").filter("quality = 0 or toxic = 1").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "conflict-loser").otherwise("out-of-scope").alias("reason"))
+    return merge.drop_summary(dropped)
 
 
 @query("SELECT lang AS cluster, string_agg(DISTINCT source, ', ' ORDER BY source) AS contributors FROM documents GROUP BY lang")
 def contributors(spark, sf_dir):
     placed = read(spark, sf_dir, "documents").select(F.col("lang").alias("cluster"), F.concat_ws(":", "source", "doc_id").alias("atom_id"))
-    return placed.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_set(F.split_part("atom_id", F.lit(":"), F.lit(1)))), ", ").alias("contributors"))
+    return merge.contributors(placed)
 
 
 @query("SELECT doc_id, length(text) AS chars, CASE WHEN length(text) > 1536 THEN 'listing' WHEN length(text) > 1024 THEN 'api' END AS truncated FROM documents")
 def emit_truncation(spark, sf_dir):
-    n = F.length("text").cast("long")
-    return read(spark, sf_dir, "documents").select("doc_id", n.alias("chars"), F.when(n > evaluate.LISTING_LIMIT, "listing").when(n > evaluate.API_LIMIT, "api").alias("truncated"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("description"))
+    return emit.truncation(docs).withColumnRenamed("name", "doc_id")
+
+
+@query(
+    r"""SELECT name, path FROM (SELECT DISTINCT doc_id::VARCHAR AS name, unnest(['scripts/run_' || doc_id % 5 || '.py', 'references/' || lang || '.md']) AS path FROM documents) WHERE NOT path IN ('scripts/run_1.py', 'references/en.md')"""
+)
+def dangling_support(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nsee scripts/run_"), F.col("doc_id") % 5, F.lit(".py and references/"), "lang", F.lit(".md again references/"), "lang", F.lit(".md")).alias("body"))
+    bundles = docs.select("name", F.explode(F.array(F.lit("scripts/run_1.py"), F.lit("references/en.md"))).alias("path"))
+    return emit.dangling_support(docs, bundles)
+
+
+@query(
+    f"""WITH lines AS {_LINES_BY_DOC}, hits AS ({_ALL_HITS}), worst AS (SELECT bundle_id, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS r FROM hits GROUP BY bundle_id)
+    SELECT verdict, count(d.doc_id) AS n FROM (VALUES ('pass', 0, 1), ('review', 2, 3), ('block', 4, 9)) AS v(verdict, a, b) LEFT JOIN (SELECT doc_id, coalesce(r, 0) AS r FROM documents LEFT JOIN worst ON bundle_id = doc_id::VARCHAR) d ON r BETWEEN a AND b GROUP BY verdict"""
+)
+def verdict_counts(spark, sf_dir):
+    return scan.verdict_counts(verdict_rollup_documents(spark, sf_dir))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +92,38 @@ def verify_fetched(entries: DataFrame, fetched: DataFrame) -> DataFrame:
     return listed.join(got, ["id", "path"], "left").filter(~F.col("got").eqNullSafe(F.col("sha256"))).select("id", "path")
 
 
+def fetch_bundle(entry: dict, fetch, cache: str) -> str:
+    """The folder that holds exactly the files of an entry (id, files of path and sha256, fetch_base, bundle_hash).
+
+    A folder at hand that still has all bytes is taken as it is. Otherwise every file is got by fetch(address) and compared with
+    its hash in a folder beside it, which takes the place at once when it is whole; a failure leaves nothing behind.
+    """
+    wanted = {f["path"]: f["sha256"] for f in entry["files"]}
+    lines = "\n".join(f"{path}\0{digest}" for path, digest in sorted(wanted.items()))
+    bad = [p for p in wanted if p == "" or re.search(r"[\x00\\:]", p) or {"", ".", ".."} & set(p.split("/"))]
+    problem = "no files" if not wanted else "no place to fetch from" if not entry.get("fetch_base") else "a bundle hash that isn't that of its files" if hashlib.sha256(lines.encode()).hexdigest() != entry["bundle_hash"] else f"an unsafe path {bad[0]!r}" if bad else None
+    if problem:
+        raise FetchError(f"{entry['id']} has {problem}")
+    place = Path(cache) / "bundles" / entry["bundle_hash"]
+    held = {str(f.relative_to(place)): hashlib.sha256(f.read_bytes()).hexdigest() for f in place.rglob("*") if f.is_file()} if place.is_dir() else None
+    if held == wanted:
+        return str(place)
+    place.parent.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=place.parent) as beside:
+        for path, digest in wanted.items():
+            try:
+                data = fetch(f"{entry['fetch_base'].rstrip('/')}/{path}")
+            except OSError as error:
+                raise FetchError(f"{entry['id']}: {path} can't be fetched") from error
+            if hashlib.sha256(data).hexdigest() != digest:
+                raise FetchError(f"{entry['id']}: {path} has another hash")
+            (target := Path(beside) / "whole" / path).parent.mkdir(parents=True, exist_ok=True)
+            target.write_bytes(data)
+        shutil.rmtree(place, ignore_errors=True)
+        (Path(beside) / "whole").rename(place)
+    return str(place)
+
+
 def owners(tree: DataFrame) -> DataFrame:
     """repo, path and owner of each file below a folder that has a SKILL.md: the deepest such folder.
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import slug
+from corpusforge.operators.evaluate import API_LIMIT, LISTING_LIMIT
+from corpusforge.operators.merge import contributors, drop_summary
 
 REFERENCE_FILE = r"((?:references|scripts|assets)/[\w./-]+)"
 # Names that a marketplace may not claim.
@@ -64,11 +66,22 @@ def carried_support(docs: DataFrame, bundles: DataFrame) -> DataFrame:
     return bundles.join(support_references(docs), ["name", "path"], "left_semi")
 
 
+def dangling_support(docs: DataFrame, bundles: DataFrame) -> DataFrame:
+    """name and path of files that a body names and its bundle (name, path) doesn't have."""
+    return support_references(docs).join(bundles.select("name", "path"), ["name", "path"], "left_anti")
+
+
+def truncation(docs: DataFrame) -> DataFrame:
+    """name, characters of the description, and the surface that cuts it: listings, else the API."""
+    n = F.length(F.coalesce("description", F.lit(""))).cast("long")
+    return docs.select("name", n.alias("chars"), F.when(n > LISTING_LIMIT, "listing").when(n > API_LIMIT, "api").alias("truncated"))
+
+
 def surface_warnings(docs: DataFrame) -> DataFrame:
     """name and warning: fields that the API surface doesn't enforce, support files it can't hold, long descriptions."""
     size = F.length(F.coalesce("description", F.lit("")))
     tools = (F.coalesce("allowed_tools", F.lit("")) != "") | (F.coalesce("disallowed_tools", F.lit("")) != "") | F.coalesce("disable_model_invocation", F.lit(False))
-    found = F.array_compact(F.array(F.when(tools, "tool fields aren't enforced"), F.when(F.regexp_count("body", F.lit(REFERENCE_FILE)) > 0, "support files aren't in the payload"), F.when(size > 1536, "description is cut in listings"), F.when(size > 1024, "description is too long for the API")))
+    found = F.array_compact(F.array(F.when(tools, "tool fields aren't enforced"), F.when(F.regexp_count("body", F.lit(REFERENCE_FILE)) > 0, "support files aren't in the payload"), F.when(size > LISTING_LIMIT, "description is cut in listings"), F.when(size > API_LIMIT, "description is too long for the API")))
     return docs.select("name", F.explode(found).alias("warning"))
 
 
@@ -80,10 +93,9 @@ def provenance(sources: DataFrame, layout: DataFrame, dropped: DataFrame, genera
     """A report of sources (name, spdx_id, url), what each output is made of (cluster, atom_id), and drops by reason."""
     lines = ["# Provenance", "", f"Generated {generated_at}.", "", "## Sources", ""]
     lines += [f"- **{r['name']}** ({r['spdx_id'] or 'license unknown'}), {r['url'] or 'local'}" for r in sources.orderBy("name").collect()]
-    made = layout.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_set(F.split_part("atom_id", F.lit(":"), F.lit(1)))), ", ").alias("of"))
-    lines += ["", "## Composition", ""] + [f"- **{r['cluster']}**: atoms from {r['of']}" for r in made.orderBy("cluster").collect()]
-    reasons = dropped.groupBy("reason").count().orderBy("reason").collect()
-    lines += ["", "## Dropped", "", ", ".join(f"{r['count']} {r['reason']}" for r in reasons) or "none"]
+    lines += ["", "## Composition", ""] + [f"- **{r['cluster']}**: atoms from {r['contributors']}" for r in contributors(layout).orderBy("cluster").collect()]
+    reasons = drop_summary(dropped).orderBy("reason").collect()
+    lines += ["", "## Dropped", "", ", ".join(f"{r['n']} {r['reason']}" for r in reasons) or "none"]
     return "\n".join(lines) + "\n"
 
 
