@@ -6,6 +6,8 @@ one array expression over the line; structural checks are windows and minima ove
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,16 +58,26 @@ def _java(pattern: str, any_case: bool) -> str:
     return ("(?iuU)" if any_case else "(?U)") + pattern
 
 
-def rule_hits(lines: DataFrame) -> DataFrame:
-    """lines with rule_id: one row for each rule that a line meets.
+#: Texts, in lower case, one of which every line that meets a rule has; looking for them is cheaper than the rule's pattern.
+HINTS = {
+    "core:instruction-override": ["ignore"], "core:instruction-disregard": ["disregard"], "core:covert-action": ["user"], "core:conceal-from-user": ["user"], "core:system-prompt-extraction": ["prompt"],
+    "core:reverse-shell": ["/dev/tcp/", "bash", "nc", "mkfifo"], "core:fork-bomb": [":()"], "core:destructive-rm": ["rm"], "core:no-preserve-root": ["--no-preserve-root"], "core:disk-overwrite": ["of=/dev/"],
+    "core:eval-remote": ["eval", "exec"], "core:eval-encoded": ["eval", "exec"], "core:history-tamper": ["hist"], "core:install-hook": ["install\""], "core:raw-ip-url": ["://"],
+    "core:password-archive": ["unzip", "7z"], "core:pipe-to-shell": ["curl", "wget"], "core:remote-script-exec": ["<("], "core:git-http-dependency": ["git+http://"], "core:remote-instructions": ["://"],
+    "core:aws-access-key": ["akia"], "core:github-token": ["gh"], "core:slack-token": ["xox"], "core:anthropic-key": ["sk-ant-"], "core:private-key-block": ["private key"],
+    "core:generic-api-key": ["key", "secret", "token", "password"], "core:wallet-material": ["phrase", "mnemonic", "wallet"],
+}
+
 
-    All rules together, as one alternation without regard to case, leave out the lines that meet none; only the others are
-    tried against each rule, in one array of conditions.
-    """
-    any_rule = _java("|".join(f"(?:{r.pattern})" for r in R.LINE_RULES), True)
-    tried = F.array_compact(F.array(*[F.when(F.col("kind").isin(list(r.kinds)) & F.col("line").rlike(_java(r.pattern, r.any_case)), F.lit(i)) for i, r in enumerate(R.LINE_RULES)]))
+def rule_hits(lines: DataFrame) -> DataFrame:
+    """lines with rule_id: one row for each rule that a line meets. A line is read once, by one array of conditions; a rule's
+    pattern is tried only where one of its hints stands."""
+    # letters that patterns without regard to case take for ASCII ones, and lower-casing doesn't make so
+    low = lines.withColumn("__low", F.lower(F.translate("line", "\u017f\u0131\u0130\u212a", "siik")))
+    hint = lambda r: reduce(or_, [F.contains(F.col("__low"), F.lit(h)) for h in HINTS.get(r.id, [""])])
+    tried = F.array_compact(F.array(*[F.when(F.col("kind").isin(list(r.kinds)) & hint(r) & F.col("line").rlike(_java(r.pattern, r.any_case)), F.lit(i)) for i, r in enumerate(R.LINE_RULES)]))
     named = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")) for r in R.LINE_RULES])
-    hit = lines.withColumn("hit", F.explode(F.when(F.col("line").rlike(any_rule), tried)))
+    hit = low.withColumn("hit", F.explode(tried))
     return hit.withColumn("rule", F.element_at(named, F.col("hit") + 1)).select(*FILE, "kind", "line_no", "rule.*")
 
 

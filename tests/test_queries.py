@@ -69,3 +69,17 @@ def test_lines_end_as_python_has_them(spark):
     texts = ["a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h i\r\nj\rk\n", "", "\n\n", "x"]
     rows = explode_lines(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).collect()
     assert {(r["n"], r["line_no"], r["line"]) for r in rows} == {(n, i, line) for n, t in enumerate(texts) for i, line in enumerate(t.splitlines(), 1)}
+
+
+def test_hints_leave_out_no_hit(spark):
+    from corpusforge.operators import scan
+    from corpusforge.plans.queries import PLANTED
+
+    lines = [x for line in PLANTED for x in (line, line.upper(), line.replace("s", "ſ"), line.replace("i", "İ"), line.replace("i", "ı"), line.replace("k", "K"))]
+    table = spark.createDataFrame([("b", "package.json", "manifest", n, x) for n, x in enumerate(lines)], "bundle_id string, path string, kind string, line_no int, line string")
+    tried, hints = scan.rule_hits(table).select("line_no", "rule_id").collect(), scan.HINTS
+    scan.HINTS = {}
+    try:
+        assert sorted(tried) == sorted(scan.rule_hits(table).select("line_no", "rule_id").collect()) and len(tried) > len(PLANTED)
+    finally:
+        scan.HINTS = hints
