@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions.text import relevance_tokens, slug, subject_words
 from corpusforge.sources.tables import saved
 
+# Patterns, separators and router texts must be these for outputs to be the same.
 POSITIVE = r"(?iuU)\b(always|must|use|do|enable|require|prefer|ensure)\b"
 NEGATIVE = r"(?iuU)\b(never|don'?t|do not|avoid|disable|forbid|must not|should not)\b"
 NUMERIC = r"(?i)\b([a-z][a-z _-]{2,}?)\s*(?:[:=]|to|of|is|=|at)?\s*(\d+(?:\.\d+)?)\b"
@@ -234,10 +235,14 @@ def assemble(placed: DataFrame) -> DataFrame:
     return placed.groupBy("cluster").agg(F.array_join(F.transform(ordered, lambda x: x.text), SEPARATOR).alias("body")).withColumn("name", slug("cluster")).select("cluster", "name", "body")
 
 
+def route_line(label: Column, name: Column) -> Column:
+    return F.concat(F.lit("- When the task involves "), label, F.lit(", use the "), name, F.lit(" skill.\n"))
+
+
 def router(outputs: DataFrame) -> DataFrame:
     """The routing output where there is more than one other: its description and body from fixed templates."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col("cluster").alias("label"), F.col("name").alias("name"))))
-    body = F.concat(F.lit(ROUTER_OPENING), F.array_join(F.transform("routes", lambda r: F.concat(F.lit("- When the task involves "), r.label, F.lit(", use the "), r["name"], F.lit(" skill.\n"))), ""))
+    body = F.concat(F.lit(ROUTER_OPENING), F.array_join(F.transform("routes", lambda r: route_line(r.label, r["name"])), ""))
     text = F.concat(F.lit("Coordinates a set of related skills and routes each request to the matching one. Use when a task may involve: "), F.array_join(F.transform("routes", lambda r: r.label), ", "), F.lit("."))
     return outputs.groupBy().agg(ordered.alias("routes")).filter(F.size("routes") > 1).select(F.lit("orchestrator").alias("name"), text.alias("description"), body.alias("body"))
 
