@@ -8,8 +8,10 @@ stand in the order of their ids, and every piece of the vocabulary must give the
 
 from __future__ import annotations
 
+import importlib.util
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -50,21 +52,25 @@ def _letters_of_bytes() -> dict[str, int]:
 
 
 class Coder:
-    """ids of texts by the tokenizer file at path; special strings in a text are ordinary text."""
+    """ids of texts by the tokenizer file at path. A text with an added token's string goes through the library, which gives that token its own id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.words = (spec["model"].get("end_of_word_suffix") or "") != ""
-        self.fast = self._merges(spec)
+        added = spec.get("added_tokens") or []
+        self.odd = "|".join([_UNKNOWN, *(re.escape(t["content"]) for t in added)])  # texts that the library encodes
+        # a token that is looked for in the normalised text may stand in it in other forms
+        self.fast = None if any(t.get("normalized") for t in added) else self._merges(spec)
 
     def _merges(self, spec: dict):
         """The fast coder, if the file is of a kind that it serves."""
+        if importlib.util.find_spec("tiktoken") is None:
+            return None
         import tiktoken
 
         model, cut = spec["model"], json.dumps(spec.get("pre_tokenizer"), sort_keys=True)
@@ -98,7 +104,7 @@ class Coder:
         pieces = [p for p in vocab if p.endswith(suffix)]
         raw = [bytes(byte[c] for c in p[: len(p) - len(suffix)]) for p in pieces]
         texts = pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
-        texts = texts.filter(pc.invert(pc.match_substring_regex(texts, _UNKNOWN)))
+        texts = texts.filter(pc.invert(pc.match_substring_regex(texts, self.odd)))
         own = self._library(texts.to_pylist())
         self.fast = fast
         plain = self._fast(texts)
@@ -158,7 +164,7 @@ class Coder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.fast is None:
             return self._library(texts.to_pylist())
-        odd = pc.match_substring_regex(texts, _UNKNOWN).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         if not odd.any():
             if (found := self._fast(texts)) is not None:
                 return found

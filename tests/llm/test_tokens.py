@@ -31,7 +31,9 @@ def test_coder_gives_the_librarys_ids(path):
     coder = Coder(path)
     assert coder.fast is not None
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    texts += [frame.replace("X", t) for t in added for frame in ("X", "aX", "X b", "aXXb", " X ", "<X>", "X\n\n")] + [t.upper() for t in added] + [t[:-1] for t in added]
+    assert any(t in x for x in texts for t in added)
     for lo in range(0, len(texts), 500):
         some = texts[lo : lo + 500]
         ids, counts = coder.encode(pa.array(some, pa.string()))
@@ -51,6 +53,12 @@ def test_files_of_other_kinds_go_through_the_library(tmp_path):
     assert coder.encode(pa.array(["so it is"]))[0].tolist() == coder.tokenizer.encode("so it is").ids
 
 
+def test_without_the_fast_loop_the_library_does_all(monkeypatch):
+    monkeypatch.setattr("importlib.util.find_spec", lambda name: None)
+    coder = Coder(BYTE)
+    assert coder.fast is None and coder.encode(pa.array(["so it is<|endoftext|>"]))[0].tolist() == Tokenizer.from_file(BYTE).encode("so it is<|endoftext|>", add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 1 << 17), st.integers(0, (1 << 64) - 1)), max_size=300))
 def test_simple8b_round_trip(values):
