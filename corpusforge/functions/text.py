@@ -77,6 +77,19 @@ def norm_key(text: str | Column) -> Column:
     return F.when(other, _composed_and_folded(F.when(other, text))).otherwise(plain)
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()).casefold())
+
+
+def folded(text: str | Column) -> Column:
+    """norm_key without dropping marks at the end: what a text is within a longer one. Plain ASCII stays in the JVM."""
+    text = _col(text)
+    other = text.rlike(r"[^\x00-\x7F]|[\x1C-\x1F]")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " "))
+    return F.when(other, _folded(F.when(other, text))).otherwise(plain)
+
+
 def norm_key_full(text: str | Column) -> Column:
     return _composed_and_folded(_col(text))
 

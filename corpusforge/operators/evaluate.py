@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import norm_key, routing_tokens, tokenize
+from corpusforge.functions.text import routing_tokens, tokenize
+from corpusforge.operators.leakage import leaks
 
 NAME_LIMIT, API_LIMIT, LISTING_LIMIT = 64, 1024, 1536
 # Fixed values
@@ -91,31 +92,6 @@ def disagreements(judgments: DataFrame, routed: DataFrame) -> DataFrame:
     return judgments.join(other, "query_id").filter(~F.col("routed_skill").eqNullSafe(F.col("independent"))).select("query_id")
 
 
-def leaks(items: DataFrame, corpus: DataFrame, width: int = 3) -> DataFrame:
-    """item_id of items (item_id, text) whose key of 8 characters or more stands in the key of some text of corpus (doc, text).
-
-    Each text is searched for itself: what runs across the end of one text into the next isn't a leak.
-
-    Candidates come from an equi-join on one word of each item, the one that fewest texts hold among its inner words, which
-    must stand in a text that holds the item; the key itself is then looked for. Items of few words have no inner word and
-    are looked for in every text; those are broadcast, as they are short and counted first.
-    """
-    keyed = items.select("item_id", norm_key("text").alias("needle")).filter(F.length("needle") >= 8)
-    words = F.split("needle", " ")
-    inner = keyed.withColumn("inner", F.when(F.size(words) >= width, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array().cast("array<string>")))
-    hay = corpus.select("doc", norm_key("text").alias("hay"))
-    tokens = hay.select("doc", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
-    wanted = inner.select("item_id", "needle", F.explode(F.array_distinct("inner")).alias("word"))
-    counts = tokens.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "word", "left").groupBy("item_id", "needle").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    near = tokens.join(rarest, "word").select("doc", "item_id", "needle").join(hay, "doc").filter(F.col("hay").contains(F.col("needle"))).select("item_id")
-    short = inner.filter(F.size("inner") == 0).select("item_id", "needle")
-    # a short item's text is under three words, so 64 bytes and a row's overhead bound each; beyond the bound Spark decides
-    side = F.broadcast(short) if short.count() < 10_000 else short
-    scanned = hay.join(side, F.col("hay").contains(F.col("needle"))).select("item_id")
-    return near.union(scanned).distinct()
-
-
 def accept_edit(before: dict, after: dict, issues_before: DataFrame, issues_after: DataFrame, bodies_equal: bool, n_problems: int, n_leaks: int) -> dict:
     """Conservative gate: equal bodies, no problem, no leak, no new quality issue (skill, issue), and held-out rates not lower."""
     new = issues_after.select("skill", "issue").join(issues_before.select("skill", "issue"), ["skill", "issue"], "left_anti").count()

@@ -98,7 +98,7 @@ def frontmatter_split(spark, sf_dir):
 @query(
     f"""WITH {_HEADS}, {_CARRIED}, c AS (SELECT doc_id, skill || ':p0:x' AS atom_id, cluster, (doc_id // 50) % 11 AS k, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS n, coalesce(text, '') AS text FROM documents JOIN heads USING (doc_id)),
     bodies AS (SELECT cluster, k, string_agg(text, chr(10) ORDER BY doc_id) AS body, count(*) AS n FROM c GROUP BY ALL)
-    SELECT 'unknown atom' AS problem, cluster, 'nowhere' AS item FROM c WHERE k = 2 AND n = 1 UNION ALL SELECT 'unknown scaffold', cluster, 'glue' FROM bodies WHERE k = 3 AND n > 1
+    SELECT 'unknown atom' AS problem, cluster, 'nowhere ' || cluster AS item FROM c WHERE k = 2 AND n = 1 UNION ALL SELECT 'unknown scaffold', cluster, 'glue' FROM bodies WHERE k = 3 AND n > 1
     UNION ALL SELECT 'body differs from its atoms', cluster, '' FROM bodies WHERE k IN (1, 5) OR (k = 6 AND body <> '') UNION ALL SELECT 'atom in more than one place', NULL, atom_id FROM c WHERE k = 4 AND n = 1
     UNION ALL SELECT 'dropped without a reason', NULL, doc_id::VARCHAR FROM documents WHERE doc_id % 97 = 5 AND doc_id % 2 = 0
     UNION ALL SELECT 'frontmatter differs from its sources', cluster, field FROM carried JOIN bodies USING (cluster) WHERE k = 7
@@ -124,7 +124,7 @@ def verify_documents(spark, sf_dir):
     outputs = texts.groupBy("cluster").agg(body.alias("body")).withColumn("body", changed).join(given, "cluster", "left")
     none = F.create_map().cast("map<string,string>")
     outputs = outputs.withColumn("fields", F.when(k == 8, F.map_concat(F.coalesce("fields", none), F.create_map(F.lit("compatibility"), F.lit("invented")))).otherwise(F.coalesce("fields", none)))
-    layout = layout.withColumn("atom_id", F.when((k == 2) & (F.col("position") == 0), "nowhere").otherwise(F.col("atom_id"))).withColumn("template_id", F.when((k == 3) & (F.col("position") == 1), "glue").otherwise(F.col("template_id")))
+    layout = layout.withColumn("atom_id", F.when((k == 2) & (F.col("position") == 0), F.concat(F.lit("nowhere "), "cluster")).otherwise(F.col("atom_id"))).withColumn("template_id", F.when((k == 3) & (F.col("position") == 1), "glue").otherwise(F.col("template_id")))
     dropped = read(spark, sf_dir, "documents").filter("doc_id % 97 = 5").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 != 0, "out-of-scope").alias("reason"))
     empty = {n: spark.createDataFrame([], s) for n, s in (("router", "body string"), ("router_slots", "role string, template_id string"), ("routes", "position int, label string, skill_name string"))}
     return verify.verify_all(outputs, layout, atoms, dropped, **empty, expected=expected)

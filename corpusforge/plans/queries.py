@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions import rules as R
 from corpusforge.functions import text as T
 from corpusforge.operators import dedupe, evaluate, license_ids, merge, ranking, scan
-from corpusforge.plans.registry import ORACLE_SQL, QUERIES, SPACE, query, read, sql_key, sql_lines, sql_list, sql_tokens, sql_values, values
+from corpusforge.plans.registry import ORACLE_SQL, QUERIES, SPACE, query, read, sql_folded, sql_key, sql_lines, sql_list, sql_tokens, sql_values, values
 from corpusforge.sources import emit
 
 # --- text and intake
@@ -596,12 +596,28 @@ def trigger_score(spark, sf_dir):
     return scored.select("total", "pass_rate", "train_pass_rate", "held_out_pass_rate", F.size("failed_ids").cast("long").alias("n_failed"))
 
 
-@query(f"SELECT item_id FROM benchmark b WHERE length({sql_key('b.text')}) >= 8 AND EXISTS (SELECT 1 FROM documents d WHERE contains({sql_key('d.text')}, {sql_key('b.text')}))")
+_CORPUS = f"(SELECT string_agg(part, ' ' ORDER BY doc_id) AS hay FROM (SELECT doc_id, {sql_folded('text')} AS part FROM documents) WHERE part <> '')"
+
+
+@query(f"SELECT item_id FROM benchmark b, {_CORPUS} WHERE length({sql_key('b.text')}) >= 8 AND contains(hay, {sql_key('b.text')})")
 def leakage(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark")
     return evaluate.leaks(items, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
+_ACROSS = """(SELECT doc_id AS item_id, right(text, 40) || CASE WHEN doc_id % 40 = 20 THEN ' ~ ' ELSE ' ' END || left(lead(text) OVER (ORDER BY doc_id), 40) AS text FROM documents)"""
+
+
+@query(f"SELECT item_id FROM (SELECT item_id, {sql_key('text')} AS needle FROM {_ACROSS} WHERE item_id % 20 = 0), {_CORPUS} WHERE length(needle) >= 8 AND contains(hay, needle)")
+def leakage_across(spark, sf_dir):
+    """Needles are every 20th document's end with the next one's beginning, which no single text holds."""
+    docs = read(spark, sf_dir, "documents")
+    ranked = docs.select(F.col("doc_id").alias("item_id"), F.right("text", F.lit(40)).alias("tail"))
+    heads = docs.select((F.col("doc_id") - 1).alias("item_id"), F.left("text", F.lit(40)).alias("head"))
+    items = ranked.filter("item_id % 20 = 0").join(heads, "item_id").select("item_id", F.concat("tail", F.when(F.col("item_id") % 40 == 20, " ~ ").otherwise(" "), "head").alias("text"))
+    return evaluate.leaks(items, docs.select(F.col("doc_id").alias("doc"), "text"))
+
+
 DECISIONS = [(1, 0.5, 0.6, True), (2, 0.6, 0.5, False), (3, 0.6, 0.6, True), (4, 0.6, 0.4, False)]
 
 

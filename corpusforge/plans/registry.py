@@ -48,8 +48,15 @@ SPACE = r"[\s\x0b\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]"
 
 
 def sql_key(text: str) -> str:
-    one = f"trim(regexp_replace({text}, '{SPACE}+', ' ', 'g'))"
-    return rf"trim(regexp_replace(replace(lower({one}), 'ß', 'ss'), '[.:;]+$', ''))"
+    return rf"trim(regexp_replace({sql_folded(text)}, '[.:;]+$', ''))"
+
+
+def sql_folded(text: str) -> str:
+    """Composed, white space collapsed, lower case; of the letters that fold otherwise than they lower, sharp s, long s, final sigma and the ligatures."""
+    out = f"lower(trim(regexp_replace(nfc_normalize({text}), '{SPACE}+', ' ', 'g')))"
+    for a, b in (("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
 
 
 def sql_lines(source: str, ids: str) -> str:
