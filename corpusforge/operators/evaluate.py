@@ -127,19 +127,23 @@ def evaluation_passed(reports: DataFrame, n_problems: int, n_leaks: int) -> bool
     return n_problems == 0 and n_leaks == 0 and reports.filter("not passed").isEmpty()
 
 
-def history(decisions: DataFrame) -> DataFrame:
-    """Ledger of decisions (n from 1, before, after, accepted): a baseline v0, then one version for each decision.
+def history(decisions: DataFrame, by: str | None = None) -> DataFrame:
+    """Ledger of decisions (n from 1, before, after, accepted), one for each value of `by`: a baseline v0, then one version for
+    each decision.
 
     parent is the best version so far; the last accepted is the current best. A ledger is as long as one skill's history.
     """
-    first = decisions.orderBy("n").limit(1).select(F.lit(0).alias("n"), F.lit(None).cast("double").alias("before"), F.col("before").alias("after"), F.lit(True).alias("accepted"))
-    rows = first.unionByName(decisions.select("n", "before", "after", "accepted"))
-    past = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [by] if by else []
+    first = decisions.groupBy(*keys).agg(F.min_by("before", "n").alias("after"), F.count("*").alias("c")).filter("c > 0")
+    first = first.select(*keys, F.lit(0).alias("n"), F.lit(None).cast("double").alias("before"), "after", F.lit(True).alias("accepted"))
+    rows = first.unionByName(decisions.select(*keys, "n", "before", "after", "accepted"))
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
+    past = whole.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     version = F.concat(F.lit("v"), F.col("n").cast("string"))
     out = rows.withColumn("version", version).withColumn("parent", F.last(F.when(F.col("accepted"), version), ignorenulls=True).over(past))
-    best = F.max(F.when(F.col("accepted"), F.col("n"))).over(Window.partitionBy(F.lit(1)))
+    best = F.max(F.when(F.col("accepted"), F.col("n"))).over(whole)
     grade = F.when(F.col("n") == 0, "baseline").when(F.col("accepted"), "won").otherwise("lost")
-    return out.select("n", "version", "parent", F.col("after").alias("expectation_pass_rate"), grade.alias("grading_result"), (F.col("n") == best).alias("is_current_best"))
+    return out.select(*keys, "n", "version", "parent", F.col("after").alias("expectation_pass_rate"), grade.alias("grading_result"), (F.col("n") == best).alias("is_current_best"))
 
 
 def cases_to_queries(cases: DataFrame) -> DataFrame:

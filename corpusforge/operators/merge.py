@@ -6,6 +6,8 @@ very many atoms share one word, candidates are still only those of opposed polar
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,19 @@ def polarity_conflicts(directives: DataFrame) -> DataFrame:
     return _pairs(a.join(b, "word").filter("x != y"), "antonymic-directive")
 
 
+def polarity_words(directives: DataFrame) -> DataFrame:
+    """word, n_positive, n_negative, first_positive and first_negative of each subject word over which directives (id, text) are
+    opposed. A word that very many share makes one row here, where `polarity_conflicts` gives every pair; sums are made before
+    rows are shuffled."""
+    marked = directives.select("id", F.col("text").rlike(POSITIVE).alias("pos"), F.col("text").rlike(NEGATIVE).alias("neg"), F.explode(subject_words("text")).alias("word")).filter("pos or neg")
+    sides = marked.groupBy("word").agg(
+        F.count_if("pos").alias("n_positive"), F.count_if("neg").alias("n_negative"), F.count_if(F.col("pos") & F.col("neg")).alias("n_both"),
+        F.min(F.when(F.col("pos"), F.col("id"))).alias("first_positive"), F.min(F.when(F.col("neg"), F.col("id"))).alias("first_negative"),
+    )
+    # one directive that says both isn't opposed to itself
+    return sides.filter("n_positive > 0 and n_negative > 0 and not (n_positive = 1 and n_negative = 1 and n_both = 1)").drop("n_both")
+
+
 def numeric_bounds(text: str | Column) -> Column:
     """(key, value) of each bound a text states; the last value of a key counts."""
     text = F.col(text) if isinstance(text, str) else text
@@ -184,30 +199,74 @@ def prune_and_close(atoms: DataFrame, needles: list[str], edges: DataFrame, lose
     return marked.select("id", F.when(F.col("kept"), "kept").otherwise("dropped").alias("status"), F.when(F.col("kept").isNull(), F.when(F.col("lost"), "conflict-loser").otherwise("out-of-scope")).alias("reason"))
 
 
+def merge_groups(sizes: dict[str, int], apart: set[tuple[str, str]], limit: int) -> tuple[dict[str, list[str]], list[str]]:
+    """Labels of clusters with their groups, and the labels of those that nothing may join: always the first pair by (size,
+    label) that no conflict keeps apart is merged, until `limit` are left or no pair is free.
+
+    A heap has the clusters in order, and each knows those that it conflicts with; a merged cluster takes over both sets. The
+    smallest cluster looks past no more clusters than it conflicts with. One that conflicts with every other does so with all
+    that they merge into as well, and is put aside for good. So n groups with m conflicts take about (n + m) log n steps.
+    """
+    members, size, label, heap = {}, {}, {}, []
+    number = {g: i for i, g in enumerate(sorted(sizes))}
+    against: dict[int, set[int]] = {i: set() for i in number.values()}
+    for g, i in number.items():
+        members[i], size[i], label[i] = [g], sizes[g], g
+        heap.append((sizes[g], g, i))
+    for a, b in apart:
+        if a != b and a in number and b in number:
+            against[number[a]].add(number[b])
+            against[number[b]].add(number[a])
+    heapq.heapify(heap)
+    stuck: list[int] = []
+    fresh = len(number)
+    while len(heap) + len(stuck) > limit and len(heap) > 1:
+        first = heapq.heappop(heap)
+        x = first[2]
+        if len(against[x]) - len(stuck) == len(heap):
+            stuck.append(x)
+            continue
+        passed = []
+        while (other := heapq.heappop(heap))[2] in against[x]:
+            passed.append(other)
+        y = other[2]
+        for item in passed:
+            heapq.heappush(heap, item)
+        small, large = sorted((x, y), key=lambda i: len(against[i]))
+        for z in against[small]:
+            against[z].discard(small)
+            against[z].add(fresh)
+        for z in against[large]:
+            against[z].discard(large)
+            against[z].add(fresh)
+        against[large] |= against[small]
+        against[fresh] = against[large]
+        members[fresh], size[fresh], label[fresh] = members.pop(x) + members.pop(y), size[x] + size[y], " + ".join(sorted({label[x], label[y]}))
+        heapq.heappush(heap, (size[fresh], label[fresh], fresh))
+        fresh += 1
+    left = stuck + [item[2] for item in heap]
+    return {label[i]: sorted(members[i]) for i in left}, sorted(label[i] for i in stuck)
+
+
 def partition(kept: DataFrame, groups: DataFrame, conflicts: DataFrame, limit: int = 3) -> tuple[DataFrame, list[str]]:
     """cluster and atom_id, and warnings: groups (atom_id, group) merged until at most `limit` are left.
 
-    Sizes of groups and pairs of groups in conflict are summed up by Spark; only the merging of labels, of which there are as
-    many as groups, is done on the driver: always the first pair by (size, label) that no conflict keeps apart.
+    Sizes of groups and pairs of groups in conflict are summed up by Spark; only these reach the driver, where labels are merged.
+    A conflict within one group keeps nothing apart.
     """
     members = kept.select(F.col("id").alias("atom_id")).join(groups.select("atom_id", "group"), "atom_id")
     sizes = {r["group"]: r["n"] for r in members.groupBy("group").agg(F.count("*").alias("n")).collect()}
     a = members.select(F.col("atom_id").alias("atom_a"), F.col("group").alias("ga"))
     b = members.select(F.col("atom_id").alias("atom_b"), F.col("group").alias("gb"))
-    apart = {frozenset((r["ga"], r["gb"])) for r in conflicts.select("atom_a", "atom_b").join(a, "atom_a").join(b, "atom_b").select("ga", "gb").distinct().collect()}
-    clusters = {label: ({label}, n) for label, n in sizes.items()}
-    warnings = []
-    while len(clusters) > limit:
-        order = sorted(clusters, key=lambda c: (clusters[c][1], c))
-        free = ((x, y) for i, x in enumerate(order) for y in order[i + 1 :] if not any(frozenset((p, q)) in apart for p in clusters[x][0] for q in clusters[y][0]))
-        if (pair := next(free, None)) is None:
-            warnings.append(f"{len(clusters)} clusters are left: merging more would put conflicting atoms together")
-            break
-        (x, y), (gx, nx), (gy, ny) = pair, clusters.pop(pair[0]), clusters.pop(pair[1])
-        clusters[" + ".join(sorted({x, y}))] = (gx | gy, nx + ny)
+    between = conflicts.select("atom_a", "atom_b").join(a, "atom_a").join(b, "atom_b").filter("ga != gb")
+    apart = {(r["x"], r["y"]) for r in between.select(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).distinct().collect()}
+    clusters, _ = merge_groups(sizes, apart, limit)
+    warnings = [f"{len(clusters)} clusters are left: merging more would put conflicting atoms together"] if len(clusters) > limit else []
     spark = kept.sparkSession
-    names = spark.createDataFrame([(g, label) for label, (gs, _) in clusters.items() for g in sorted(gs)], "group string, cluster string")
-    return members.join(F.broadcast(names), "group").select("cluster", "atom_id"), warnings
+    labels = list(clusters)
+    numbers = spark.createDataFrame([(g, i) for i, label in enumerate(labels) for g in clusters[label]], "group string, n int")
+    names = spark.createDataFrame(list(enumerate(labels)), "n int, cluster string")  # long labels go to each cluster once, not to each group
+    return members.join(numbers, "group").join(names, "n").select("cluster", "atom_id"), warnings
 
 
 def layout(clusters: DataFrame, atoms: DataFrame) -> DataFrame:
