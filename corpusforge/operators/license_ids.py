@@ -31,8 +31,16 @@ RESTRICTIVENESS = {
 }
 COPYLEFT = ["GPL-2.0-only", "GPL-3.0-only", "AGPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC-BY-SA-4.0"]
 INCOMPATIBLE = [("GPL-2.0-only", "Apache-2.0")]
-#: Ids that count as known, besides those above.
-OTHER_KNOWN = ["0BSD", "AFL-3.0", "Artistic-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-NC-4.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MIT-0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "WTFPL", "Zlib"]
+#: Ids that count as known, besides those above; others can be given to `spdx.evaluate`.
+OTHER_KNOWN = [
+    "0BSD", "AFL-3.0", "AGPL-3.0-or-later", "Apache-1.1", "APSL-2.0", "Artistic-1.0", "Artistic-2.0", "BlueOak-1.0.0", "BSD-1-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "BUSL-1.1", "CAL-1.0",
+    "CC-BY-3.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EFL-2.0", "Elastic-2.0", "EPL-1.0", "EPL-2.0",
+    "EUPL-1.1", "EUPL-1.2", "FTL", "GFDL-1.3-only", "GFDL-1.3-or-later", "GPL-1.0-only", "GPL-2.0", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-or-later", "HPND", "ICU", "IJG", "ImageMagick", "IPL-1.0", "JSON",
+    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-or-later", "libpng-2.0", "LPPL-1.3c", "MIT-0", "MPL-1.1", "MPL-2.0-no-copyleft-exception", "MS-PL", "MS-RL", "MulanPSL-2.0",
+    "NCSA", "NPL-1.1", "ODbL-1.0", "ODC-By-1.0", "OFL-1.1", "OpenSSL", "OSL-3.0", "PDDL-1.0", "PHP-3.01", "PostgreSQL", "PSF-2.0", "Python-2.0", "QPL-1.0", "Ruby", "SISSL", "SSPL-1.0", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+]
+KNOWN_IDS = sorted({*RESTRICTIVENESS, *COPYLEFT, *OTHER_KNOWN})
+KNOWN_EXCEPTIONS = ["Autoconf-exception-3.0", "Bison-exception-2.2", "Bootloader-exception", "Classpath-exception-2.0", "CLISP-exception-2.0", "eCos-exception-2.0", "Font-exception-2.0", "GCC-exception-2.0", "GCC-exception-3.1", "GPL-CC-1.0", "Libtool-exception", "Linux-syscall-note", "LLVM-exception", "OpenJDK-assembly-exception-1.0", "openvpn-openssl-exception", "Qt-LGPL-exception-1.1", "u-boot-exception-2.0", "WxWindows-exception-3.1"]
 
 
 def detect_text(text: str | Column) -> Column:
@@ -53,6 +61,7 @@ def restrictiveness(spdx: str | Column) -> Column:
 def detect_bundles(files: DataFrame) -> DataFrame:
     """bundle_id, spdx_id and source of files (bundle_id, path, text): license file, else the one SPDX tag, else the
     frontmatter's, else the first of several tags; with the number of distinct signals."""
+    # fixed values: the patterns of license files, tags and fields
     root = files.filter(~F.col("path").contains("/") & F.lower("path").rlike(r"^(license|licence|copying)([._-].*)?$")).withColumn("id", detect_text("text")).filter("id is not null")
     by_file = root.groupBy("bundle_id").agg(F.min_by("id", "path").alias("file_id"))
     scanned = files.filter(F.lower("path").rlike(r"\.(py|sh|js|ts|md)$"))
@@ -69,7 +78,9 @@ def detect_bundles(files: DataFrame) -> DataFrame:
 
 def license_findings(detected: DataFrame) -> DataFrame:
     """bundle_id, rule_id and severity: signals that differ; no id, and then nothing else; an id that isn't known; copyleft."""
-    known = F.col("spdx_id").isin(sorted({*RESTRICTIVENESS, *COPYLEFT, *OTHER_KNOWN}))
+    from corpusforge.operators.spdx import evaluate
+
+    known = evaluate("spdx_id").valid
     rule = lambda when, slug, severity: F.when(when, F.struct(F.lit(f"core:license-{slug}").alias("rule_id"), F.lit(severity).alias("severity")))
     some = F.col("spdx_id").isNotNull()
     found = F.array_compact(F.array(rule(F.col("signals") > 1, "conflict", "medium"), rule(~some, "unknown", "medium"), rule(some & ~known, "unrecognized", "medium"), rule(some & F.col("spdx_id").isin(COPYLEFT), "copyleft", "low")))

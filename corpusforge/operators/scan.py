@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType
 
 from corpusforge.functions import rules as R
 from corpusforge.functions.text import explode_lines
+from corpusforge.sources.tables import saved
 
 FILE = ["bundle_id", "path"]
 FINDING = ["bundle_id", "rule_id", "category", "severity", "locus", "message"]
@@ -33,9 +34,9 @@ def file_kind(path: str | Column) -> Column:
     )
 
 
-def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files (bundle_id, path, content binary) as text, and notices for those too large; binary ones are left out silently."""
-    large = F.length("content") > R.MAX_FILE_BYTES
+def readable(files: DataFrame, most: int = R.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Files (bundle_id, path, content binary) as text, and notices for those of more than `most` bytes; binary ones are left out silently."""
+    large = F.length("content") > most
     binary = F.contains(F.substring(F.col("content"), 1, 8192), F.lit(b"\0"))
     text = files.filter(~large & ~binary).select(*FILE, file_kind("path").alias("kind"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return text, files.filter(large).select("bundle_id", *_notice(F.concat("path", F.lit(": larger than the limit, skipped"))))
@@ -189,9 +190,44 @@ def dependency_findings(lines: DataFrame) -> DataFrame:
     return found.unionByName(loose.select(*_finding("core:unpinned-dependency", "unverifiable-dependency", "low", F.concat("path", F.lit(":1")), F.format_string("%d dependencies without a version", "n"))))
 
 
+def walk_key(path: str | Column) -> Column:
+    """A key in whose order paths stand as a walk gives them: by their parts, not as strings ("a/x" before "a-b")."""
+    return F.replace(F.col(path) if isinstance(path, str) else path, F.lit("/"), F.lit("\0"))
+
+
+def bundle_walk(files: DataFrame, root: str | Column = "") -> DataFrame:
+    """files (bundle_id, path) with position, from 1, in the order of the walk, without those below an ignored folder.
+
+    Parts of the root count too: a bundle that lies below an ignored folder has no files. A part is what its whole name says,
+    a file's name as well.
+    """
+    root = F.lit(root) if isinstance(root, str) else root
+    parts = F.concat(F.split(root, "/"), F.split("path", "/"))
+    kept = files.filter(~F.arrays_overlap(parts, F.array(*map(F.lit, R.IGNORED_FOLDERS))))
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy("bundle_id").orderBy(walk_key("path"))))
+
+
+def update_index(index: DataFrame, files: DataFrame, scanner_version: str, ruleset_version: str, scanned_at: str) -> tuple[DataFrame, DataFrame]:
+    """The verdict index brought up to date with bundles of files (bundle_id, path, content), and the records that were made for it.
+
+    index: position, bundle_hash, scanner_version, ruleset_version, verdict, scanned_at. Of records with one hash the first
+    stands. Only bundles are scanned whose hash has no record, or one of other versions; bundles of one hash are scanned once.
+    Records of hashes that no bundle has stay.
+    """
+    kept = index.groupBy("bundle_hash").agg(F.min_by(F.struct("scanner_version", "ruleset_version", "verdict", "scanned_at"), "position").alias("r")).select("bundle_hash", "r.*")
+    current = kept.filter((F.col("scanner_version") == scanner_version) & (F.col("ruleset_version") == ruleset_version))
+    hashes = bundle_hashes(files.select("bundle_id", "path", F.sha2("content", 256).alias("sha256")))
+    due = saved(hashes.join(current, "bundle_hash", "left_anti").groupBy("bundle_hash").agg(F.min("bundle_id").alias("bundle_id")), "due")
+    chosen = files.join(due.select("bundle_id"), "bundle_id", "left_semi")
+    judged = verdicts(scan(chosen), chosen).join(due, "bundle_id")
+    made = judged.select("bundle_hash", F.lit(scanner_version).alias("scanner_version"), F.lit(ruleset_version).alias("ruleset_version"), "verdict", F.lit(scanned_at).alias("scanned_at"))
+    made = saved(made, "records")
+    return kept.join(made.select("bundle_hash"), "bundle_hash", "left_anti").unionByName(made), made
+
+
 def scan(files: DataFrame) -> DataFrame:
-    """All findings of bundles of files (bundle_id, path, content)."""
-    numbered = files.withColumn("n", F.row_number().over(Window.partitionBy("bundle_id").orderBy("path")))
+    """All findings of bundles of files (bundle_id, path, content), in the order of the walk."""
+    numbered = files.withColumn("n", F.row_number().over(Window.partitionBy("bundle_id").orderBy(walk_key("path"))))
     over = numbered.filter(F.col("n") == R.MAX_FILES + 1).select("bundle_id", *_notice(F.lit(f"more than {R.MAX_FILES} files, the rest isn't scanned")))
     texts, notices = readable(numbered.filter(F.col("n") <= R.MAX_FILES).drop("n"))
     lines = lines_of(texts)

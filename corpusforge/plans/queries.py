@@ -751,6 +751,6 @@ def verdict_counts(spark, sf_dir):
     return scan.verdict_counts(verdict_rollup_documents(spark, sf_dir))
 
 
-from corpusforge.plans import merge_queries  # noqa: E402, F401  (registers its queries)
+from corpusforge.plans import merge_queries, source_queries  # noqa: E402, F401  (they register their queries)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions.text import slug
 from corpusforge.operators.evaluate import API_LIMIT, LISTING_LIMIT
 from corpusforge.operators.merge import contributors, drop_summary
+from corpusforge.sources.tree_sink import write_files
 
 REFERENCE_FILE = r"((?:references|scripts|assets)/[\w./-]+)"
 # Names that a marketplace may not claim.
@@ -101,17 +102,36 @@ def provenance(sources: DataFrame, layout: DataFrame, dropped: DataFrame, genera
 
 def _rows(docs: DataFrame) -> list[tuple[str, str]]:
     """Rendered outputs: at most a few, by the limit on clusters."""
-    if (bare := [r[0] for r in blockers(docs).collect()]):
-        raise EmitError(f"no description: {', '.join(sorted(bare))}")
+    _checked(docs)
     return [(r["name"], r["text"]) for r in render(docs).orderBy("name").collect()]
 
 
-def write_tree(docs: DataFrame, out: str, report: str, set_name: str) -> list[str]:
-    paths = {f"{name}/SKILL.md": text for name, text in _rows(docs)} | {f"PROVENANCE-{set_name}.md": report}
-    for path, text in paths.items():
-        (place := Path(out) / path).parent.mkdir(parents=True, exist_ok=True)
-        place.write_text(text, encoding="utf-8")
-    return sorted(paths)
+def tree_files(docs: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
+    """path and content of every file of outputs: the rendered text of each, and the support files that its body names, if its
+    bundle (name, path, content) has them."""
+    texts = render(docs).select(F.concat("name", F.lit("/SKILL.md")).alias("path"), F.col("text").cast("binary").alias("content"))
+    if bundles is None:
+        return texts
+    return texts.unionByName(carried_support(docs, bundles).select(F.concat_ws("/", "name", "path").alias("path"), "content"))
+
+
+def _checked(docs: DataFrame) -> None:
+    if (bare := [r[0] for r in blockers(docs).limit(5).collect()]):
+        raise EmitError(f"no description: {', '.join(sorted(bare))}")
+
+
+def write_tree(docs: DataFrame, out: str, report: str, set_name: str, bundles: DataFrame | None = None) -> list[str]:
+    """Write outputs, their support files and the report below out, by tasks; the paths written, of at most a few outputs."""
+    _checked(docs)
+    reported = docs.sparkSession.createDataFrame([(f"PROVENANCE-{set_name}.md", bytearray(report.encode()))], "path string, content binary")
+    files = tree_files(docs, bundles).unionByName(reported)
+    write_files(files, out)
+    return sorted(r["path"] for r in files.select("path").collect())
+
+
+def default_plugin_name(outputs: DataFrame) -> str:
+    """Names of the outputs (name) as one: the only one's, or all, in order, joined by dashes."""
+    return "-".join(r["name"] for r in outputs.select("name").orderBy("name").collect()) or "skill"
 
 
 def zip_bytes(docs: DataFrame, report: str) -> bytes:
