@@ -4,8 +4,10 @@ A rotation is learned that makes the signs of rotated vectors good balanced bina
 as wanted. Codes are cut into substrings, each the key of one Hamming table. A vector is stored under its key and under the
 keys that differ in one of its least certain bits, so that two vectors meet up to a Hamming distance of two. Vectors that meet
 are compared by 96 bits of code, as no more than ids and codes are moved (more bits where the sample shows that so few would
-leave too many false candidates); what stays close makes candidate clusters, whose original vectors are then compared in double
-precision, every one with every other. So no link is below the threshold.
+leave too many false candidates); what stays close makes candidate clusters. Where a cluster is dense, so that a quarter of its
+pairs or more are candidates, its original vectors are compared every one with every other; of all other clusters, such as
+those that chains of candidates make of vectors about a mean, the candidate pairs alone are. Both are compared in double
+precision, so no link is below the threshold.
 """
 
 from __future__ import annotations
@@ -57,6 +59,7 @@ class Tables:
     probes: int
     filter: int = FILTERS[0]
     distance: int = FILTERS[-1]
+    met: float = 0.0  # others that a row meets, each as often as it does, as far as the sample tells
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) @ self.rotation
@@ -89,13 +92,14 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
     """Tables from a bounded sample of unit vectors. Keys grow with the logarithm of the rows, so that cells stay small.
 
     Tables are added until, of pairs at the threshold made from vectors of the sample, `recall` meet, and nearly as many in
-    each quarter by distance from the mean (a dense group lies near it). Centring balances the codes; where it would take more
-    than twice as many tables, or more than `most`, vectors are coded as they are, where only the angle counts.
+    each quarter by distance from the mean (a dense group lies near it). Centring balances the codes, but takes more tables where
+    vectors lie about a mean, and isn't tried beyond `most`; uncentred, only the angle counts. What costs less is taken: a row's
+    entries, of which one is as dear as ten comparisons of codes, and the rows that it meets.
     """
     dims = sample.shape[1]
     rng = np.random.default_rng(seed)
     sample = sample[rng.permutation(len(sample))]
-    bits = int(np.clip(math.ceil(math.log2(max(2, n_rows))) - 3, min(4, dims), min(24, dims)))
+    bits = int(np.clip(math.ceil(math.log2(max(2, n_rows))) - 3, min(4, dims), min(40, dims)))
     x = sample[:2000]
     noise = rng.standard_normal(x.shape)
     noise -= (noise * x).sum(1)[:, None] * x
@@ -105,7 +109,7 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
     def filtered(tables: Tables, learned: np.ndarray, axes: np.ndarray) -> Tables:
         """With the fewest bits that leave a vector less than 0.2 false candidates, as far as the sample tells."""
         some = sample[:4000]
-        met_a, met_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        met_a, met_b, n_met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         projected = tables.project(some)
         for t in range(tables.n_tables):
             keys = tables.keys(projected, t)
@@ -113,10 +117,12 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
             flat, row = keys.ravel()[order], order // keys.shape[1]
             first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
             for i, j in _pairs_in_runs(first, np.diff(np.append(first, len(flat)))):
+                n_met += len(i)
                 false = np.einsum("ij,ij->i", some[row[i]], some[row[j]]) < threshold
                 met_a.append(row[i[false]])
                 met_b.append(row[j[false]])
         a, b = np.concatenate(met_a), np.concatenate(met_b)
+        tables.met = 2 * n_met / len(some) * n_rows / len(some)
         for tables.filter in FILTERS:
             while tables.rotation.shape[1] < tables.filter:  # the filter wants more bits than the tables
                 tables.rotation = np.hstack([tables.rotation, learn_rotation(learned, axes @ np.linalg.qr(rng.standard_normal((dims, dims)))[0])])
@@ -148,9 +154,8 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
             n_tables = tables.n_tables
         return None
 
-    plain = fitted(np.zeros(dims), 4096)
-    centred = fitted(sample.mean(0), min(most, 2 * plain.n_tables))
-    return centred or plain
+    found = [t for t in (fitted(sample.mean(0), most), fitted(np.zeros(dims), 4096)) if t]
+    return min(found, key=lambda t: t.met + 10 * t.n_tables * (t.probes + 1))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -194,29 +199,25 @@ def _pairs_in_runs(first: np.ndarray, size: np.ndarray, budget: int = 2_000_000)
 
 def candidate_links(entries: DataFrame, tables: dict[int, Tables], crowded: int = 4096, most: int = 3_000_000) -> DataFrame:
     """Links a, b between nodes that meet in a cell and whose codes are within the distance that their length's tables allow, from rows
-    (sub, dims, content), sorted by (sub, dims) in each partition. A cell of more than `crowded` entries is joined whole and not
-    held (once there are `most` in a sub); all vectors of a cluster are compared later, so nothing is lost."""
+    (sub, dims, content), sorted by (sub, dims) in each partition, so many that they connect what all such pairs do; `pairs` add
+    up to the number of those. A cell of more than `crowded` entries is joined whole and not held (once there are `most` in a
+    sub), and counts as one whose entries are all close, so nothing is lost. No entries: no links."""
 
     limits = {d: (t.filter, t.distance) for d, t in tables.items()}
 
-    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def links(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(pairs, pa.int64())], ["a", "b", "pairs"])
 
     def near(some: np.ndarray, dims: int) -> pa.RecordBatch:
-        some = some[np.argsort(some["cell"], kind="stable")]
-        first = np.flatnonzero(np.append(True, some["cell"][1:] != some["cell"][:-1]))
-        size = np.diff(np.append(first, len(some)))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        wide = size > 1
-        for i, j in _pairs_in_runs(first[wide], size[wide]):
-            close = apart(some["code"][i], some["code"][j]) <= limits[dims][1]
-            i, j = i[close], j[close]
-            if len(i):
-                used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-                root = used[least_labels(len(used), place[: len(i)], place[len(i) :])]
-                a.append(some["node"][used])
-                b.append(some["node"][root])
-        return links(np.concatenate(a), np.concatenate(b))
+        a, b, n = ([np.zeros(0, np.int64)] for _ in range(3))
+        some, close_ones = _close(some, limits[dims][1])
+        for i, j in close_ones:
+            used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            root = used[least_labels(len(used), place[: len(i)], place[len(i) :])]
+            a.append(some["node"][used])
+            b.append(some["node"][root])
+            n.append(np.bincount(place[len(i) :], minlength=len(used)))  # the later one of a pair is never a root
+        return links(np.concatenate(a), np.concatenate(b), np.concatenate(n))
 
     def thinned(held: list[np.ndarray], heads: dict[int, int], out: list[pa.RecordBatch]) -> np.ndarray:
         """What is left to compare once crowded cells are stars about their first node, and are from now on."""
@@ -229,7 +230,7 @@ def candidate_links(entries: DataFrame, tables: dict[int, Tables], crowded: int
         names, nodes = np.array(sorted(heads), np.uint32), np.array([heads[c] for c in sorted(heads)], np.int64)
         at = np.minimum(np.searchsorted(names, some["cell"]), len(names) - 1)
         mine = names[at] == some["cell"]
-        out.append(links(some["node"][mine], nodes[at[mine]]))
+        out.append(links(some["node"][mine], nodes[at[mine]], np.full(int(mine.sum()), crowded // 2)))
         return some[~mine]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +258,70 @@ def candidate_links(entries: DataFrame, tables: dict[int, Tables], crowded: int
                     out.clear()
         yield from close()
 
-    found = entries.mapInArrow(arrow_task(join), "a bigint, b bigint")
+    found = entries.mapInArrow(arrow_task(join), "a bigint, b bigint, pairs bigint")
     return found.filter("a != b")
 
 
+def _close(some: np.ndarray, distance: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Entries in the order of their cells, and the places i < j of those of one cell whose codes are within the distance."""
+    some = some[np.argsort(some["cell"], kind="stable")]
+    first = np.flatnonzero(np.append(True, some["cell"][1:] != some["cell"][:-1]))
+    size = np.diff(np.append(first, len(some)))
+    wide = size > 1
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in _pairs_in_runs(first[wide], size[wide]):
+            close = apart(some["code"][i], some["code"][j]) <= distance
+            if close.any():
+                yield i[close], j[close]
+
+    return some, pairs()
+
+
+def candidate_pairs(entries: DataFrame, tables: dict[int, Tables]) -> DataFrame:
+    """Every pair a < b of nodes that meet in a cell with codes within the distance, once, from rows (sub, dims, content), sorted by
+    (sub, dims) in each partition. A sub's entries are held together, its pairs given as they are found. No entries: no rows."""
+    limits = {d: (t.filter, t.distance) for d, t in tables.items()}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def given() -> Iterator[pa.RecordBatch]:
+            some, close_ones = _close(np.concatenate(held), limits[key[1]][1]) if held else (None, [])
+            for i, j in close_ones:
+                x, y = some["node"][i], some["node"][j]
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for batch in batches:
+            for sub, dims, content in zip(batch.column("sub").to_pylist(), batch.column("dims").to_pylist(), batch.column("content")):
+                if (sub, dims) != key:
+                    yield from given()
+                    key, held = (sub, dims), []
+                held.append(np.frombuffer(content.as_py(), entry_type(limits[dims][0])))
+        yield from given()
+
+    return entries.mapInArrow(arrow_task(meet), "a bigint, b bigint").filter("a != b").distinct()
+
+
+def exact_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """node, links and root, as of exact_links, for pairs (a, b) of classes (node, copies, v) of one length; each vector is sent to
+    its pairs, and nothing else is compared."""
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("copies").alias(f"copies_{n}"), F.col("v").alias(f"v_{n}"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray(batch.column("v_a").value_lengths())
+            for n in np.unique(lengths).tolist():
+                rows = batch.filter(pa.array(lengths == n))
+                linked = rows.filter(pa.array(np.einsum("ij,ij->i", _vectors(rows.column("v_a")), _vectors(rows.column("v_b"))) >= threshold))
+                a, b, copies_a, copies_b = (linked.column(c) for c in ("a", "b", "copies_a", "copies_b"))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]), pa.concat_arrays([copies_b, copies_a]), pa.concat_arrays([b, a])], ["node", "links", "root"])
+
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    return rows.mapInArrow(arrow_task(compare), "node bigint, links bigint, root bigint")
+
+
 def exact_links(tiles: DataFrame, threshold: float) -> DataFrame:
     """node, links (copies of linked classes) and root (a linked node that stands for all it reaches in the tile) from rows
     (cluster, tile, mine, half, node, copies, v), sorted by (cluster, tile, mine) in each partition. Of a tile of two blocks
@@ -328,7 +389,7 @@ def exact_links(tiles: DataFrame, threshold: float) -> DataFrame:
     return tiles.mapInArrow(arrow_task(join), "node bigint, links bigint, root bigint")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: int = 20_000, few: int = 64, block_bytes: int = 8 << 20, crowded: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: int = 20_000, few: int = 64, block_bytes: int = 8 << 20, crowded: int = 4096, report: dict | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding); other columns aren't read.
 
     Null, empty and zero vectors, those that hold a null or a non-finite component, and rows without a vec_id link with nothing.
@@ -336,8 +397,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: in
     counts rows; rows of one vec_id are rows of their own and share a component. An empty table gives an empty result.
 
     A length that up to `few` classes have is compared whole. For each other one tables are fitted on at most about
-    max_fit_rows rows and hold all rows. A cluster of vectors of more than block_bytes is cut into blocks, and all pairs of
-    blocks are compared, each in a task of its own.
+    max_fit_rows rows and hold all rows. A dense cluster of vectors of more than block_bytes is cut into blocks, and all pairs
+    of blocks are compared, each in a task of its own; of a cluster that isn't dense the candidate pairs are. report, if given,
+    gets how many pairs of vectors are compared either way, and the tables of each length.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -390,12 +452,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: in
                         size = 0
         yield from flush()
 
-    indexed = classes.filter(F.col("dims").isin(list(tables))).select("node", "dims", "v").mapInArrow(arrow_task(stored), "sub bigint, dims int, content binary")
-    dealt = indexed.repartition(partitions(spark), "sub", "dims").sortWithinPartitions("sub", "dims")
-    candidates = saved(candidate_links(dealt, tables, crowded), "candidates")
+    def dealt(rows: DataFrame) -> DataFrame:
+        indexed = rows.filter(F.col("dims").isin(list(tables))).select("node", "dims", "v").mapInArrow(arrow_task(stored), "sub bigint, dims int, content binary")
+        return indexed.repartition(partitions(spark), "sub", "dims").sortWithinPartitions("sub", "dims")
+
+    candidates = saved(candidate_links(dealt(classes), tables, crowded), "candidates")
     release(spark)
-    clusters = saved(components(candidates), "clusters").select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    n_clustered = clusters.count()
+    grown = saved(components(candidates), "clusters").select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    n_clustered = grown.count()
+    # a cluster is dense if a quarter of its pairs are candidates, each counted as often as it meets
+    close = candidates.groupBy(F.col("a").alias("node")).agg(F.sum("pairs").alias("pairs"))
+    density = grown.join(close, "node", "left").groupBy("cluster").agg(F.count("*").alias("members"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    density = saved(density.withColumn("dense", 8 * F.col("pairs") >= F.col("members") * (F.col("members") - 1)), "density")
+    sparse = density.filter("not dense").select("cluster")
+    n_sparse = sparse.count()
+    clusters = grown if not n_sparse else saved(grown.join(small(sparse, 8 * n_sparse), "cluster", "left_anti").select("node", "cluster"), "dense")
     # a length that few classes have is one cluster, numbered below the nodes
     small_lengths = classes.filter(F.col("dims").isin(whole)).withColumn("cluster", -F.col("dims").cast("bigint"))
     columns = ["cluster", "node", "copies", "dims", "v"]
@@ -409,7 +480,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, max_fit_rows: in
     tiled = tiled.select("cluster", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> cast(least(mine, j) as bigint) * blocks + greatest(mine, j))")).alias("tile"), "mine", "blocks", "node", "copies", "v")
     tiled = tiled.withColumn("half", F.col("tile") % (F.col("blocks") + 1) != 0)  # tiles on the diagonal are whole
     tiled = tiled.repartition(partitions(spark), "cluster", "tile").sortWithinPartitions("cluster", "tile", "mine", "node")
-    links = saved(exact_links(tiled.select("cluster", "tile", "mine", "half", "node", "copies", "v"), threshold), "links")
+    linked = exact_links(tiled.select("cluster", "tile", "mine", "half", "node", "copies", "v"), threshold)
+    if n_sparse:
+        chained = saved(classes.join(grown.join(small(sparse, 8 * n_sparse), "cluster", "left_semi").select("node"), "node", "left_semi").select("node", "copies", "dims", "v"), "chained")
+        pairs = saved(candidate_pairs(dealt(chained), tables), "pairs")
+        linked = linked.unionByName(exact_pairs(pairs, chained, threshold))
+    links = saved(linked, "links")
+    if report is not None:
+        in_dense = density.filter("dense").agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).first()[0]
+        report |= {"dense": int(in_dense or 0), "sparse": pairs.count() if n_sparse else 0, "tables": tables}
     release(spark)
     # classes that share a vec_id share a component, whatever their vectors
     named = rows.filter("h1 is not null").join(classes.select("h1", "h2", "node"), ["h1", "h2"])

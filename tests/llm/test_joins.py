@@ -196,3 +196,45 @@ def test_embedding_recall(spark, kind):
 def test_embedding_query(spark):
     rows = op10_embedding_dedup(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
+def judged(spark, x, **options):
+    """links found, links there are, and vector pairs compared for each of them."""
+    report = {}
+    got = {r["vec_id"]: r for r in near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"), report=report, **options).collect()}
+    u = unit(np.asarray(x, np.float32).astype(float))
+    close = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    assert all(got[i]["n_links"] <= close[i].sum() for i in got)
+    return sum(r["n_links"] for r in got.values()), int(close.sum()), 2 * (report["dense"] + report["sparse"]) / close.sum(), report, got
+
+
+@pytest.mark.parametrize("cosine", [0.59, 0.78])
+def test_vectors_about_a_mean_make_no_large_clusters(spark, cosine):
+    rng = np.random.default_rng(3)
+    mean = unit(rng.standard_normal((1, 64)))
+    base = beside(np.repeat(mean, 250, 0), cosine**0.5, rng)
+    found, there, cost, report, _ = judged(spark, beside(np.repeat(base, 12, 0), 0.96, rng))
+    assert found >= 0.9 * there and cost <= 20
+    assert report["tables"][64].mean.any()  # centred
+
+
+def test_chained_vectors_are_compared_by_pairs(spark):
+    """A curve: every vector is near some before and after it, so all candidates hang together, with a dense group at one place."""
+    t = np.arange(3000)[:, None] * 0.02
+    speed = np.array([1.0, 1.7, 2.3, 3.1, 4.3, 5.9, 7.1, 8.3])
+    x = np.concatenate([np.hstack([np.cos(t * speed), np.sin(t * speed)]), np.repeat(np.hstack([np.cos(t[:1] * speed), np.sin(t[:1] * speed)]), 60, 0) + 0.01 * np.random.default_rng(1).standard_normal((60, 16))])
+    found, there, cost, report, got = judged(spark, x)
+    assert report["sparse"] > 0 and found >= 0.9 * there and cost <= 20
+    again, _, _, whole, _ = judged(spark, x, crowded=2)
+    assert again >= 0.9 * there
+
+
+def test_pairs_are_given_once(spark):
+    from corpusforge.llm.embedding_dedup import Tables, candidate_pairs, entry_type
+
+    rows = np.zeros(6, entry_type(96))
+    rows["cell"], rows["node"] = [1, 1, 1, 2, 2, 3], [5, 7, 5, 7, 5, 9]
+    tables = {4: Tables(np.zeros(4), np.eye(4), 4, 1, 0, 96, 0)}
+    frame = spark.createDataFrame([(0, 4, bytearray(rows.tobytes())), (1, 4, bytearray(rows[:2].tobytes()))], "sub bigint, dims int, content binary")
+    assert [tuple(r) for r in candidate_pairs(frame, tables).collect()] == [(5, 7)]
+    assert candidate_pairs(frame.limit(0), tables).count() == 0
