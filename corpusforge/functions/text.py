@@ -111,10 +111,15 @@ def atom_id(owner: str | Column, path: str | Column, text: str | Column) -> Colu
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
+RARER_END = r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row for each line, numbered from 1; an empty last line doesn't count. Other columns are kept."""
     others = [c for c in df.columns if c != text]
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), LINE_END)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # most texts have no other ends than LF, at which they are split without a pattern
+    parts = F.when(whole.rlike(RARER_END), F.split(whole, LINE_END)).otherwise(F.split(whole, "\n"))
     rows = df.select(*others, F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts).alias("__lines"))
     return rows.select(*others, F.posexplode("__lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 

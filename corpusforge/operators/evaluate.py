@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import routing_tokens, tokenize
-from corpusforge.operators.leakage import leaks
+from corpusforge.operators.leakage import leaks, running_total
 
 NAME_LIMIT, API_LIMIT, LISTING_LIMIT = 64, 1024, 1536
+ROUTER = "orchestrator"
 # Fixed values
 RESERVED_NAME_WORDS = ["claude", "anthropic"]
 FRONTMATTER_KEYS = ["name", "description", "license", "compatibility", "allowed-tools", "disallowed-tools", "disable-model-invocation", "metadata"]
@@ -68,8 +69,11 @@ def split_queries(queries: DataFrame, held_out_fraction: float = 0.4) -> DataFra
     """queries (query_id, origin) with held_out: every second host query by id, from the first; source queries always train."""
     stride = max(2, round(1 / held_out_fraction)) if held_out_fraction > 0 else 0
     host = queries.filter("origin = 'host'").select("query_id").distinct()
-    place = F.row_number().over(Window.orderBy("query_id")) - 1  # queries of one evaluation: a short list
-    held = host.withColumn("held_out", (place % stride == 0) if stride else F.lit(False))
+    if not stride:
+        held = host.withColumn("held_out", F.lit(False))
+    else:
+        ranges = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        held = running_total(host.withColumn("__one", F.lit(1)), ["query_id"], "__one", "__place", ranges).select("query_id", (F.col("__place") % stride == 0).alias("held_out"))
     return queries.join(held, "query_id", "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
@@ -99,27 +103,50 @@ def accept_edit(before: dict, after: dict, issues_before: DataFrame, issues_afte
     return {"accepted": not reasons, "reasons": reasons}
 
 
-def edit_description(surfaces: DataFrame, name: str, description: str, queries: DataFrame, baseline: DataFrame, candidate: DataFrame, n_problems: int = 0, n_leaks: int = 0) -> tuple[DataFrame, dict]:
-    """surfaces (name, description) with the new description if the edit is taken, else as they were, and the decision.
+def changed_outputs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """name of outputs (name, body) that only one version has, or whose bodies differ between the two."""
+    sides = before.select("name", F.struct("body").alias("old")).join(after.select("name", F.struct("body").alias("new")), "name", "full")
+    return sides.filter(~F.col("old").eqNullSafe(F.col("new"))).select("name")
 
+
+def _corpus_of(outputs: DataFrame) -> DataFrame:
+    """Bodies and descriptions of outputs (a few) as one ordered corpus, the router's at the end."""
+    place = F.row_number().over(Window.orderBy(F.col("name") == ROUTER, "name"))
+    parts = outputs.select(place.alias("n"), F.posexplode(F.array("body", "description")).alias("k", "text"))
+    return parts.select((F.col("n") * 2 + F.col("k")).alias("doc"), "text")
+
+
+def edit_description(surfaces: DataFrame, target: str, description: str, queries: DataFrame, baseline: DataFrame, candidate: DataFrame, n_problems: int = 0, router: DataFrame | None = None, edited: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """surfaces (name, description, and body, if at hand) with the new description of target if the edit is taken, else as they
+    were, and the decision.
+
+    target is an output's name, or "orchestrator" for the router (name, description, body), which comes back with the outputs if
+    given; queries are routed to the outputs alone. edited is the version to judge, if another step made it, else the edit itself.
     queries: query_id, text, kind, expected_skill, origin. baseline and candidate: reported routings (query_id, routed_skill,
-    position) before and after. Held-out rates must not fall, neither by the reports nor by routing the queries to the
-    descriptions themselves; an unknown name is refused.
+    position) before and after. Bodies must be what they were, no held-out query may stand in the corpus of bodies and
+    descriptions, only quality issues that are new count, and held-out rates must not fall, neither by the reports nor by routing
+    the queries to the descriptions themselves; an unknown target is refused.
     """
-    if surfaces.filter(F.col("name") == name).isEmpty():
-        return surfaces, {"accepted": False, "reasons": [f"no output is named {name}"]}
-    edited = surfaces.withColumn("description", F.when(F.col("name") == name, F.lit(description)).otherwise(F.col("description")))
+    whole = surfaces if "body" in surfaces.columns else surfaces.withColumn("body", F.lit(""))
+    before_all = whole.select("name", "description", "body")
+    if router is not None:
+        before_all = before_all.unionByName(router.select(F.lit(ROUTER).alias("name"), "description", "body"))
+    if before_all.filter(F.col("name") == target).isEmpty():
+        return surfaces, {"accepted": False, "reasons": [f"no output is named {target}"]}
+    after_all = before_all.withColumn("description", F.when(F.col("name") == target, F.lit(description)).otherwise(F.col("description"))) if edited is None else edited.select("name", "description", "body")
     split = split_queries(queries)
 
     def rate(judgments: DataFrame) -> float:
         return trigger_score(judged(split, judgments)).first()["held_out_pass_rate"]
 
-    own = lambda s: route(queries, s).withColumn("position", F.lit(0))
-    before = {"reported": rate(baseline), "independent": rate(own(surfaces))}
-    after = {"reported": rate(candidate), "independent": rate(own(edited))}
-    issue = lambda s: quality(s.select("name", "description", F.lit("").alias("body"), F.array().cast("array<string>").alias("keys"))).select(F.col("name").alias("skill"), F.explode("issues").alias("issue"))
-    decision = accept_edit(before, after, issue(surfaces), issue(edited), True, n_problems, n_leaks)
-    return (edited if decision["accepted"] else surfaces), decision | {"before": before["reported"], "after": after["reported"], "before_independent": before["independent"], "after_independent": after["independent"]}
+    own = lambda s: route(queries, s.filter(F.col("name") != ROUTER)).withColumn("position", F.lit(0))
+    before = {"reported": rate(baseline), "independent": rate(own(before_all))}
+    after = {"reported": rate(candidate), "independent": rate(own(after_all))}
+    issue = lambda s: quality(s.select("name", "description", "body", F.array().cast("array<string>").alias("keys"))).select(F.col("name").alias("skill"), F.explode("issues").alias("issue"))
+    n_leaks = leaks(split.filter("held_out").select(F.col("query_id").alias("item_id"), "text"), _corpus_of(after_all)).count()
+    decision = accept_edit(before, after, issue(before_all), issue(after_all), changed_outputs(before_all, after_all).isEmpty(), n_problems, n_leaks)
+    taken = after_all if router is not None or edited is not None else after_all.select(*surfaces.columns)
+    return (taken if decision["accepted"] else surfaces), decision | {"before": before["reported"], "after": after["reported"], "before_independent": before["independent"], "after_independent": after["independent"]}
 
 
 def evaluation_passed(reports: DataFrame, n_problems: int, n_leaks: int) -> bool:
@@ -151,4 +178,4 @@ def cases_to_queries(cases: DataFrame) -> DataFrame:
     return cases.filter(F.trim(F.coalesce("prompt", F.lit(""))) != "").select(F.format_string("src-%s-%d", "skill", "position").alias("query_id"), F.col("prompt").alias("text"), F.lit("trigger").alias("kind"), F.col("skill").alias("expected_skill"), F.lit("source").alias("origin"))
 
 
-__all__ = ["accept_edit", "cases_to_queries", "disagreements", "edit_description", "evaluation_passed", "history", "judged", "leaks", "quality", "route", "split_queries", "tokenize", "trigger_score"]
+__all__ = ["accept_edit", "changed_outputs", "cases_to_queries", "disagreements", "edit_description", "evaluation_passed", "history", "judged", "leaks", "quality", "route", "split_queries", "tokenize", "trigger_score"]

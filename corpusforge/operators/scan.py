@@ -70,8 +70,8 @@ HINTS = {
 }
 
 
-def rule_hits(lines: DataFrame) -> DataFrame:
-    """lines with rule_id: one row for each rule that a line meets. A line is read once, by one array of conditions; a rule's
+def rule_hits(lines: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """lines with rule_id, and the columns named in also: one row for each rule that a line meets. A line is read once, by one array of conditions; a rule's
     pattern is tried only where one of its hints stands."""
     # letters that patterns without regard to case take for ASCII ones, and lower-casing doesn't make so
     low = lines.withColumn("__low", F.lower(F.translate("line", "\u017f\u0131\u0130\u212a", "siik")))
@@ -79,7 +79,7 @@ def rule_hits(lines: DataFrame) -> DataFrame:
     tried = F.array_compact(F.array(*[F.when(F.col("kind").isin(list(r.kinds)) & hint(r) & F.col("line").rlike(_java(r.pattern, r.any_case)), F.lit(i)) for i, r in enumerate(R.LINE_RULES)]))
     named = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")) for r in R.LINE_RULES])
     hit = low.withColumn("hit", F.explode(tried))
-    return hit.withColumn("rule", F.element_at(named, F.col("hit") + 1)).select(*FILE, "kind", "line_no", "rule.*")
+    return hit.withColumn("rule", F.element_at(named, F.col("hit") + 1)).select(*FILE, *also, "kind", "line_no", "rule.*")
 
 
 def line_findings(lines: DataFrame, most: int = R.MAX_FINDINGS) -> DataFrame:
@@ -160,9 +160,7 @@ def encoded_payloads(lines: DataFrame) -> DataFrame:
     decoded = first.withColumn("text", F.make_valid_utf8(F.substring(raw, 1, R.MAX_DECODED).cast("string")))
     decoded = decoded.filter(F.col("text").isNotNull() & _printable("text"))
     inner = explode_lines(decoded.select("bundle_id", "path", "kind", F.struct("line_no", "n").alias("at"), "text"))
-    inner_hits = inner.select("bundle_id", "path", "kind", "at", "line_no", "line")
-    tried = F.array_compact(F.array(*[F.when(F.col("kind").isin(list(r.kinds)) & F.col("line").rlike(_java(r.pattern, r.any_case)), F.lit(r.id)) for r in R.LINE_RULES]))
-    met = inner_hits.select(*FILE, "at", F.explode(tried).alias("rule")).groupBy(*FILE, "at").agg(F.array_join(F.sort_array(F.collect_set("rule")), ", ").alias("rules"))
+    met = rule_hits(inner, ("at",)).groupBy(*FILE, "at").agg(F.array_join(F.sort_array(F.collect_set("rule_id")), ", ").alias("rules"))
     return met.select(*_finding("core:encoded-payload", "prompt-injection", "critical", F.concat(F.col("path"), F.lit(":"), F.col("at.line_no").cast("string")), F.concat(F.lit("base64 hides what meets: "), "rules")))
 
 

@@ -328,3 +328,14 @@ def detected_kinds(spark, sf_dir):
     n = F.col("doc_id")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.when(n % 6 == 0, "heading").when(n % 6 == 1, "fence").otherwise("paragraph").alias("block"), F.concat(_of(["Always ", "never ", "- Make sure that ", "  When ", "use this skill to ", "§ "], n), F.coalesce("text", F.lit(""))).alias("text"))
     return docs.select("doc_id", merge.detected_kind("block", "text").alias("kind"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'cat' || doc_id ELSE 'own' END AS name, CASE WHEN doc_id % 4 = 0 THEN 'repo/' || source END AS repo, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 8 = 0 THEN 'MIT' END ELSE 'local' END AS spdx_id FROM documents")
+def catalog_identity(spark, sf_dir):
+    """Every fourth document's bundle is in a catalog, each hash twice; others have an empty hash there."""
+    n = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").withColumn("bundle_hash", F.sha2(F.concat(n.cast("string"), F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    entries = docs.select("doc_id", F.when(n % 4 == 0, F.col("bundle_hash")).otherwise("").alias("bundle_hash"), F.concat(F.lit("cat"), n).alias("name"), F.concat(F.lit("repo/"), "source").alias("repo"), F.lit(None).cast("string").alias("url"), F.when(n % 8 == 0, "MIT").alias("spdx_id"), (n * 2 + 1).alias("position"))
+    older = entries.withColumns({"name": F.lit("older"), "position": n * 2})
+    bundles = docs.select("doc_id", "bundle_hash", F.lit("own").alias("name"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("url"), F.lit("local").alias("spdx_id"))
+    return catalog.carry_identity(bundles, older.unionByName(entries).drop("doc_id")).select("doc_id", "name", "repo", "spdx_id")

@@ -6,7 +6,6 @@ import base64
 import hashlib
 import json
 import re
-import shutil
 import tempfile
 from pathlib import Path
 
@@ -119,11 +118,27 @@ def fetch_bundle(entry: dict, fetch, cache: str) -> str:
                 raise FetchError(f"{entry['id']}: {path} has another hash")
             (target := Path(beside) / "whole" / path).parent.mkdir(parents=True, exist_ok=True)
             target.write_bytes(data)
-        shutil.rmtree(place, ignore_errors=True)
-        (Path(beside) / "whole").rename(place)
+        old = Path(beside) / "old"
+        if place.exists():  # it goes aside first, and comes back if the new one can't take its place
+            place.rename(old)
+        try:
+            (Path(beside) / "whole").rename(place)
+        except OSError:
+            if old.exists():
+                old.rename(place)
+            raise
     return str(place)
 
 
+def carry_identity(bundles: DataFrame, entries: DataFrame) -> DataFrame:
+    """bundles (bundle_hash, name, repo, url, spdx_id) with what the catalog's entries say of the bundle with their hash; entries
+    without a hash say nothing, and of several with one hash the last does."""
+    known = entries.filter("bundle_hash != ''").groupBy("bundle_hash").agg(F.max_by(F.struct("name", "repo", "url", "spdx_id"), "position").alias("known"))
+    joined = bundles.join(known, "bundle_hash", "left")
+    told = F.col("known").isNotNull()
+    return joined.withColumns({c: F.when(told, F.col(f"known.{c}")).otherwise(F.col(c)) for c in ("name", "repo", "url", "spdx_id")}).drop("known")
+
+
 def owners(tree: DataFrame) -> DataFrame:
     """repo, path and owner of each file below a folder that has a SKILL.md: the deepest such folder.
 

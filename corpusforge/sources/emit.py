@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions.text import slug
 from corpusforge.operators.evaluate import API_LIMIT, LISTING_LIMIT
 from corpusforge.operators.merge import contributors, drop_summary
+from corpusforge.sources.frontmatter import CARRIED
 from corpusforge.sources.tree_sink import write_files
 
 REFERENCE_FILE = r"((?:references|scripts|assets)/[\w./-]+)"
@@ -23,6 +24,9 @@ RESERVED_MARKETPLACES = [
 ]
 
 
+SHARING_NOTE = "What is uploaded can be used by everyone in the workspace."
+
+
 class EmitError(ValueError):
     """Outputs that can't be written as they are."""
 
@@ -90,16 +94,54 @@ def api_payload(docs: DataFrame) -> DataFrame:
     return render(docs).join(docs.select("name", "description"), "name").select(F.to_json(F.struct(slug("name").alias("name"), F.col("name").alias("display_name"), "description", F.col("text").alias("content"))).alias("payload"))
 
 
-def provenance(sources: DataFrame, layout: DataFrame, dropped: DataFrame, generated_at: str) -> str:
-    """A report of sources (name, spdx_id, url), what each output is made of (cluster, atom_id), and drops by reason."""
+def carried_lines(outputs: DataFrame) -> DataFrame:
+    """name and line: the fields that each output (name, fields: a map) carries, in their fixed order, of metadata the keys alone."""
+    value = lambda f: F.element_at("fields", F.lit(f))
+    named = [F.when(F.trim(value(f)) != "", F.concat(F.lit(f"{f}: "), F.trim(value(f)))) for f in CARRIED if f != "metadata"]
+    keys = F.array_join(F.array_sort(F.json_object_keys(value("metadata"))), ", ")
+    line = F.array_join(F.array_compact(F.array(*named, F.when(keys != "", F.concat(F.lit("metadata: "), keys)))), "; ")
+    return outputs.select("name", line.alias("line")).filter("line != ''")
+
+
+def provenance(sources: DataFrame, layout: DataFrame, dropped: DataFrame, generated_at: str, outputs: DataFrame | None = None, findings: DataFrame | None = None, counts: dict[str, int] | None = None, warnings: list[str] = ()) -> str:
+    """A report of sources (name, spdx_id, url), what each output is made of (cluster, atom_id), the frontmatter that outputs
+    (name, fields) carry with what is to be reviewed of it (findings: severity, message), counts of what changed by name, drops by
+    reason, and warnings. One short text: its rows are sums by source, output and reason."""
     lines = ["# Provenance", "", f"Generated {generated_at}.", "", "## Sources", ""]
     lines += [f"- **{r['name']}** ({r['spdx_id'] or 'license unknown'}), {r['url'] or 'local'}" for r in sources.orderBy("name").collect()]
     lines += ["", "## Composition", ""] + [f"- **{r['cluster']}**: atoms from {r['contributors']}" for r in contributors(layout).orderBy("cluster").collect()]
+    carried = [f"- **{r['name']}**: {r['line']}" for r in carried_lines(outputs).orderBy("name").collect()] if outputs is not None else []
+    carried += [f"- review: {r['message']}" for r in findings.filter("severity is not null").select("message").distinct().orderBy("message").collect()] if findings is not None else []
+    if carried:
+        lines += ["", "## Frontmatter carried", "", *carried]
+    if counts:
+        lines += ["", "## Changed", ""] + [f"- {k}: {v}" for k, v in counts.items()]
     reasons = drop_summary(dropped).orderBy("reason").collect()
     lines += ["", "## Dropped", "", ", ".join(f"{r['n']} {r['reason']}" for r in reasons) or "none"]
+    if warnings:
+        lines += ["", "## Warnings", "", *(f"- {w}" for w in warnings)]
     return "\n".join(lines) + "\n"
 
 
+def api_envelope(docs: DataFrame, report: str, findings: DataFrame, bundles: DataFrame | None = None) -> dict:
+    """What goes to the API for a few outputs: their payloads, the report with a note on sharing, whether the user must confirm (a
+    finding of medium severity or more), and warnings."""
+    confirm = not findings.filter("severity in ('medium', 'high', 'critical')").isEmpty()
+    warnings = [SHARING_NOTE] + (["the frontmatter that was carried is to be reviewed; confirm before it is shared"] if confirm else [])
+    warnings += [f"{r['name']}: {r['warning']}" for r in surface_warnings(docs).orderBy("name", "warning").collect()]
+    if bundles is not None:
+        warnings += [f"{r['name']}: {r['path']} isn't in the payload" for r in carried_support(docs, bundles).select("name", "path").orderBy("name", "path").collect()]
+    skills = [json.loads(r["payload"]) for r in api_payload(docs).orderBy("payload").collect()]
+    return {"surface": "api", "skills": skills, "provenance_md": f"{report}\n## Sharing\n\n{SHARING_NOTE}\n", "requires_confirmation": confirm, "warnings": warnings}
+
+
+def set_name(outputs: DataFrame, router: DataFrame | None = None) -> str:
+    """The router's name, else the first output's, else a name for all."""
+    first = lambda df: df.filter("name is not null and name != ''").orderBy("name").select("name").first()
+    found = (first(router) if router is not None else None) or first(outputs)
+    return found["name"] if found else "composed-set"
+
+
 def _rows(docs: DataFrame) -> list[tuple[str, str]]:
     """Rendered outputs: at most a few, by the limit on clusters."""
     _checked(docs)
@@ -134,12 +176,15 @@ def default_plugin_name(outputs: DataFrame) -> str:
     return "-".join(r["name"] for r in outputs.select("name").orderBy("name").collect()) or "skill"
 
 
-def zip_bytes(docs: DataFrame, report: str) -> bytes:
-    """Equal outputs give equal bytes: fixed times, sorted names."""
+def zip_bytes(docs: DataFrame, report: str, bundles: DataFrame | None = None) -> bytes:
+    """An archive of at most a few outputs, their support files and the report. Equal outputs give equal bytes: fixed times,
+    sorted names."""
+    _checked(docs)
+    files = {f"skills/{r['path']}": bytes(r["content"]) for r in tree_files(docs, bundles).collect()} | {"PROVENANCE.md": report.encode()}
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
-        for path, text in sorted({**{f"skills/{n}/SKILL.md": t for n, t in _rows(docs)}, "PROVENANCE.md": report}.items()):
-            archive.writestr(zipfile.ZipInfo(path), text, zipfile.ZIP_DEFLATED)
+        for path, data in sorted(files.items()):
+            archive.writestr(zipfile.ZipInfo(path), data, zipfile.ZIP_DEFLATED)
     return held.getvalue()
 
 

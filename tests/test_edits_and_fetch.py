@@ -63,3 +63,38 @@ def test_edits_are_gated(spark):
     out, decision = edit_description(surfaces, "alpha", "nothing of the kind", queries, right, right)
     assert not decision["accepted"] and decision["after_independent"] < decision["before_independent"]
     assert not edit_description(surfaces, "gamma", "x", queries, right, right)[1]["accepted"]
+
+
+def test_edits_of_the_router_and_of_bodies(spark):
+    outputs = spark.createDataFrame([("alpha", "format tables of numbers", "Use tables."), ("beta", "review pull requests", "Review all.")], "name string, description string, body string")
+    router = spark.createDataFrame([("Routes requests", "# Orchestrator\n")], "description string, body string")
+    queries = spark.createDataFrame([(f"q{i}", t, "trigger", s, "host") for i, (t, s) in enumerate([("format these tables", "alpha"), ("review my pull", "beta")])], "query_id string, text string, kind string, expected_skill string, origin string")
+    right = queries.selectExpr("query_id", "expected_skill AS routed_skill", "0 AS position")
+    out, decision = edit_description(outputs, "orchestrator", "Routes all requests", queries, right, right, router=router)
+    assert decision["accepted"] and {r["name"]: r["description"] for r in out.collect()}["orchestrator"] == "Routes all requests"
+    assert not edit_description(outputs, "orchestrator", "x", queries, right, right)[1]["accepted"]
+    assert edit_description(outputs, "orchestrator", " ", queries, right, right, router=router)[1]["reasons"] == ["new quality issues"]
+    assert edit_description(outputs, "beta", "review pull requests; format these tables", queries, right, right)[1]["reasons"][:1] == ["leaks"]
+    across = edit_description(outputs, "alpha", "format", queries, right, right, edited=outputs.selectExpr("name", "description", "replace(body, 'all', 'most') AS body"))[1]
+    assert across["reasons"] == ["bodies differ"]
+
+
+def test_a_bundle_stays_when_the_new_one_cannot_take_its_place(tmp_path, monkeypatch):
+    files = {"SKILL.md": b"one"}
+    place = fetch_bundle(entry(files), lambda a: b"one", str(tmp_path))
+    (tmp_path / "bundles" / entry(files)["bundle_hash"] / "extra").write_bytes(b"x")
+    import pathlib
+
+    rename = pathlib.Path.rename
+    monkeypatch.setattr(pathlib.Path, "rename", lambda self, to: (_ for _ in ()).throw(OSError("busy")) if self.name == "whole" else rename(self, to))
+    with pytest.raises(OSError):
+        fetch_bundle(entry(files), lambda a: b"one", str(tmp_path))
+    assert (pathlib.Path(place) / "SKILL.md").read_bytes() == b"one"
+
+
+def test_tables_are_cleared(spark, tmp_path):
+    from corpusforge.sources import tables
+
+    table = tables.saved(spark.range(3).toDF("n"), "x")
+    path = table.inputFiles()[0].removeprefix("file:")
+    assert spark.sparkContext.applicationId in path

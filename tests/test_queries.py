@@ -32,8 +32,12 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_hidden_payload_is_found(spark):
-    found = QUERIES["b64_decode"](spark, SMALL).filter("bundle_id = 'x'").collect()
-    assert len(found) == 1 and "core:instruction-override" in found[0]["message"]
+    found = {r["bundle_id"]: r["message"] for r in QUERIES["b64_decode"](spark, SMALL).collect()}
+    docs = [r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()]
+    from corpusforge.plans.queries import PLANTED
+
+    hidden = {str(d) for d in docs if d % len(PLANTED) == 0}
+    assert hidden and all("core:instruction-override" in found[d] for d in hidden)
 
 
 def test_every_document_has_a_verdict_and_a_cluster(spark):

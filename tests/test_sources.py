@@ -141,3 +141,27 @@ def test_edits_and_quality(spark):
     rows = {r.name: r for r in evaluate.quality(docs).collect()}
     assert len(rows["x" * 70].issues) == 3 and not rows["x" * 70].passed and rows["x" * 70].warnings == [] and rows["ok"].warnings == ["html-like tag"] and rows["ok"].passed
     assert evaluate.evaluation_passed(evaluate.quality(docs).filter("name = 'ok'"), 0, 0)
+
+
+def test_reports_and_envelopes(spark):
+    docs = spark.createDataFrame([("a", "does a", None, None, "Read", None, False, None, "see scripts/x.sh")], DOC)
+    outputs = spark.createDataFrame([("a", {"allowed-tools": "Read", "metadata": '{"k":"1","b":"2"}', "disable-model-invocation": "true"}), ("b", {})], "name string, fields map<string,string>")
+    findings = spark.createDataFrame([("a", "medium", "narrowed"), ("a", None, "a note")], "cluster string, severity string, message string")
+    sources = spark.createDataFrame([("s", "MIT", None)], "name string, spdx_id string, url string")
+    layout = spark.createDataFrame([("a", "s:p0:1")], "cluster string, atom_id string")
+    dropped = spark.createDataFrame([("x", "out-of-scope")], "id string, reason string")
+    report = emit.provenance(sources, layout, dropped, "t", outputs, findings, {"Deduplicated": 2}, ["careful"])
+    for line in ("- **a**: allowed-tools: Read; disable-model-invocation: true; metadata: b, k", "- review: narrowed", "- Deduplicated: 2", "1 out-of-scope", "- careful", "- **s** (MIT), local"):
+        assert line in report.splitlines()
+    assert "a note" not in report and "**b**:" not in report
+    bundles = spark.createDataFrame([("a", "scripts/x.sh", b"1")], "name string, path string, content binary")
+    envelope = emit.api_envelope(docs, report, findings, bundles)
+    assert envelope["requires_confirmation"] and envelope["skills"][0]["name"] == "a" and "a: scripts/x.sh isn't in the payload" in envelope["warnings"]
+    assert not emit.api_envelope(docs, report, findings.filter("severity is null"))["requires_confirmation"]
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(emit.zip_bytes(docs, report, bundles))) as archive:
+        assert archive.namelist() == ["PROVENANCE.md", "skills/a/SKILL.md", "skills/a/scripts/x.sh"] and archive.read("skills/a/scripts/x.sh") == b"1"
+    named = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    assert [emit.set_name(named("b", "a")), emit.set_name(named("b"), named("r")), emit.set_name(named())] == ["a", "r", "composed-set"]
