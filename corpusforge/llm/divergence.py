@@ -28,7 +28,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column("text"), 8 << 20):
+            for lo, hi in slices(batch.column("text"), 3 << 20):
                 part = batch.slice(lo, hi - lo)
                 found, doc = runs(part.column("text"), letters_or_beyond_ascii)
                 row, code, n = counted(found.indices.to_numpy(), doc, len(found.dictionary))
