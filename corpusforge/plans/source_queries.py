@@ -8,7 +8,7 @@ from corpusforge.functions import rules as R
 from corpusforge.operators import code_rules, license_ids, merge, scan, spdx
 from corpusforge.plans.queries import _KIND, _LINES_BY_DOC, _WHOLE, _doc_files
 from corpusforge.plans.registry import query, read, sql_list
-from corpusforge.sources import catalog, crawl, emit, repository
+from corpusforge.sources import catalog, crawl, emit, markdown, repository
 
 
 def _of(values, n, shift=0):
@@ -339,3 +339,22 @@ def catalog_identity(spark, sf_dir):
     older = entries.withColumns({"name": F.lit("older"), "position": n * 2})
     bundles = docs.select("doc_id", "bundle_hash", F.lit("own").alias("name"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("url"), F.lit("local").alias("spdx_id"))
     return catalog.carry_identity(bundles, older.unionByName(entries).drop("doc_id")).select("doc_id", "name", "repo", "spdx_id")
+
+
+# --- Markdown: each document between a heading, a directive, a list and a quotation
+
+_WORDS_ONLY = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id::VARCHAR AS skill, '# T' || doc_id || chr(10) AS h, 'Always keep x' || doc_id || chr(10) AS d, '- one ' || doc_id || chr(10) AS one, '- when two' || chr(10) AS two, '> q' || chr(10) AS q, 'p ' || {_WORDS_ONLY} || chr(10) AS p FROM documents),
+    parts AS (SELECT skill, unnest([{{'path': 'h0', 'at': 0, 'n': 0, 'text': h, 'kind': 'heading'}}, {{'path': 'p1', 'at': length(h) + 1, 'n': 1, 'text': d, 'kind': 'directive'}}, {{'path': 'l2/i0/p0', 'at': length(h || d) + 2, 'n': 2, 'text': one, 'kind': 'context'}}, {{'path': 'l2/i1/p0', 'at': length(h || d || one) + 2, 'n': 3, 'text': two, 'kind': 'context'}},
+    {{'path': 'q3/p0', 'at': length(h || d || one || two) + 3, 'n': 4, 'text': q, 'kind': 'context'}}, {{'path': 'p4', 'at': length(h || d || one || two || q) + 4, 'n': 5, 'text': p, 'kind': 'context'}}]) AS a FROM m)
+    SELECT skill || ':' || a.path || ':' || left(sha256(a.text), 16) AS id, skill, a.path AS path, a.at::BIGINT AS start, (a.at + length(a.text))::BIGINT AS "end", a.n AS source_order, a.kind AS detected_kind FROM parts"""
+)
+def markdown_atoms(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    body = F.concat(F.lit("# T"), n, F.lit("\n\nAlways keep x"), n, F.lit("\n\n- one "), n, F.lit("\n- when two\n\n> q\n\np "), words, F.lit("\n"))
+    atoms = markdown.parse_atoms(read(spark, sf_dir, "documents").select(n.alias("skill"), body.alias("body")))
+    return atoms.select("id", "skill", "path", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("source_order").cast("int").alias("source_order"), "detected_kind")

@@ -25,6 +25,10 @@ class CatalogError(ValueError):
     """A catalog, manifest or artifact that can't be trusted or read."""
 
 
+class InterchangeError(ValueError):
+    """A file of cases or of versions that can't be read, or that belongs to another skill."""
+
+
 class FetchError(ValueError):
     """A bundle that can't be fetched whole."""
 
@@ -50,6 +54,8 @@ def load_verdicts(spark: SparkSession, path: str) -> DataFrame:
 def load_evals(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases of a JSON list, or of the list under "evals", or of one object; older names are taken over."""
     rows = spark.read.option("wholetext", True).text(path)
+    if not rows.filter(F.try_parse_json("value").isNull() | ~F.trim("value").rlike(r"^[\[{]")).isEmpty():
+        raise InterchangeError(f"{path} isn't a list or an object of cases")
     one = F.trim("value").startswith("{")
     wrapped = F.from_json("value", f"struct<evals: array<{CASE}>>").evals
     listed = F.when(one, F.coalesce(wrapped, F.array(F.from_json("value", CASE)))).otherwise(F.from_json("value", f"array<{CASE}>"))
@@ -213,6 +219,15 @@ def ensure_fresh(incoming: dict, cached: dict | None) -> None:
         raise CatalogError("the manifest is older than the one at hand")
 
 
+def cached_manifest(cache: str) -> dict | None:
+    """The manifest at hand, or None where there is none that can be read."""
+    try:
+        found = json.loads((Path(cache) / "manifest.json").read_bytes())
+    except (OSError, ValueError):
+        return None
+    return found if isinstance(found, dict) and isinstance(found.get("artifacts"), list) and isinstance(found.get("generated_at"), str) else None
+
+
 def build_catalog(spark: SparkSession, artifacts: dict[str, bytes], out: str, private_key: str, key_id: str, generated_at: str, base_url: str = "") -> dict:
     """Write artifacts under their hashes, then the manifest and its signature last."""
     folder = Path(out)
@@ -256,8 +271,7 @@ def sync(spark: SparkSession, fetch, cache: str, trusted_keys: dict[str, str]) -
     place.mkdir(parents=True, exist_ok=True)
     raw, signature = fetch("manifest.json"), fetch("manifest.sig")
     manifest = verify_manifest(spark, raw, signature, trusted_keys)
-    at_hand = place / "manifest.json"
-    ensure_fresh(manifest, json.loads(at_hand.read_bytes()) if at_hand.exists() else None)
+    ensure_fresh(manifest, cached_manifest(cache))
     for artifact in manifest["artifacts"]:
         path = place / artifact["sha256"]
         if path.exists() and hashlib.sha256(path.read_bytes()).hexdigest() == artifact["sha256"]:
@@ -267,5 +281,5 @@ def sync(spark: SparkSession, fetch, cache: str, trusted_keys: dict[str, str]) -
             raise CatalogError(f"artifact {artifact['name']} has another hash")
         path.write_bytes(data)
     (place / "manifest.sig").write_bytes(signature)
-    at_hand.write_bytes(raw)
+    (place / "manifest.json").write_bytes(raw)
     return manifest

@@ -5,9 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-
-class InterchangeError(ValueError):
-    """A ledger that can't be read or that belongs to another skill."""
+from corpusforge.sources.catalog import InterchangeError
 
 
 def load_ledger(path: str) -> dict | None:

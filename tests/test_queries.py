@@ -87,3 +87,23 @@ def test_hints_leave_out_no_hit(spark):
         assert sorted(tried) == sorted(scan.rule_hits(table).select("line_no", "rule_id").collect()) and len(tried) > len(PLANTED)
     finally:
         scan.HINTS = hints
+
+
+def test_hints_stand_in_all_that_patterns_match():
+    """Texts made from each rule's pattern hold a hint of the rule, so a changed pattern without its hint is noticed."""
+    import re
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from corpusforge.functions.rules import LINE_RULES
+    from corpusforge.operators.scan import HINTS
+
+    for rule in LINE_RULES:
+
+        @settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck), database=None)
+        @given(st.from_regex(re.compile(rule.pattern, re.ASCII | (re.IGNORECASE if rule.any_case else 0))))
+        def held(text):
+            assert any(h in text.lower() for h in HINTS[rule.id]), (rule.id, text)
+
+        held()  # while `rule` is this one

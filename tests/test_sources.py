@@ -165,3 +165,18 @@ def test_reports_and_envelopes(spark):
         assert archive.namelist() == ["PROVENANCE.md", "skills/a/SKILL.md", "skills/a/scripts/x.sh"] and archive.read("skills/a/scripts/x.sh") == b"1"
     named = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
     assert [emit.set_name(named("b", "a")), emit.set_name(named("b"), named("r")), emit.set_name(named())] == ["a", "r", "composed-set"]
+
+
+def test_files_that_are_no_cases_or_manifests(spark, tmp_path):
+    assert catalog.cached_manifest(str(tmp_path)) is None
+    for text in ("{", "[]", '{"artifacts": 1}'):
+        (tmp_path / "manifest.json").write_text(text)
+        assert catalog.cached_manifest(str(tmp_path)) is None
+    (tmp_path / "manifest.json").write_text('{"artifacts": [], "generated_at": "t"}')
+    assert catalog.cached_manifest(str(tmp_path))["generated_at"] == "t"
+    for i, text in enumerate(("nonsense", "7", '"x"', "[1")):
+        (tmp_path / f"e{i}.json").write_text(text)
+        with pytest.raises(catalog.InterchangeError):
+            catalog.load_evals(spark, str(tmp_path / f"e{i}.json"))
+    (tmp_path / "good.json").write_text('[{"query": "q"}]')
+    assert [r.prompt for r in catalog.load_evals(spark, str(tmp_path / "good.json")).collect()] == ["q"]
