@@ -165,12 +165,12 @@ def _batches(batch: pa.RecordBatch, size: int = 1024):
         yield batch.slice(lo, size)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, max_entries: int = 2000, max_voters: int = 64, min_precision: float = 0.85, min_evidence: float = 20.0) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, max_voters: int = 64, min_precision: float = 0.85, min_evidence: float = 20.0) -> ToxicityModel:
     """Fitted from a bounded sample of labelled rows (max_fit_rows, by a hash of the id); held-out rows never enter.
 
     An entry is taken up if at least two toxic texts have it, at least min_precision of the texts that have it are toxic, and
-    the log-likelihood ratio of its rates (up to five places a text) reaches min_evidence; the max_entries with the most
-    evidence stay, as a bound of the model. Entries that stand in much the same texts make one voter; all entries that would
+    the log-likelihood ratio of its rates (up to five places a text) reaches min_evidence; so there are fewer entries than the
+    toxic texts of the sample have words. Entries that stand in much the same texts make one voter; all entries that would
     need more than max_voters share one. Null texts count as empty; a doc_id with several labels stands once for
     each; rows without a label, and labels without a text, don't enter. Where the sample has no toxic text, only the seeds vote; where it is
     empty, a text with a seed is toxic.
@@ -203,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
     part = lambda c, e: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(max(e, 1e-9))))).otherwise(0)
     evidence = 2 * (part("cp", share) + part("cn", 1 - share))
     fit = (F.col("p") >= 2) & (F.col("p") >= min_precision * (F.col("p") + F.col("n"))) & (F.col("cp") > both * share)
-    top = counted.filter(fit).select("entry", evidence.alias("evidence")).filter(F.col("evidence") >= min_evidence).orderBy(F.desc("evidence"), "entry").limit(max_entries).collect()
+    top = counted.filter(fit).select("entry", evidence.alias("evidence")).filter(F.col("evidence") >= min_evidence).collect()
     seeds = _seed_hashes()
     strength = {int(np.int64(r["entry"]).view(np.uint64)): r["evidence"] for r in top}
     entries = np.array(sorted(strength), np.uint64)
@@ -217,7 +217,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_f
                 found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32()), pa.array(voter, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), found], ["doc_id", "found"])
 
-    # which entries stand in which texts: bounded by max_fit_rows x max_entries bits
+    # which entries stand in which texts of the sample, as places
     rows = sample.mapInArrow(arrow_task(collect_hits), "doc_id bigint, found array<int>").filter(F.size("found") > 0).toArrow().sort_by("doc_id").column("found").combine_chunks()
     present = np.zeros((len(entries), len(rows)), bool)
     present[rows.flatten().to_numpy(), np.repeat(np.arange(len(rows)), np.asarray(rows.value_lengths()))] = True
