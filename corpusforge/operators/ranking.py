@@ -34,8 +34,9 @@ def entry_tokens() -> Column:
     return F.array_union(both, tokenize(F.concat_ws(" ", "name", "description")))
 
 
-def hits(catalog: DataFrame, needles: DataFrame) -> DataFrame:
-    """id and needle where the needle, or every token of it, stands in the entry.
+def with_met(catalog: DataFrame, needles: DataFrame, *keep: str) -> DataFrame:
+    """Entries with the columns in keep and `met`: the needles that stand in the entry, themselves or every token of them; entries
+    with none are left out.
 
     The needles of one profile, a short list, become a constant; each entry is tokenised once and its tokens are met with that
     list in place, so nothing is shuffled and no other token is kept.
@@ -44,9 +45,14 @@ def hits(catalog: DataFrame, needles: DataFrame) -> DataFrame:
     texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     wanted = texts(sorted({x for r in rows for x in (r["needle"], *r["parts"])}))
     listed = F.array(*[F.struct(F.lit(r["needle"]).alias("needle"), texts(r["parts"]).alias("parts")) for r in rows]) if rows else F.array().cast("array<struct<needle: string, parts: array<string>>>")
-    found = catalog.select("id", F.array_intersect(entry_tokens(), wanted).alias("found")).filter(F.size("found") > 0)
+    found = catalog.select(*keep, F.array_intersect(entry_tokens(), wanted).alias("found")).filter(F.size("found") > 0)
     met = F.filter(listed, lambda x: F.array_contains(F.col("found"), x.needle) | ((F.size(x.parts) > 0) & (F.size(F.array_except(x.parts, F.col("found"))) == 0)))
-    return found.select("id", F.explode(F.transform(met, lambda x: x.needle)).alias("needle")).distinct()
+    return found.select(*keep, F.transform(met, lambda x: x.needle).alias("met")).filter(F.size("met") > 0)
+
+
+def hits(catalog: DataFrame, needles: DataFrame) -> DataFrame:
+    """id and needle where the needle, or every token of it, stands in the entry."""
+    return with_met(catalog, needles, "id").select("id", F.explode("met").alias("needle")).distinct()
 
 
 def needle_idf(found: DataFrame, n_entries: int) -> DataFrame:
@@ -58,18 +64,20 @@ def discover(catalog: DataFrame, profile: DataFrame, blocked: DataFrame | None =
     """The best entries by the sum of weight times idf over matched needles, with the evidence.
 
     catalog: id, name, description, languages, tags, stars, bundle_hash. blocked: bundle_hash. Entries without a match don't
-    show. Order: score, stars (null last), lower-cased name, id. The profile is one description, so its needles are broadcast.
+    show. Order: score, stars (null last), lower-cased name, id. The profile is one description: its needles with what each is worth
+    become a constant, and entries are scored in place.
     """
     needles = profile_needles(profile)
-    found = saved(hits(catalog, needles), "hits")
-    idf = needle_idf(found, catalog.count())
-    open_ = catalog if blocked is None else catalog.join(blocked.select("bundle_hash").filter("bundle_hash != ''").distinct(), "bundle_hash", "left_anti")
-    scored = found.join(F.broadcast(idf), "needle").join(F.broadcast(needles), "needle").groupBy("id").agg(
-        F.bround(F.sum(F.col("weight") * F.col("idf")), 3).alias("score"),
-        F.sort_array(F.collect_list(F.concat_ws(":", "label", "needle"))).alias("matched"),
+    keep = [c for c in ("id", "name", "stars", "bundle_hash") if c in catalog.columns]
+    found = saved(with_met(catalog, needles, *keep), "hits")  # the only pass over descriptions
+    idf = {r["needle"]: r["idf"] for r in needle_idf(found.select(F.explode("met").alias("needle")), catalog.count()).collect()}  # a row for each needle at most
+    weighed = [F.struct(F.lit(r["label"]).alias("label"), F.lit(r["needle"]).alias("needle"), F.lit(r["weight"] * idf[r["needle"]]).alias("worth")) for r in needles.orderBy("label", "needle").collect() if r["needle"] in idf]
+    listed = F.array(*weighed) if weighed else F.array().cast("array<struct<label: string, needle: string, worth: double>>")
+    open_ = found if blocked is None else found.join(blocked.select("bundle_hash").filter("bundle_hash != ''").distinct(), "bundle_hash", "left_anti")
+    ranked = open_.withColumn("hit", F.filter(listed, lambda x: F.array_contains("met", x.needle))).select(
+        "id", "name", "stars", F.bround(F.aggregate("hit", F.lit(0.0), lambda s, x: s + x.worth), 3).alias("score"), F.array_sort(F.transform("hit", lambda x: F.concat_ws(":", x.label, x.needle))).alias("matched")
     )
-    ranked = open_.select("id", "name", "stars").join(scored, "id").filter("score > 0")
-    return ranked.orderBy(F.desc("score"), F.coalesce("stars", F.lit(-1)).desc(), F.lower("name"), "id").limit(limit)
+    return ranked.filter("score > 0").orderBy(F.desc("score"), F.coalesce("stars", F.lit(-1)).desc(), F.lower("name"), "id").limit(limit)
 
 
 def blocked_hashes(records: DataFrame) -> DataFrame:
