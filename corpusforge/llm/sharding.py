@@ -20,7 +20,8 @@ from corpusforge.llm.common import free_name, saved, small, table
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
-    """Good ones among n balls drawn without replacement; exact inversion, enumerating outcomes from the mode outwards."""
+    """Good ones among n balls drawn without replacement; exact inversion, enumerating outcomes from the mode outwards.
+    Of no balls, or where none is drawn, it is 0."""
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low

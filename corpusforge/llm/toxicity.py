@@ -83,7 +83,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class LabelModel:
     """y is toxic or not. Voter j votes toxic with probability hit[j] if y, false_hit[j] if not; where it doesn't, it abstains and
     says nothing, unless all do: none has the probabilities of that, if not y and if y. weight discounts voters by what they
-    share with others beside y; bias holds the prior."""
+    share with others beside y; bias holds the prior. Without voters posteriors are the
+    prior; a fit needs rows."""
 
     bias: float = 0.0
     hit: np.ndarray = field(default_factory=lambda: np.zeros(0))
