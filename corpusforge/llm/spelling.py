@@ -211,12 +211,22 @@ def _chunks(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _alike(rows: pa.Table) -> Iterator[pa.Table]:
+    """rows, which are in the order of their base lengths, in parts of like lengths, so that a few long words don't make all wide."""
+    base = rows.column("base").to_numpy()
+    lo = 0
+    while lo < len(base):
+        hi = int(np.searchsorted(base, 2 * base[lo] + 16, side="right"))
+        yield rows.slice(lo, hi - lo).combine_chunks()
+        lo = hi
+
+
 def near_words(words: DataFrame, max_cells: int = 1 << 19, chunk_cells: int = 1 << 20) -> DataFrame:
     """word, n_near and best (less: its n negated, and near: the word) for each word with a near one; best is the near word of
     largest n, of equal ones the smallest in code-point order. words needs word (distinct, without U+0000) and n."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches, chunk_cells):
+        for rows in (part for chunk in _chunks(batches, chunk_cells) for part in _alike(chunk)):
             n, base, a, b, key = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "base", "a", "b", "bucket"))
             lengths = pc.utf8_length(rows.column("word")).to_numpy().astype(np.int64)
             word = np.array(rows.column("word").to_pylist(), f"<U{max(1, int(lengths.max(initial=1)))}")

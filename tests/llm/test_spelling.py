@@ -99,3 +99,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.word: r.n for r in spelling.slipped_words(frame, min_length=4).collect()} == {w: n for w, n in want.items() if n}
     assert spelling.variant_forms(spelling.slipped_words(no_docs)).count() == 0
     assert as_dict(spelling.variant_forms(spelling.slipped_words(frame, min_length=4))) == brute_forms({w: n for w, n in want.items() if n})
+
+
+def test_long_words_stand_apart():
+    base = np.array([7, 7, 9, 30, 31, 77, 90, 60_000], np.int32)
+    rows = pa.table({"base": base, "n": np.arange(8)})
+    parts = [p.column("n").to_pylist() for p in spelling._alike(rows)]
+    assert parts == [[0, 1, 2, 3], [4, 5], [6], [7]] and list(spelling._alike(rows.slice(0, 0))) == []
