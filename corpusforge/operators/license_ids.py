@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Ids in order with the phrases that a text must all hold; the first that fits counts.
@@ -65,8 +65,8 @@ def detect_bundles(files: DataFrame) -> DataFrame:
     root = files.filter(~F.col("path").contains("/") & F.lower("path").rlike(r"^(license|licence|copying)([._-].*)?$")).withColumn("id", detect_text("text")).filter("id is not null")
     by_file = root.groupBy("bundle_id").agg(F.min_by("id", "path").alias("file_id"))
     scanned = files.filter(F.lower("path").rlike(r"\.(py|sh|js|ts|md)$"))
-    first = scanned.groupBy("bundle_id").agg(F.slice(F.array_sort(F.collect_list("path")), 1, 200).alias("paths"))
-    in_first = scanned.join(first, "bundle_id").filter(F.array_contains("paths", F.col("path")))
+    # the first 200 by path; what lies beyond is left out before rows are shuffled, so no task has all of a bundle's files
+    in_first = scanned.withColumn("n", F.row_number().over(Window.partitionBy("bundle_id").orderBy("path"))).filter("n <= 200")
     tags = in_first.select("bundle_id", F.explode(F.regexp_extract_all("text", F.lit(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)"), 1)).alias("tag")).groupBy("bundle_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
     front = files.filter(F.col("path").endswith("SKILL.md")).withColumn("id", F.regexp_extract(F.substring("text", 1, 4096), r"(?m)^license:\s*[\"']?([A-Za-z0-9.+-]+)", 1)).filter("id != ''").groupBy("bundle_id").agg(F.min_by("id", "path").alias("front_id"))
     out = files.select("bundle_id").distinct().join(by_file, "bundle_id", "left").join(tags, "bundle_id", "left").join(front, "bundle_id", "left").withColumn("tags", F.coalesce("tags", F.array()))
