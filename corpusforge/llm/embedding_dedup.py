@@ -106,23 +106,30 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-300)[:, None]
     y = threshold * x + math.sqrt(1 - threshold**2) * noise
 
-    def filtered(tables: Tables, learned: np.ndarray, axes: np.ndarray) -> Tables:
-        """With the fewest bits that leave a vector less than 0.2 false candidates, as far as the sample tells."""
-        some = sample[:4000]
-        met_a, met_b, n_met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    some = sample[:4000]
+
+    def cells(tables: Tables) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each table: rows of the sample by cell, and where each cell begins and how many it has."""
         projected = tables.project(some)
         for t in range(tables.n_tables):
             keys = tables.keys(projected, t)
             order = np.argsort(keys.ravel(), kind="stable")
-            flat, row = keys.ravel()[order], order // keys.shape[1]
+            flat = keys.ravel()[order]
             first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            for i, j in _pairs_in_runs(first, np.diff(np.append(first, len(flat)))):
-                n_met += len(i)
+            yield order // keys.shape[1], first, np.diff(np.append(first, len(flat)))
+
+    def cost(tables: Tables) -> float:
+        return tables.met + 10 * tables.n_tables * (tables.probes + 1)
+
+    def filtered(tables: Tables, learned: np.ndarray, axes: np.ndarray) -> Tables:
+        """With the fewest bits that leave a vector less than 0.2 false candidates, as far as the sample tells."""
+        met_a, met_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, first, size in cells(tables):
+            for i, j in _pairs_in_runs(first, size):
                 false = np.einsum("ij,ij->i", some[row[i]], some[row[j]]) < threshold
                 met_a.append(row[i[false]])
                 met_b.append(row[j[false]])
         a, b = np.concatenate(met_a), np.concatenate(met_b)
-        tables.met = 2 * n_met / len(some) * n_rows / len(some)
         for tables.filter in FILTERS:
             while tables.rotation.shape[1] < tables.filter:  # the filter wants more bits than the tables
                 tables.rotation = np.hstack([tables.rotation, learn_rotation(learned, axes @ np.linalg.qr(rng.standard_normal((dims, dims)))[0])])
@@ -133,7 +140,7 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
                 break
         return tables
 
-    def fitted(mean: np.ndarray, bound: int) -> Tables | None:
+    def fitted(mean: np.ndarray, bound: int) -> tuple[Tables, np.ndarray, np.ndarray] | None:
         centred = sample - mean
         _, axes = np.linalg.eigh(centred.T @ centred)
         group = np.argsort(np.argsort(((x - mean) ** 2).sum(1))) * 4 // max(1, len(x))
@@ -150,12 +157,16 @@ def fit_tables(sample: np.ndarray, n_rows: int, threshold: float, recall: float
                 met |= (kx[:, :, None] == ky[:, None, :]).any((1, 2))
                 if met.mean() >= recall and all(met[group == g].mean() >= recall - 0.04 for g in np.unique(group)):
                     tables.n_tables = t + 1
-                    return filtered(tables, learned, axes)
+                    met_pairs = sum(float((size * (size - 1.0)).sum()) for _, _, size in cells(tables))
+                    tables.met = met_pairs / len(some) * n_rows / len(some)
+                    return tables, learned, axes
             n_tables = tables.n_tables
         return None
 
-    found = [t for t in (fitted(sample.mean(0), most), fitted(np.zeros(dims), 4096)) if t]
-    return min(found, key=lambda t: t.met + 10 * t.n_tables * (t.probes + 1))
+    centred = fitted(sample.mean(0), most)
+    # uncentred tables whose entries alone cost more needn't be looked at
+    plain = fitted(np.zeros(dims), 4096 if centred is None else min(4096, int(cost(centred[0]) // (10 * (centred[0].probes + 1)))))
+    return filtered(*min((f for f in (centred, plain) if f), key=lambda f: cost(f[0])))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
