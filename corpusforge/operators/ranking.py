@@ -45,7 +45,8 @@ def with_met(catalog: DataFrame, needles: DataFrame, *keep: str) -> DataFrame:
     texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     wanted = texts(sorted({x for r in rows for x in (r["needle"], *r["parts"])}))
     listed = F.array(*[F.struct(F.lit(r["needle"]).alias("needle"), texts(r["parts"]).alias("parts")) for r in rows]) if rows else F.array().cast("array<struct<needle: string, parts: array<string>>>")
-    found = catalog.select(*keep, F.array_intersect(entry_tokens(), wanted).alias("found")).filter(F.size("found") > 0)
+    # exploded, an array of one, so that no condition or expression above makes the tokens again
+    found = catalog.select(*keep, F.explode(F.array(F.array_intersect(entry_tokens(), wanted))).alias("found")).filter(F.size("found") > 0)
     met = F.filter(listed, lambda x: F.array_contains(F.col("found"), x.needle) | ((F.size(x.parts) > 0) & (F.size(F.array_except(x.parts, F.col("found"))) == 0)))
     return found.select(*keep, F.transform(met, lambda x: x.needle).alias("met")).filter(F.size("met") > 0)
 
