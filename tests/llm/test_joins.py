@@ -4,10 +4,12 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corpusforge.llm.common import matched
 from corpusforge.llm.components import components
 from corpusforge.llm.embedding_dedup import fit_tables, near_duplicates, op10_embedding_dedup
-from corpusforge.llm.ngram_join import linked_sets, ngram_join, one_of_each_group, op3_ngram_join
+from corpusforge.llm.ngram_join import clustered_sets, linked_sets, ngram_join, one_of_each_group, op3_ngram_join
 from corpusforge.llm.queries import ORACLE_SQL
 from tests.conftest import SMALL
 
@@ -238,3 +240,22 @@ def test_pairs_are_given_once(spark):
     frame = spark.createDataFrame([(0, 4, bytearray(rows.tobytes())), (1, 4, bytearray(rows[:2].tobytes()))], "sub bigint, dims int, content binary")
     assert [tuple(r) for r in candidate_pairs(frame, tables).collect()] == [(5, 7)]
     assert candidate_pairs(frame.limit(0), tables).count() == 0
+
+
+def test_texts_are_not_shuffled_to_many_keys(spark):
+    """A million keys and more are broadcast, in groups where need be; documents stay where they are read."""
+    docs = spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(40)] + [(None, "x")], "doc_id bigint, text string")
+    keys = spark.createDataFrame([(i, 7) for i in range(0, 40, 3)], "id bigint, component bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = clustered_sets(docs, keys, 1_000_000, 4)
+        assert "SortMergeJoin" not in sets._jdf.queryExecution().toString()
+        assert sorted(r["id"] for r in sets.collect()) == list(range(0, 40, 3))
+        for how in ("left_anti", "left_semi", "inner"):
+            grouped = matched(docs, keys.select(F.col("id").alias("doc_id")), 14, "doc_id", how, most=3)
+            kept = [r[0] for r in docs.select("doc_id").collect() if (r[0] is not None and r[0] % 3 == 0) == (how != "left_anti")]
+            assert sorted(map(str, (r["doc_id"] for r in grouped.collect()))) == sorted(map(str, kept))
+            assert "SortMergeJoin" not in grouped._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
