@@ -46,11 +46,22 @@ KNOWN_EXCEPTIONS = ["Autoconf-exception-3.0", "Bison-exception-2.2", "Bootloader
 def detect_text(text: str | Column) -> Column:
     """The first fingerprint whose phrases all stand in the lower-cased, squeezed text; null if none."""
     text = F.col(text) if isinstance(text, str) else text
-    squeezed = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)\s+", " "), r"[^a-z0-9./\s-]", "")
-    out = None
-    for spdx, phrases in FINGERPRINTS:
-        out = (F if out is None else out).when(reduce(lambda a, b: a & b, [squeezed.contains(p) for p in phrases]), F.lit(spdx))
-    return out
+    # single spaces stay without being replaced, other characters go by runs
+    squeezed = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)\s{2,}|[^\S ]", " "), r"[^a-z0-9./\s-]+", "")
+
+    def first(t: Column) -> Column:
+        out = None
+        for spdx, phrases in FINGERPRINTS:
+            out = (F if out is None else out).when(reduce(lambda a, b: a & b, [t.contains(p) for p in phrases]), F.lit(spdx))
+        return out
+
+    # a variable of a function: the text is squeezed once, not again for each phrase
+    return F.get(F.transform(F.array(squeezed), first), F.lit(0))
+
+
+def detected(docs: DataFrame, *columns: str) -> DataFrame:
+    """columns and spdx_id of docs (text) in which an id is found; each text is read once, as a filter on an id would read it again."""
+    return docs.select(*columns, F.explode(F.array_compact(F.array(detect_text("text")))).alias("spdx_id"))
 
 
 def restrictiveness(spdx: str | Column) -> Column:
@@ -62,8 +73,8 @@ def detect_bundles(files: DataFrame) -> DataFrame:
     """bundle_id, spdx_id and source of files (bundle_id, path, text): license file, else the one SPDX tag, else the
     frontmatter's, else the first of several tags; with the number of distinct signals."""
     # fixed values: the patterns of license files, tags and fields
-    root = files.filter(~F.col("path").contains("/") & F.lower("path").rlike(r"^(license|licence|copying)([._-].*)?$")).withColumn("id", detect_text("text")).filter("id is not null")
-    by_file = root.groupBy("bundle_id").agg(F.min_by("id", "path").alias("file_id"))
+    root = files.filter(~F.col("path").contains("/") & F.lower("path").rlike(r"^(license|licence|copying)([._-].*)?$"))
+    by_file = detected(root, "bundle_id", "path").groupBy("bundle_id").agg(F.min_by("spdx_id", "path").alias("file_id"))
     scanned = files.filter(F.lower("path").rlike(r"\.(py|sh|js|ts|md)$"))
     # the first 200 by path; what lies beyond is left out before rows are shuffled, so no task has all of a bundle's files
     in_first = scanned.withColumn("n", F.row_number().over(Window.partitionBy("bundle_id").orderBy("path"))).filter("n <= 200")
