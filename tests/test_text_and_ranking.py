@@ -1,5 +1,7 @@
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +97,22 @@ def test_select(spark):
     for bad in ([], ["a", "a"], ["a", "b", "c", "d"], ["nope"]):
         with pytest.raises(ranking.SelectionError):
             ranking.select(catalog(spark), bad)
+
+
+def test_key_of_latin_texts_without_python(spark):
+    kept = [chr(c) for c in range(256) if not (c != 32 and chr(c).isspace() and not "\t" <= chr(c) <= "\r")]
+    texts = ["".join(a + b for b in kept) for a in kept] + ["µ STRAßE Über: .;:", "ÿÀ .", "a   b", "\u0085x\u001f", "café́", " . : ", "x" + " " * 50_000 + "y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    want = [" ".join(unicodedata.normalize("NFC", t).split()).casefold().rstrip(".:;").strip() for t in texts]
+    assert [r[0] for r in df.select(T.norm_key("t")).collect()] == want
+    python = [r[0] for r in df.select(F.col("t").rlike(T._OTHER)).collect()]
+    assert not any(python[: len(kept) + 2]) and python[len(kept) + 2 : len(kept) + 5] == [True] * 3
+
+
+def test_key_holds_few_texts_of_a_batch_in_python():
+    batch = pa.array(["жА " * 1000] * 2000)
+    tracemalloc.start()
+    keys = T._folded.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys.to_pylist() == ["жа " * 999 + "жа"] * 2000 and peak < batch.nbytes / 5
