@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import folded, norm_key
+from corpusforge.functions.text import folded, norm_key, without_end_marks
 from corpusforge.sources.tables import saved
 
-#: Characters of needles in one automaton (about 60 bytes each), and of the corpus in a block.
+#: Characters of needles in one automaton (about 40 bytes each), and of the corpus in a block.
 NEEDLES, BLOCK = 1 << 20, 1 << 20
 
 
@@ -35,9 +35,10 @@ def _joined(corpus: DataFrame) -> DataFrame:
 
     Parts without a character but white space give nothing, as white space is collapsed; the last part loses its end marks.
     """
-    parts = saved(corpus.select(F.col("doc").alias("position"), folded("text").alias("text"), norm_key("text").alias("key")).filter("text != ''"), "parts")
+    # the filter comes after the writing: before it, the key would be made twice, in two of Python's processes a task
+    parts = saved(corpus.select(F.col("doc").alias("position"), folded("text").alias("text")), "parts").filter("text != ''")
     last = parts.agg(F.max("position")).first()[0]
-    return parts.select("position", F.concat(F.when(F.col("position") == F.lit(last), F.col("key")).otherwise(F.col("text")), F.lit(" ")).alias("text"))
+    return parts.select("position", F.concat(F.when(F.col("position") == F.lit(last), without_end_marks("text")).otherwise(F.col("text")), F.lit(" ")).alias("text"))
 
 
 def leaks(items: DataFrame, corpus: DataFrame, least: int = 8) -> DataFrame:
@@ -48,7 +49,7 @@ def leaks(items: DataFrame, corpus: DataFrame, least: int = 8) -> DataFrame:
     characters; each group is one pass over the written pieces. Null texts hold nothing and are in nothing.
     """
     spark = items.sparkSession
-    keyed = saved(items.select("item_id", norm_key("text").alias("needle")).filter(F.length("needle") >= least), "needles")
+    keyed = saved(items.select("item_id", norm_key("text").alias("needle")), "needles").filter(F.length("needle") >= least)
     n_chars, longest = keyed.agg(F.sum(F.length("needle")), F.max(F.length("needle"))).first()
     if not n_chars:
         return keyed.select("item_id")
@@ -71,6 +72,15 @@ def leaks(items: DataFrame, corpus: DataFrame, least: int = 8) -> DataFrame:
     return keyed.join(found, "needle").select("item_id").distinct()
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+    """block and text of one row after another: one text at a time is Python's, and no batch is kept while the next is read."""
+    for batch in batches:
+        blocks, texts = batch.column("block"), batch.column("text")
+        for i in range(batch.num_rows):
+            yield blocks[i].as_py(), texts[i].as_py()
+        del batch, blocks, texts
+
+
 def _searcher(needles: list[str]):
     """Needles found in pieces of blocks; the automaton's state goes on from piece to piece of a block."""
 
@@ -85,11 +95,11 @@ def _searcher(needles: list[str]):
         automaton.make_automaton()
         found: set[int] = set()
         block, state = None, automaton.iter("")
-        for batch in batches:
-            for b, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-                state.set(text, b != block)
-                block = b
-                found.update(i for _, i in state)
+        for b, text in _rows(batches):
+            state.set(text, b != block)
+            block = b
+            found.update(i for _, i in state)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
         yield pa.RecordBatch.from_arrays([pa.array([needles[i] for i in found], pa.string())], ["needle"])
 
     return search

@@ -1,4 +1,7 @@
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from corpusforge.functions.text import norm_key_full
 from corpusforge.operators import leakage
@@ -27,3 +30,13 @@ def test_small_blocks_against_one_string(spark, monkeypatch):
     keys = [r[0] for r in spark.createDataFrame([(t,) for t in items], "t string").select(norm_key_full("t")).collect()]
     want = [i for i, k in enumerate(keys) if len(k) >= 8 and k in hay]
     assert found(spark, items, texts) == want and len(want) > 20
+
+
+def test_one_text_of_a_batch_at_a_time():
+    texts = [f"{i:04d} " * 1000 for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], ["block", "text"])
+    tracemalloc.start()
+    hits = list(leakage._searcher(["0007 0007", "0007 0008", "0399 0399"])(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(h for b in hits for h in b.column("needle").to_pylist()) == ["0007 0007", "0399 0399"] and peak < batch.nbytes / 5
